@@ -49,3 +49,37 @@ def words(text: Column) -> Column:
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def map_rows(df: DataFrame, fn, schema: str, flush_bytes: int = 1 << 24, flush_rows: int = 4096) -> DataFrame:
+    """``fn`` takes an iterator of the rows of a partition as tuples and yields tuples of ``schema``.
+
+    Batches cross as Arrow; output leaves in pieces of about ``flush_bytes``, and input is turned into
+    Python objects a slice at a time, so a run of very long texts doesn't add up in the worker.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    kind = _parse_datatype_string(schema)
+    assert isinstance(kind, StructType)
+    arrow = to_arrow_schema(kind)
+
+    def rows(batches):
+        for batch in batches:
+            step = max(1, min(batch.num_rows, batch.num_rows * (1 << 22) // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                yield from zip(*[c.to_pylist() for c in batch.slice(at, step).columns])
+
+    def run(batches):
+        out, held = [], 0
+        for row in fn(rows(batches)):
+            out.append(row)
+            held += sum(len(x) for x in row if isinstance(x, (bytes, str, list)))
+            if held >= flush_bytes or len(out) >= flush_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return df.mapInArrow(run, kind)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality
+from . import bpe, chat, mixing, quality, tiff
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
+    "op2_tiff": tiff.op2_tiff,
     "op5_mixing": mixing.op5_mixing,
     "op6_quality": quality.op6_quality,
+    "op10_bpe": bpe.op10_bpe,
 }
 ORACLES = {
     "op1_chat": chat.OP1_SQL,

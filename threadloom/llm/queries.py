@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, mixing, quality, suffix, tiff
+from . import bpe, chat, jaccard, mixing, quality, suffix, tiff
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_tiff": tiff.op2_tiff,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_mixing": mixing.op5_mixing,
     "op6_quality": quality.op6_quality,
     "op9_suffix": suffix.op9_suffix,

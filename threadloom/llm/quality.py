@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, words
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
+HAS_WORD = "[^ \\t-\\r]"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -26,8 +27,11 @@ NAV_SEPARATORS = 3
 NAV_PERCENT = 15
 #: A document goes when it lost more than so many in a hundred of the characters in its words.
 MAX_LOSS_PERCENT = 30
-CLOSING = "[.!?:;\"')\\]\\u2026\\u201d\\u2019\\u00bb\\u3002\\uff01\\uff1f]$"
+CLOSING = ".!?:;\"')]\u2026\u201d\u2019\u00bb\u3002\uff01\uff1f"
+NAV_HINT = "[|>\\u00bb\\u2022\\u00b7/]|::|->"
 NAV_MARKS = "(^|[ \\t])([|>\\u00bb\\u2022\\u00b7/]|::|->)(?=[ \\t]|$)"
+#: Boilerplate is looked for in lines up to so many characters; longer ones are paragraphs.
+BOILERPLATE_CHARS = 300
 BOILERPLATE = (
     "all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses? cookies|lorem ipsum"
     "|enable javascript|sign up for our newsletter|subscribe to our|click here to|skip to (main )?content"
@@ -35,27 +39,28 @@ BOILERPLATE = (
 )
 
 
-def _count(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def _word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, SPACES, "")).cast("long")
+    return F.length(F.array_join(words(text), "")).cast("long")
 
 
-def line_passes(line: Column) -> Column:
-    """Whether a line survives; lines without a word always do, they carry no text to judge."""
-    bare = F.rtrim(F.translate(line, "\t\x0b\x0c\r", "    "))
+def line_fails(line: Column) -> Column:
+    """Whether a line goes; lines without a word never do, they carry no text to judge.
+
+    Cheap tests stand first: words are counted only in lines that lack a closing mark or hold symbols,
+    shouts or separators, which few lines of prose do.
+    """
     n = F.size(words(line)).cast("long")
-    marks = F.regexp_count(line, F.lit(NAV_MARKS)).cast("long")
-    punctuation = (
-        (~bare.rlike(CLOSING) & (n < SHORT_LINE_WORDS))
-        | (100 * _count(line, SYMBOLS) > MAX_SYMBOLS_PERCENT * n)
-        | (100 * _count(line, "!") > MAX_SHOUTS_PERCENT * n)
-    )
-    navigation = (marks >= NAV_SEPARATORS) & (100 * marks > NAV_PERCENT * n)
-    boilerplate = F.lower(line).rlike(BOILERPLATE)
-    return (n == 0) | ~(punctuation | navigation | boilerplate)
+    closed = F.substring(F.rtrim(line, F.lit(SPACES)), -1, 1).isin(*CLOSING)
+    symbols, marks = _count(line, SYMBOLS), _count(line, NAV_MARKS)
+    shouts = F.length(line) - F.length(F.replace(line, F.lit("!"), F.lit("")))
+    punctuation = (~closed & (n < SHORT_LINE_WORDS)) | ((symbols > 0) & (100 * symbols > MAX_SYMBOLS_PERCENT * n)) | ((shouts > 0) & (100 * shouts > MAX_SHOUTS_PERCENT * n))
+    navigation = line.rlike(NAV_HINT) & (marks >= NAV_SEPARATORS) & (100 * marks > NAV_PERCENT * n)
+    boilerplate = (F.length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike(BOILERPLATE)
+    return line.rlike(HAS_WORD) & (punctuation | navigation | boilerplate)
 
 
 def repeated_words(w: Column, grams: Column) -> Column:
@@ -99,23 +104,30 @@ def assess(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFram
         F.size(w) >= WINDOW,
         F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - WINDOW, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])),
     ).otherwise(F.array().cast("array<bigint>"))
-    full = F.filter(c("lines"), lambda x: F.translate(x, SPACES, "") != "")
-    passing = F.filter(c("lines"), line_passes)
-    out = out.withColumns({f"{prefix}grams": grams, f"{prefix}full": full, f"{prefix}clean_text": F.array_join(passing, "\n")})
+    out = out.withColumns(
+        {
+            f"{prefix}grams": grams,
+            f"{prefix}full": F.filter(c("lines"), lambda x: x.rlike(HAS_WORD)),
+            f"{prefix}gone": F.filter(c("lines"), line_fails),
+        }
+    )
+    clean = F.when(F.size(c("gone")) == 0, body).otherwise(F.array_join(F.filter(c("lines"), lambda x: ~line_fails(x)), "\n"))
+    lost = F.when(F.size(c("gone")) == 0, F.lit(0)).otherwise(_word_chars(F.array_join(c("gone"), "\n"))).cast("long")
     out = out.withColumns(
         {
             f"{prefix}n_words": F.size(w).cast("long"),
-            f"{prefix}word_chars": _word_chars(body),
+            f"{prefix}word_chars": F.length(F.array_join(w, "")).cast("long"),
             f"{prefix}n_symbols": _count(body, SYMBOLS),
             f"{prefix}n_dup_lines": (F.size(c("full")) - F.size(F.array_distinct(c("full")))).cast("long"),
             f"{prefix}n_repeat_words": repeated_words(w, c("grams")),
+            f"{prefix}clean_text": clean,
+            f"{prefix}lost": lost,
         }
     )
     failed = (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))
     out = out.withColumn(f"{prefix}base_failed", failed)
-    loss = c("word_chars") - _word_chars(c("clean_text"))
-    out = out.withColumn(f"{prefix}kept", ~c("base_failed") & (100 * loss <= MAX_LOSS_PERCENT * c("word_chars")))
-    return out.drop(*(f"{prefix}{x}" for x in ("words", "lines", "grams", "full")))
+    out = out.withColumn(f"{prefix}kept", ~c("base_failed") & (100 * c("lost") <= MAX_LOSS_PERCENT * c("word_chars")))
+    return out.drop(*(f"{prefix}{x}" for x in ("words", "lines", "grams", "full", "gone", "lost")))
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
@@ -151,7 +163,7 @@ WITH d AS (
       OR 100 * len(regexp_extract_all(line, '[#*$%&|<>]')) > 50 * n
       OR 100 * len(regexp_extract_all(line, '!')) > 50 * n
       OR (marks >= 3 AND 100 * marks > 15 * n)
-      OR regexp_matches(lower(line), 'all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses? cookies|lorem ipsum|enable javascript|sign up for our newsletter|subscribe to our|click here to|skip to (main )?content|share this (article|page|post)|read more \x{bb}')
+      OR length(line) <= 300 AND regexp_matches(lower(line), 'all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses? cookies|lorem ipsum|enable javascript|sign up for our newsletter|subscribe to our|click here to|skip to (main )?content|share this (article|page|post)|read more \x{bb}')
     ) AS ok
   FROM (SELECT rid, no, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
       len(list_filter(string_split(translate(line, chr(9), ' '), ' '), lambda x: x IN ('|', '>', '»', '•', '·', '/', '::', '->'))) AS marks FROM lines)

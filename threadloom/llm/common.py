@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[ \\t-\\r]+"
 
 _local: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +54,20 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once an application: they needn't have it installed."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if sc.applicationId in _shipped or not package.is_dir():
+        return
+    folder = Path(tempfile.mkdtemp(prefix="threadloom-ship-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / f"{package.name}.zip", "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(folder / f"{package.name}.zip"))
+    _shipped.add(sc.applicationId)
+
+
 def map_rows(df: DataFrame, fn, schema: str, flush_bytes: int = 1 << 24, flush_rows: int = 4096) -> DataFrame:
     """``fn`` takes an iterator of the rows of a partition as tuples and yields tuples of ``schema``.
 
@@ -82,4 +99,5 @@ def map_rows(df: DataFrame, fn, schema: str, flush_bytes: int = 1 << 24, flush_r
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, kind)

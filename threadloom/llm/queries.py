@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, mixing, quality, suffix, tiff
+from . import bpe, chat, html, jaccard, licenses, mixing, quality, suffix, tiff, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_tiff": tiff.op2_tiff,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_mixing": mixing.op5_mixing,
     "op6_quality": quality.op6_quality,
+    "op7_licenses": licenses.op7_licenses,
+    "op8_html": html.op8_html,
     "op9_suffix": suffix.op9_suffix,
     "op10_bpe": bpe.op10_bpe,
 }
@@ -17,6 +20,7 @@ ORACLES = {
     "op1_chat": chat.OP1_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op6_quality": quality.OP6_SQL,
+    "op7_licenses": licenses.OP7_SQL,
 }
 
 

@@ -8,14 +8,16 @@ windows, wherever they stand, have their trigger at the same place.
 What a suffix array over dictionary and parse decides is which windows are neighbours in corpus order with a
 common prefix of ``MATCH`` bytes. Only equality at that depth matters here, so the order is never laid out as
 one array (it would be one object as large as the corpus): windows are ranked into classes of equal bytes,
-in three steps from coarse to fine, each a distributed count.
+in four steps from coarse to fine, each a distributed count.
 
 1. *Dictionary*: for each trigger, the ``MATCH - REACH + 1`` bytes from it on. An entry counted once can't lie
    in a repeated window, and with it go all windows of that trigger.
 2. *Parse*: for each trigger left, the phrase in its context: all bytes of all windows that share the trigger.
    A context counted twice settles all these windows at once; this is the common case in repetitive text.
-3. *Suffixes*: where one dictionary entry stands in contexts of which some occur once, windows are ranked one
-   by one.
+3. *Blocks*: of the contexts left, and of one representative of each repeated context with the same entry, runs of
+   ``BLOCK`` windows are ranked in the same way. A window that holds a whole entry counted once, at a trigger
+   further on, is out beforehand.
+4. *Suffixes*: windows of the blocks left, and of one representative of each repeated block, are ranked one by one.
 
 Keys are 64-bit hashes; a window is removed if its own key occurs twice and its dictionary entry does.
 
@@ -35,17 +37,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows
+from .common import cut, map_rows, ship
 
 MATCH = 200
 GRAM = 8
 REACH = 96
+BLOCK = 8
+#: Texts are parsed together up to so many bytes.
+BUFFER = 1 << 17
 ENTRY = MATCH - REACH + 1
 BROADCAST_ROWS = 4_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_ENTRY_SEED, _CONTEXT_SEED, _WINDOW_SEED = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+_ENTRY_SEED, _CONTEXT_SEED, _BLOCK_SEED, _WINDOW_SEED = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xA24BAED4963EE407, 0xD6E8FEB86659FD93))
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -68,46 +73,88 @@ def _power(name: str, n: int) -> np.ndarray:
     return have
 
 
+class Ranges:
+    """Runs of windows ``low``..``high`` of one trigger each, with the key of what they share, their own key and place."""
+
+    def __init__(self, low, high, at, parent, place):
+        self.low, self.high, self.at, self.parent, self.place = low, high, at, parent, place
+
+    def pick(self, which: np.ndarray) -> Ranges:
+        return Ranges(self.low[which], self.high[which], self.at[which], self.parent[which], self.place[which])
+
+    def starts(self) -> np.ndarray:
+        n = self.high - self.low + 1
+        return np.repeat(self.low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+
+    def blocks(self) -> Ranges:
+        """The windows at the same multiple of ``BLOCK`` bytes ahead of their trigger, run by run."""
+        first, last = (self.at - self.high) // BLOCK, (self.at - self.low) // BLOCK
+        n = last - first + 1
+        own = np.repeat(np.arange(len(n)), n)
+        k = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n) + first[own] if len(n) else np.zeros(0, np.int64)
+        at = self.at[own]
+        step = k.astype(np.uint64) + np.uint64(1)
+        low, high = np.maximum(self.low[own], at - k * BLOCK - (BLOCK - 1)), np.minimum(self.high[own], at - k * BLOCK)
+        return Ranges(low, high, at, _mix(self.parent[own] + step * np.uint64(_BASE)), _mix(self.place[own] + step))
+
+
 class Parsed:
-    """A text's triggers (``at``), the first and last window of each (``low``, ``high``), and their keys."""
+    """Texts parsed side by side: the triggers of all of them, and hashes of any stretch of one text.
+
+    Triggers past those of a text's last window count as long as their entry fits; they have no windows.
+    """
 
-    def __init__(self, raw: bytes):
-        n = len(raw)
-        self.windows = n - MATCH + 1
-        grams = np.ndarray((n - GRAM + 1,), "<u8", raw, strides=(1,)).astype(np.uint64)
+    def __init__(self, raws: list[bytes], uids: list[int]):
+        buffer = b"".join(raws)
+        sizes = np.array([len(r) for r in raws])
+        self.ends = np.cumsum(sizes)
+        self.begins = self.ends - sizes
+        grams = np.ndarray((len(buffer) - GRAM + 1,), "<u8", buffer, strides=(1,)).astype(np.uint64)
         h = _mix(grams)
         v = h & ~np.uint64(127)
         for d in (1, 2, 4, 8, 16, 32):
             v = np.minimum(v[:-d], v[d:] + np.uint64(d))
-        v = np.minimum(v[:-32], v[32:] + np.uint64(32))[: self.windows]
-        at = np.arange(self.windows) + (v & np.uint64(127)).astype(np.int64)
-        self.low = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        self.high = np.r_[self.low[1:], self.windows] - 1
-        self.at = at[self.low]
+        v = np.minimum(v[:-32], v[32:] + np.uint64(32))
+        at = np.arange(len(v)) + (v & np.uint64(127)).astype(np.int64)
+        for end in self.ends[:-1].tolist():  # windows of grams that would reach into the next text
+            at[end - (REACH + GRAM - 2) : end] = -1
+        low = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        high = np.r_[low[1:], len(at)] - 1
+        at = at[low]
+        text = np.searchsorted(self.ends, at, "right")
+        fits = (at >= 0) & (at + ENTRY <= self.ends[np.minimum(text, len(sizes) - 1)])
+        low, high, at, text = low[fits], high[fits], at[fits], text[fits]
+        high = np.minimum(high, self.ends[text] - MATCH)
         self.sums = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(h * _power("up", len(h))[: len(h)], out=self.sums[1:])
-        self.down = _power("down", n)
-        self.entry = _mix(self.hash(self.at, self.at + ENTRY) ^ _ENTRY_SEED)
+        self.down = _power("down", len(buffer))
+        entry = _mix(self.hash(at, at + ENTRY) ^ _ENTRY_SEED)
+        place = _mix((at - self.begins[text]).astype(np.uint64) * np.uint64(_BASE) ^ np.array(uids, np.int64).view(np.uint64)[text])
+        self.triggers = Ranges(low, high, at, entry, place)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Of the bytes start..end, at least ``GRAM`` of them."""
         return (self.sums[end - GRAM + 1] - self.sums[start]) * self.down[start]
 
-    def contexts(self, which: np.ndarray) -> np.ndarray:
-        low, high, at = self.low[which], self.high[which], self.at[which]
-        shape = ((at - low) << 8 | (at - high)).astype(np.uint64)
-        return _mix(self.hash(low, high + MATCH) ^ _mix(self.entry[which] + shape) ^ _CONTEXT_SEED)
+    def live(self, repeated: np.ndarray) -> Ranges:
+        """Triggers with repeated entries, and their windows that hold no other entry."""
+        t = self.triggers
+        once = np.flatnonzero(~repeated)
+        bar = np.r_[t.at[once] - REACH, np.iinfo(np.int64).max][np.searchsorted(once, np.arange(len(t.at)))]
+        high = np.minimum(t.high, bar)
+        return Ranges(t.low, high, t.at, t.parent, t.place).pick(repeated & (high >= t.low))
 
-    def starts(self, which: np.ndarray) -> np.ndarray:
-        low, n = self.low[which], (self.high - self.low + 1)[which]
-        return np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(which) else np.zeros(0, np.int64)
+    def keys(self, r: Ranges, seed: np.uint64) -> np.ndarray:
+        """Of all bytes of the windows of each range."""
+        shape = ((r.at - r.low) << 8 | (r.at - r.high)).astype(np.uint64)
+        return _mix(self.hash(r.low, r.high + MATCH) ^ _mix(r.parent + shape) ^ seed)
 
     def suffixes(self, starts: np.ndarray) -> np.ndarray:
         return _mix(self.hash(starts, starts + MATCH) ^ _WINDOW_SEED)
 
 
 class Known:
-    """The key sets found so far, sorted: by name ``entry``, ``context``, ``mixed`` and ``suffix``."""
+    """The key sets found so far, sorted, by the names in ``NAMES``; ``chosen`` and ``picked`` hold places."""
 
     def __init__(self, sets: dict[str, np.ndarray]):
         self.sets = sets
@@ -119,33 +166,51 @@ class Known:
         return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
-def _keys(raw: bytes, step: str, known: Known) -> tuple[np.ndarray, ...]:
-    """The keys a text has for a step: entries; (entries, contexts) of repeated entries; suffixes to rank."""
-    p = Parsed(raw)
-    if step == "entry":
-        return (p.entry,)
-    live = np.flatnonzero(known.has("entry", p.entry))
-    if step == "context":
-        return p.entry[live], p.contexts(live)
-    return (p.suffixes(p.starts(live[known.has("mixed", p.entry[live])])),)
-
+NAMES = ("entry", "context", "chosen", "block", "picked", "suffix")
 
-def repeated_runs(raw: bytes, known: Known) -> list[tuple[int, int]]:
-    """Maximal runs (start, end) of bytes in repeated windows."""
-    if len(raw) < MATCH:
-        return []
-    p = Parsed(raw)
-    live = np.flatnonzero(known.has("entry", p.entry))
-    whole = known.has("context", p.contexts(live))
-    single = p.starts(live[~whole & known.has("mixed", p.entry[live])])
-    starts = np.sort(np.r_[p.starts(live[whole]), single[known.has("suffix", p.suffixes(single))]])
-    if not len(starts):
-        return []
-    gap = np.flatnonzero(starts[1:] > starts[:-1] + MATCH)
-    return list(zip(starts[np.r_[0, gap + 1]].tolist(), (starts[np.r_[gap, len(starts) - 1]] + MATCH).tolist()))
 
-
-NAMES = ("entry", "context", "mixed", "suffix")
+def _keys(p: Parsed, step: str, known: Known) -> tuple[np.ndarray, ...]:
+    """The keys for a step: entries; (parents, keys, places) of contexts or blocks; suffixes to rank."""
+    if step == "entry":
+        return (p.triggers.parent,)
+    r = p.live(known.has("entry", p.triggers.parent))
+    keys = p.keys(r, _CONTEXT_SEED)
+    if step == "context":
+        return r.parent, keys, r.place
+    r = r.pick(~known.has("context", keys) | known.has("chosen", r.place)).blocks()
+    keys = p.keys(r, _BLOCK_SEED)
+    if step == "block":
+        return r.parent, keys, r.place
+    return (p.suffixes(r.pick(~known.has("block", keys) | known.has("picked", r.place)).starts()),)
+
+
+def repeated_runs(p: Parsed, known: Known) -> list[list[tuple[int, int]]]:
+    """For each text the maximal runs (start, end) of bytes in repeated windows."""
+    r = p.live(known.has("entry", p.triggers.parent))
+    whole = known.has("context", p.keys(r, _CONTEXT_SEED))
+    settled, r = [r.pick(whole).starts()], r.pick(~whole).blocks()
+    whole = known.has("block", p.keys(r, _BLOCK_SEED))
+    single = r.pick(~whole).starts()
+    starts = np.sort(np.concatenate([*settled, r.pick(whole).starts(), single[known.has("suffix", p.suffixes(single))]]))
+    out = []
+    for begin, a, b in zip(p.begins.tolist(), np.searchsorted(starts, p.begins), np.searchsorted(starts, p.ends)):
+        own = starts[a:b] - begin
+        gap = np.flatnonzero(own[1:] > own[:-1] + MATCH)
+        out.append(list(zip(own[np.r_[0, gap + 1]].tolist(), (own[np.r_[gap, b - a - 1]] + MATCH).tolist())) if b > a else [])
+    return out
+
+
+def _buffers(rows):
+    """Lists of rows (…, bytes) whose bytes together reach ``BUFFER``."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= BUFFER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 class _Corpus:
@@ -167,14 +232,15 @@ class _Corpus:
         return out, names
 
     def sets(self):
-        """A function of a row's joined arrays that gives its ``Known``."""
+        """A function of the joined arrays of some rows that gives their ``Known``."""
         shared = dict(self.shared)
         names = sorted(self.joined)
 
-        def known(arrays) -> Known:
+        def known(rows) -> Known:
             found = {k: b.value for k, b in shared.items()}
-            for name, a in zip(names, arrays):
-                found[name] = np.sort(np.array(a or [], np.int64).view(np.uint64))
+            for k, name in enumerate(names):
+                own = [np.array(row[k], np.int64) for row in rows if row[k]]
+                found[name] = np.unique(np.concatenate(own).view(np.uint64)) if own else np.zeros(0, np.uint64)
             return Known({name: found.get(name, np.zeros(0, np.uint64)) for name in NAMES})
 
         return known
@@ -184,31 +250,35 @@ class _Corpus:
 
         rows, names = self.rows()
         known = self.sets()
-        columns = ["entry", "context"] if step == "context" else ["key"]
+        columns = ["parent", "key", "place"] if step in ("context", "block") else ["key"]
         fields = (["uid"] if with_uid else []) + columns
         schema = pa.schema([(f, pa.int64()) for f in fields])
 
-        def run(batches):
-            held, size = [], 0
+        def texts(batches):
             for batch in batches:
                 for i in range(batch.num_rows):
                     text = batch.column(1)[i].as_py()
-                    raw = text.encode() if text else b""
-                    if len(raw) < MATCH:
-                        continue
-                    keys = _keys(raw, step, known([c[i].as_py() for c in batch.columns[2:]]))
-                    if not len(keys[0]):
-                        continue
-                    if with_uid:
-                        keys = (np.full(len(keys[0]), batch.column(0)[i].as_py(), np.int64).view(np.uint64), *keys)
-                    held.append(keys)
-                    size += len(keys[0])
-                    if size >= 1 << 18:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*held)], schema=schema)
-                        held, size = [], 0
+                    if text and len(raw := text.encode()) >= MATCH:
+                        yield batch.column(0)[i].as_py(), [c[i].as_py() for c in batch.columns[2:]], raw
+
+        def run(batches):
+            held, size = [], 0
+            for rows in _buffers(texts(batches)):
+                uids, arrays, raws = map(list, zip(*rows))
+                if with_uid:  # keys are wanted text by text
+                    sets = known(arrays)
+                    found = [(np.full(len(k[0]), uid, np.int64).view(np.uint64), *k) for uid, raw in zip(uids, raws) if len((k := _keys(Parsed([raw], [uid]), step, sets))[0])]
+                else:
+                    found = [_keys(Parsed(raws, uids), step, known(arrays))]
+                held += found
+                size += sum(len(k[0]) for k in found)
+                if size >= 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*held)], schema=schema)
+                    held, size = [], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*held)], schema=schema)
 
+        ship(self.spark)
         return rows.select("_sfx_uid", "_sfx_text", *names).mapInArrow(run, ", ".join(f"{f} bigint" for f in fields))
 
     def learn(self, name: str, keys: DataFrame, step: str, column: str = "key") -> None:
@@ -224,13 +294,15 @@ class _Corpus:
 
 
 def repeated(docs: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> _Corpus:
-    """Runs the three counts; the result knows every repeated window."""
+    """Runs the four counts; the result knows every repeated window."""
     corpus = _Corpus(docs, text, broadcast_rows)
     entries = corpus.emit("entry").groupBy("key").count().filter("count > 1").select("key")
     corpus.learn("entry", entries, "entry")
-    contexts = cut(corpus.emit("context").groupBy("entry", "context").count())
-    corpus.learn("context", contexts.filter("count > 1").select("context").distinct(), "context", "context")
-    corpus.learn("mixed", contexts.groupBy("entry").agg(F.min("count").alias("n")).filter("n = 1").select("entry"), "context", "entry")
+    for step, chosen in (("context", "chosen"), ("block", "picked")):
+        ranked = cut(corpus.emit(step).groupBy("parent", "key").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place")))
+        mixed = ranked.groupBy("parent").agg(F.min("n").alias("least"), F.max("n").alias("most")).where("least = 1 and most > 1").select("parent")
+        corpus.learn(step, ranked.where("n > 1").select("key").distinct(), step, "key")
+        corpus.learn(chosen, ranked.where("n > 1").join(mixed, "parent", "left_semi").select("place").distinct(), step, "place")
     suffixes = corpus.emit("suffix").groupBy("key").count().filter("count > 1").select("key")
     corpus.learn("suffix", suffixes, "suffix")
     return corpus
@@ -242,11 +314,12 @@ def _finish(corpus: _Corpus, keep: list[str], fn, schema: str) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in corpus.docs.schema}
 
     def run(found):
-        for row in found:
-            keys, text, arrays = row[: len(keep)], row[len(keep)], row[len(keep) + 1 :]
-            raw = (text or "").encode()
-            runs = repeated_runs(raw, known(arrays))
-            yield (*keys, *fn(text, raw, runs))
+        rows = ((*row, (row[len(keep)] or "").encode()) for row in found)
+        for group in _buffers(rows):
+            long = [row for row in group if len(row[-1]) >= MATCH]
+            runs = iter(repeated_runs(Parsed([r[-1] for r in long], [0] * len(long)), known([r[len(keep) + 1 : -1] for r in long])) if long else ())
+            for row in group:
+                yield (*row[: len(keep)], *fn(row[len(keep)], row[-1], next(runs) if len(row[-1]) >= MATCH else []))
 
     kept = "".join(f"`{k}` {kinds[k]}, " for k in keep)
     return map_rows(rows.select(*[F.col(f"`{k}`") for k in keep], "_sfx_text", *names), run, kept + schema)

@@ -19,8 +19,11 @@ of two shingles having one hash.
 
 Links are found without all pairs of a group: in a few rounds, each document is verified against one partner,
 the document that leads most of its cells (by another order each round); cells whose documents are all in one
-component are done. What is left, cells with documents of several components, is paired across components
-exhaustively, so that no link between components is lost.
+component are done. In cells with documents of several components, each document is measured against the cell's
+leader: how many of the leader's shingles it lacks, and how many it adds that another document has too. Two
+documents' sets differ by at least the sum of their differences from the leader less twice what these can have in
+common, and where this already exceeds the limit, as it does for documents that drifted from the leader each in its
+own way, the pair is passed over unseen. The rest is paired across components and verified, so no link is lost.
 
 A null text, or one without words, has no shingles and links with nothing. Rows sharing an id are one
 document. A row with a null id gets the component of a document with its set, null if there is none.
@@ -169,17 +172,63 @@ def _leading_cells(sets: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") <= distance + 1 - (F.col("filled") - F.col("some"))).select("key", "rep", "n").distinct()
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets link."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets link."""
 
     def run(rows):
         for x, y, sx, sy in rows:
             if links(np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64)):
                 yield x, y
 
-    return map_rows(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), run, "a bigint, b bigint").distinct()
+    return map_rows(_with_sets(pairs, sets), run, "a bigint, b bigint").distinct()
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, both): the shingles that the sets of each pair share."""
+
+    def run(rows):
+        for x, y, sx, sy in rows:
+            yield x, y, len(np.intersect1d(np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64), assume_unique=True))
+
+    return map_rows(_with_sets(pairs, sets), run, "a bigint, b bigint, both bigint").distinct()
+
+
+def _own_shingles(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, own): how many shingles of each of ``docs`` no other of them has; none: no row."""
+
+    def run(rows):
+        for rep, raw in rows:
+            yield rep, np.frombuffer(raw, np.int64).tolist()
+
+    held = map_rows(sets.join(docs, "rep", "left_semi").select("rep", "s"), run, "rep bigint, keys array<bigint>").distinct()
+    once = held.select("rep", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    return once.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _residual_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) across the components of a cell that may link, as far as their differences from its leader tell."""
+    lead = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("f")).select("key", F.col("f.rep").alias("a"), F.col("f.n").alias("m"))
+    met = rows.join(lead, "key")
+    shared = cut(_overlaps(met.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), sets))
+    own = cut(_own_shingles(rows.select("rep").distinct(), sets))
+    met = met.join(shared.withColumnRenamed("b", "rep"), ["a", "rep"], "left").join(own, "rep", "left")
+    both = F.coalesce("both", "n")  # the leader shares all it has with itself
+    lacks, adds = F.col("m") - both, F.col("n") - both
+    # a document's own shingles are none of the leader's, so they are among those it adds
+    common = F.greatest(F.lit(0), adds - F.coalesce("own", F.lit(0)))
+    seen = cut(met.select("key", "rep", "n", "comp", lacks.alias("lacks"), adds.alias("adds"), common.alias("common")))
+    one, two = ([F.col("key").alias("key"), *[F.col(c).alias(c + x) for c in seen.columns if c != "key"]] for x in ("_1", "_2"))
+    differ = sum((F.col(c + x) for c in ("lacks", "adds") for x in ("_1", "_2")), F.lit(0))
+    least = differ - 2 * (F.least("lacks_1", "lacks_2") + F.least("common_1", "common_2"))
+    near = (SIM_DEN + SIM_NUM) * least <= (SIM_DEN - SIM_NUM) * (F.col("n_1") + F.col("n_2"))
+    pairs = seen.select(*one).join(seen.select(*two), "key").where((F.col("comp_1") < F.col("comp_2")) & _size_fits("n_1", "n_2") & near)
+    return pairs.select(F.col("rep_1").alias("a"), F.col("rep_2").alias("b")).distinct()
 
 
 def _size_fits(m: str, n: str):
@@ -215,10 +264,7 @@ def components(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         every = every.union(found)
         comp = cut(_merged(comp, found))
-    rows = cut(_open_cells(lead, comp))
-    one = rows.select("key", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("comp").alias("ca"))
-    two = rows.select("key", F.col("rep").alias("b"), "n", F.col("comp").alias("cb"))
-    pairs = one.join(two, "key").where((F.col("ca") < F.col("cb")) & _size_fits("m", "n")).select("a", "b").distinct()
+    pairs = _residual_pairs(cut(_open_cells(lead, comp)), sets)
     found = cut(_verify(pairs, sets))
     if not found.isEmpty():
         comp = cut(_merged(comp, found))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(r)
+def _settled(e: DataFrame) -> bool:
+    """Whether every node above another is so once, and none of those is below it: stars and nothing else."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -20,12 +21,9 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     node with any number of links is spread by the join. Rounds grow with the logarithm of the longest path.
     """
     e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
     for _ in range(max_rounds):
-        mark = _mark(e)
-        if mark == seen or not mark[0]:
+        if _settled(e):
             break
-        seen = mark
         # large star: every neighbour above a node goes to the least node around it
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
@@ -35,5 +33,4 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = big.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
         down = big.join(low, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(down.union(low.select(F.col("n").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
-    comp = e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
-    return comp.union(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

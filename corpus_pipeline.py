@@ -18,8 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; of the others, lines that fail a rule go."""
-    judged = quality.assess(docs.select(*COLUMNS)).where("_q_kept").withColumn("text", F.col("_q_clean_text"))
-    return judged.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return quality.keep_clean(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,6 +130,17 @@ def assess(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFram
     return out.drop(*(f"{prefix}{x}" for x in ("words", "lines", "grams", "full", "gone", "lost")))
 
 
+def keep_clean(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` that are kept, with the cleaned text and its length in code points.
+
+    The verdict is tied to a row number that says nothing, which keeps the optimiser from moving the filter below
+    the arrays it rests on: there it would build them again for every element that a lambda looks at.
+    """
+    judged = assess(docs, text).withColumn("_q_stay", F.col("_q_kept") & (F.monotonically_increasing_id() >= 0))
+    kept = judged.where("_q_stay").withColumns({text: F.col("_q_clean_text"), length: F.length("_q_clean_text").cast("long")})
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     """One row per document: the base counts, whether they fail, and the verdict."""
     from .common import tables

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from hashlib import sha256
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.llm import chat, licenses, mixing, quality
@@ -91,6 +92,16 @@ def test_quality_counts(spark):
     assert quality.assess(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("said", ["We use cookies", "Read our PRIVACY policy", "Terms of Service", "Skip to content", "Share this post", "Read more \u00bb"])
+def test_quality_boilerplate_in_lines_of_any_length(spark, said):
+    prose = " ".join(f"word{i}" for i in range(60))
+    texts = [prose + f" {said} " + " ".join(f"more{i}" for i in range(60)) + ".", prose + " " + " ".join(f"more{i}" for i in range(60)) + "."]
+    assert all(len(t) > 600 for t in texts)
+    out = {r.doc_id: r for r in quality.assess(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert (out[0]._q_kept, out[0]._q_clean_text) == (False, "")
+    assert (out[1]._q_kept, out[1]._q_clean_text) == (True, texts[1])
+
+
 def test_quality_verdicts(spark):
     prose = "The quick brown fox jumps over the lazy dog near a river bank today."
     texts = [prose, prose + "\nHome | News | About | Contact", prose + "\n" + "BUY!! NOW!! " * 12, "word*** other$$$ more### " * 8 + "x", prose + "\nAll rights reserved."]

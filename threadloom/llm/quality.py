@@ -7,6 +7,9 @@ null ids, repeated rows and columns with any other names pass through untouched.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +33,16 @@ MAX_LOSS_PERCENT = 30
 CLOSING = ".!?:;\"')]\u2026\u201d\u2019\u00bb\u3002\uff01\uff1f"
 NAV_HINT = "[|>\\u00bb\\u2022\\u00b7/]|::|->"
 NAV_MARKS = "(^|[ \\t])([|>\\u00bb\\u2022\\u00b7/]|::|->)(?=[ \\t]|$)"
-#: Boilerplate is looked for in lines up to so many characters; longer ones are paragraphs.
-BOILERPLATE_CHARS = 300
 BOILERPLATE = (
     "all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses? cookies|lorem ipsum"
     "|enable javascript|sign up for our newsletter|subscribe to our|click here to|skip to (main )?content"
     "|share this (article|page|post)|read more \\u00bb"
 )
+#: Every match of ``BOILERPLATE`` holds one of these, so a text without any has no such line.
+BOILERPLATE_STEMS = (
+    "all rights reserved", "terms of ", "privacy policy", "cookie policy", "cookies", "lorem ipsum", "enable javascript",
+    "sign up for our newsletter", "subscribe to our", "click here to", "skip to ", "share this ", "read more \u00bb",
+)
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -47,9 +53,17 @@ def _word_chars(text: Column) -> Column:
     return F.length(F.array_join(words(text), "")).cast("long")
 
 
-def line_fails(line: Column) -> Column:
+def may_hold_boilerplate(text: Column) -> Column:
+    """Whether boilerplate is worth looking for in the lines of a text; false only if none can match."""
+    lowered = F.lower(text)
+    return reduce(or_, (F.contains(lowered, F.lit(s)) for s in BOILERPLATE_STEMS))
+
+
+def line_fails(line: Column, hinted: Column) -> Column:
     """Whether a line goes; lines without a word never do, they carry no text to judge.
 
+    ``hinted``: ``may_hold_boilerplate`` of the line's text.
+
     Cheap tests stand first: words are counted only in lines that lack a closing mark or hold symbols,
     shouts or separators, which few lines of prose do.
     """
@@ -59,7 +73,7 @@ def line_fails(line: Column) -> Column:
     shouts = F.length(line) - F.length(F.replace(line, F.lit("!"), F.lit("")))
     punctuation = (~closed & (n < SHORT_LINE_WORDS)) | ((symbols > 0) & (100 * symbols > MAX_SYMBOLS_PERCENT * n)) | ((shouts > 0) & (100 * shouts > MAX_SHOUTS_PERCENT * n))
     navigation = line.rlike(NAV_HINT) & (marks >= NAV_SEPARATORS) & (100 * marks > NAV_PERCENT * n)
-    boilerplate = (F.length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike(BOILERPLATE)
+    boilerplate = hinted & F.lower(line).rlike(BOILERPLATE)
     return line.rlike(HAS_WORD) & (punctuation | navigation | boilerplate)
 
 
@@ -98,7 +112,7 @@ def assess(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFram
     base_failed, clean_text (the lines that pass), kept. ``prefix`` keeps them clear of the input's."""
     c = lambda name: F.col(f"{prefix}{name}")
     body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns({f"{prefix}words": words(F.col(text)), f"{prefix}lines": F.split(body, "\n")})
+    out = docs.withColumns({f"{prefix}words": words(F.col(text)), f"{prefix}lines": F.split(body, "\n"), f"{prefix}hinted": may_hold_boilerplate(body)})
     w = c("words")
     grams = F.when(
         F.size(w) >= WINDOW,
@@ -108,10 +122,10 @@ def assess(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFram
         {
             f"{prefix}grams": grams,
             f"{prefix}full": F.filter(c("lines"), lambda x: x.rlike(HAS_WORD)),
-            f"{prefix}gone": F.filter(c("lines"), line_fails),
+            f"{prefix}gone": F.filter(c("lines"), lambda x: line_fails(x, c("hinted"))),
         }
     )
-    clean = F.when(F.size(c("gone")) == 0, body).otherwise(F.array_join(F.filter(c("lines"), lambda x: ~line_fails(x)), "\n"))
+    clean = F.when(F.size(c("gone")) == 0, body).otherwise(F.array_join(F.filter(c("lines"), lambda x: ~line_fails(x, c("hinted"))), "\n"))
     lost = F.when(F.size(c("gone")) == 0, F.lit(0)).otherwise(_word_chars(F.array_join(c("gone"), "\n"))).cast("long")
     out = out.withColumns(
         {
@@ -127,7 +141,7 @@ def assess(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFram
     failed = (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))
     out = out.withColumn(f"{prefix}base_failed", failed)
     out = out.withColumn(f"{prefix}kept", ~c("base_failed") & (100 * c("lost") <= MAX_LOSS_PERCENT * c("word_chars")))
-    return out.drop(*(f"{prefix}{x}" for x in ("words", "lines", "grams", "full", "gone", "lost")))
+    return out.drop(*(f"{prefix}{x}" for x in ("words", "lines", "hinted", "grams", "full", "gone", "lost")))
 
 
 def keep_clean(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:

@@ -36,3 +36,9 @@ def test_templates_by_host(spark, limit):
     want = [(i, f"story {i}") for i in range(20)] + [(7, "story 7"), (None, "")] + [(100 + i, f"other {i}\nPart of the network") for i in range(3)]
     assert got == sorted(want, key=str)
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_a_wrapper_of_an_article_is_no_template(spark):
+    page = "<body><div id='page'><p>Tagline</p><div id='content'><article><p>story {}</p></article></div></div></body>"
+    pages = spark.createDataFrame([(i, "https://a.example/p", page.format(i)) for i in range(20)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.text) for r in html.extract(pages).collect()) == [(i, f"story {i}") for i in range(20)]

@@ -163,7 +163,11 @@ def subtrees(root: Node, host: str) -> dict[int, int]:
             continue
         order.append(node)
         stack.extend((k, inside) for k in node.kids if isinstance(k, Node))
+    holds: set[int] = set()  # ancestors of an article
     for node in reversed(order):
+        if any(isinstance(k, Node) and (k.tag in ("article", "main") or id(k) in holds) for k in node.kids):
+            holds.add(id(node))
+            continue
         parts, text = [node.tag, node.names], False
         for k in node.kids:
             if isinstance(k, str):
@@ -174,10 +178,6 @@ def subtrees(root: Node, host: str) -> dict[int, int]:
             elif id(k) in found:
                 parts.append(str(found[id(k)]))
                 text = True
-            elif k.tag in ("article", "main"):
-                parts.append("#article")
-                text = False
-                break
         if text and node.tag not in ("#root", "html", "body"):
             found[id(node)] = _key(host, xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")))
     return found

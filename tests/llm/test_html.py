@@ -42,3 +42,20 @@ def test_a_wrapper_of_an_article_is_no_template(spark):
     page = "<body><div id='page'><p>Tagline</p><div id='content'><article><p>story {}</p></article></div></div></body>"
     pages = spark.createDataFrame([(i, "https://a.example/p", page.format(i)) for i in range(20)], "page_id long, url string, html string")
     assert sorted((r.page_id, r.text) for r in html.extract(pages).collect()) == [(i, f"story {i}") for i in range(20)]
+
+
+def test_templates_inside_articles_go_by_distinct_pages(spark):
+    notice = "<div class='x'><p>Members read on.</p></div>"
+    rows = [(i, "https://a.example/p", f"<article><p>story {i} <b>the</b> end</p>{notice if i < 6 else ''}</article>") for i in range(100)]
+    rows += [(200 + i, "https://b.example/p", f"<article><p>story {i}</p>{notice}</article>") for i in range(5)]
+    # one page at many addresses, with something else around it
+    rows += [(300 + i, f"https://c.example/{i}", f"<div>menu {i}</div><article><p>copied</p>{notice}</article>") for i in range(20)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"story {i} the end" for i in range(100)} | {200 + i: f"story {i}\nMembers read on." for i in range(5)} | {300 + i: "copied\nMembers read on." for i in range(20)}
+
+
+def test_templates_of_a_section_of_a_large_host_go(spark):
+    box = "<div class='x'><a>Section</a> <a>front</a></div>"
+    rows = [(i, "https://a.example/p", f"<body>{box if i < 20 else ''}<p>story {i} <a>more</a></p></body>") for i in range(400)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"story {i} more" for i in range(400)}

@@ -2,14 +2,14 @@
 
 Pages are parsed to element trees. Elements that never hold article text (scripts, menus, headers and footers of
 the page, sidebars, forms, and boxes whose class, id or role names an advert, notice, comment or share list) go by
-name. Templates go by count: every subtree outside the article body that holds text is hashed (tags, attributes'
-names and text), subtrees are counted once a page per host, and those on more than ``MIN_PAGES`` pages and more
-than ``MIN_SHARE`` of a host's pages are deleted. If a page has an ``article`` or ``main`` element, its text is the
-main text; else the body's.
+name. Templates go by count, inside the article too: every block that holds text is hashed (tags, attributes' names
+and text), and those on more than ``MIN_PAGES`` different pages of a host are deleted, however large the host; copies
+of a page are one page. If a page has an ``article`` or ``main`` element, its text is the main text; else the body's.
 
-Counts combine before the shuffle, so a host with a third of all pages is a few rows per map task and subtree. The
-recurring (host, subtree) keys are few next to the pages; up to ``BROADCAST_KEYS`` of them go to all workers, beyond
-that they are joined to the pages' own subtree keys and gathered per page (bounded by the page).
+Pages and subtrees are made distinct by both and counts combine before their shuffle, so neither a host with a third
+of all pages nor a subtree on all of them is many rows in a task. The recurring keys are few next to the pages; up to
+``BROADCAST_KEYS`` of them go to all workers, beyond that they are joined to the pages' own subtree keys and gathered
+per page (bounded by the page).
 
 Text: character references decoded, white space inside a block one space, trimmed, blocks in page order joined by
 a line feed, nothing dropped or capped. Null html is empty and gives an empty text; unclosed and stray tags are
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import cut, map_rows
 
 MIN_PAGES = 5
-MIN_SHARE = 0.1
 BROADCAST_KEYS = 2_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -148,24 +147,28 @@ def _key(host: str, digest: int) -> int:
 
 
 def subtrees(root: Node, host: str) -> dict[int, int]:
-    """Key by ``id`` of each text-holding element outside the article body that isn't gone by name."""
+    """Key by ``id`` of each text-holding element that can go as a template and isn't gone by name.
+
+    These are blocks, and outside the article inline elements whose parent is a block without text of its own: an inline
+    element within a sentence is part of it however often it recurs. An article and what holds one never go.
+    """
     import xxhash
 
     found: dict[int, int] = {}
+    digests: dict[int, int] = {}
     # bottom-up without recursion: html can nest deeper than Python's stack
-    order, stack = [], [(root, False)]
+    order, stack = [], [(root, False, False)]
     while stack:
-        node, inside = stack.pop()
+        node, inside, alone = stack.pop()
         if node.tag != "#root" and beside(node, inside):
             continue
         inside = inside or node.tag in ("article", "main")
-        if inside:
-            continue
-        order.append(node)
-        stack.extend((k, inside) for k in node.kids if isinstance(k, Node))
-    holds: set[int] = set()  # ancestors of an article
-    for node in reversed(order):
-        if any(isinstance(k, Node) and (k.tag in ("article", "main") or id(k) in holds) for k in node.kids):
+        order.append((node, node.tag not in INLINE or (alone and not inside)))
+        bare = node.tag not in INLINE and not any(isinstance(k, str) and k.strip() for k in node.kids)
+        stack.extend((k, inside, bare) for k in node.kids if isinstance(k, Node))
+    holds: set[int] = set()  # articles and their ancestors
+    for node, apart in reversed(order):
+        if node.tag in ("article", "main") or any(id(k) in holds for k in node.kids):
             holds.add(id(node))
             continue
         parts, text = [node.tag, node.names], False
@@ -175,11 +178,13 @@ def subtrees(root: Node, host: str) -> dict[int, int]:
                 if plain:
                     parts.append(plain)
                     text = True
-            elif id(k) in found:
-                parts.append(str(found[id(k)]))
+            elif id(k) in digests:
+                parts.append(str(digests[id(k)]))
                 text = True
         if text and node.tag not in ("#root", "html", "body"):
-            found[id(node)] = _key(host, xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")))
+            digests[id(node)] = digest = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass"))
+            if apart:
+                found[id(node)] = _key(host, digest)
     return found
 
 
@@ -238,24 +243,25 @@ def _find(root: Node, tags: tuple[str, ...]):
 
 
 def template_keys(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(host, key), one row per page and distinct subtree; key 0 stands for the page itself."""
+    """(key, page), one row per page and distinct subtree. Keys include the host. Pages are told apart by their main
+    text, so copies of a page count once, whatever their address and the templates around them."""
+    import xxhash
 
     def run(rows):
         for place, source in rows:
-            host = host_of(place)
-            yield host, 0
-            for key in set(subtrees(parse(source or ""), host).values()):
-                yield host, int(np.uint64(key).view(np.int64))
+            root = parse(source or "")
+            keys = set(subtrees(root, host_of(place)).values())
+            page = xxhash.xxh64_intdigest(main_text(root, {}, ()).encode("utf-8", "surrogatepass")) if keys else 0
+            for key in keys:
+                yield int(np.uint64(key).view(np.int64)), int(np.uint64(page).view(np.int64))
 
-    return map_rows(pages.select(url, html), run, "host string, key bigint")
+    return map_rows(pages.select(url, html), run, "key bigint, page bigint")
 
 
-def recurring_keys(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def recurring_keys(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """(key): the subtrees that recur on a host."""
-    counts = cut(template_keys(pages, url, html).groupBy("host", "key").count())
-    total = counts.where("key = 0").select("host", F.col("count").alias("pages"))
-    often = counts.where((F.col("key") != 0) & (F.col("count") > min_pages))
-    return often.join(total, "host").where(F.col("count") > F.col("pages") * F.lit(min_share)).select("key").distinct()
+    counts = template_keys(pages, url, html).distinct().groupBy("key").count()
+    return counts.where(F.col("count") > min_pages).select("key")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:

@@ -59,3 +59,19 @@ def test_templates_of_a_section_of_a_large_host_go(spark):
     rows = [(i, "https://a.example/p", f"<body>{box if i < 20 else ''}<p>story {i} <a>more</a></p></body>") for i in range(400)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"story {i} more" for i in range(400)}
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<article><pre><code>x = 1 <span class='hljs-comment'># one</span></code></pre></article>", "x = 1 # one"),
+        ("<article><h2 class='comments'>Replies</h2><h2 id='share'>On sharing</h2><p class='notice'>n <span class='search'>s</span></p></article>", "Replies\nOn sharing\nn s"),
+        ("<main><div class='related-work'>r</div><div id='login-steps'>l</div><section id='comments'>c</section></main>", "r\nl\nc"),
+        ("<article><p>press <button>OK</button> or <label>name</label></p><fieldset>f</fieldset><textarea>t &lt;</textarea><dialog>d</dialog></article>", "press OK or name\nf\nt <\nd"),
+        ("<article>a<div class='x ad'>ad</div><ul class='share-list'><li>s</ul><div class='comments'>c</div><div class='advertisement'>x</div></article>", "a"),
+        ("<main><article>a<div class='related'>r</div></article><div class='sidebar'>s</div><button>b</button></main>", "a\nr"),
+        ("<body><label>l</label><div class='related-work'>r</div><p>b</p>", "b"),
+    ],
+)
+def test_names_inside_articles_drop_only_clear_boxes(source, want):
+    assert text(source) == want

@@ -2,7 +2,7 @@
 
 Pages are parsed to element trees. Elements that never hold article text (scripts, menus, headers and footers of
 the page, sidebars, forms, and boxes whose class, id or role names an advert, notice, comment or share list) go by
-name. Templates go by count, inside the article too: every block that holds text is hashed (tags, attributes' names
+name; inside the article only blocks whose class marks adverts, share lists or reader comments do. Templates go by count, inside the article too: every block that holds text is hashed (tags, attributes' names
 and text), and those on more than ``MIN_PAGES`` different pages of a host are deleted, however large the host; copies
 of a page are one page. If a page has an ``article`` or ``main`` element, its text is the main text; else the body's.
 
@@ -48,16 +48,25 @@ BESIDE = re.compile(
     r"sidebars?|side-?bar|aside|widgets?|related|recommend\w*|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|comment\w*|disqus\w*|repl(?:y|ies)|respond|"
     r"share|sharing|social|footer|site-?header|masthead|complementary|contentinfo|search|login)(?:$|[^a-z])"
 )
+#: Elements of ``DROPPED`` whose text stays inside an article.
+KEPT_INSIDE = frozenset("label button textarea fieldset dialog".split())
+#: Inside an article boxes go only if they are one of these elements with such a class, whole.
+BOXES = frozenset("div section ul ol dl p figure table center".split())
+BOX_CLASS = re.compile(
+    r"(?:ads?|adsense|adsbygoogle|advert|advertisement|advertising|ad-?(?:box|banner|slot|unit|container|wrapper|label)|sponsored(?:-?content)?|"
+    r"share|sharing|sharedaddy|addtoany|(?:share|social|sharing)-?(?:bar|box|buttons?|icons?|links?|list|tools|media)|"
+    r"comments|comment-?(?:list|section|thread|respond|form)|comments-?(?:area|list|section|thread)|disqus(?:[-_]?thread)?)"
+)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "kids")
+    __slots__ = ("tag", "names", "kids", "classes")
 
-    def __init__(self, tag: str, names: str = ""):
-        self.tag, self.names, self.kids = tag, names, []
+    def __init__(self, tag: str, names: str = "", classes: str = ""):
+        self.tag, self.names, self.kids, self.classes = tag, names, [], classes
 
 
 def parse(source: str) -> Node:
@@ -108,10 +117,12 @@ def parse(source: str) -> Node:
                     break
                 if stack[k].tag not in INLINE:
                     break
-        names = ""
+        names = classes = ""
         if m[3] and ("class" in m[3] or "id" in m[3] or "role" in m[3] or "hidden" in m[3]):
-            names = " ".join((b or c or d).lower() if a.lower() in ("class", "id", "role") else "#hidden" if a.lower() == "hidden" else "" for a, b, c, d in ATTRIBUTE.findall(m[3]))
-        node = Node(tag, names.strip())
+            given = ATTRIBUTE.findall(m[3])
+            names = " ".join((b or c or d).lower() if a.lower() in ("class", "id", "role") else "#hidden" if a.lower() == "hidden" else "" for a, b, c, d in given)
+            classes = next(((b or c or d).lower() for a, b, c, d in given if a.lower() == "class"), "")
+        node = Node(tag, names.strip(), classes)
         stack[-1].kids.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in RAW:
             continue
@@ -124,13 +135,22 @@ def parse(source: str) -> Node:
     return root
 
 
-def beside(node: Node, in_article: bool) -> bool:
-    """Whether an element goes by its name."""
-    if node.tag in DROPPED or (node.tag == "header" and not in_article):
+def article_tags(root: Node) -> tuple[str, ...]:
+    """The elements that are the article: ``main`` only on pages without ``article``, else it holds what lies beside one."""
+    return ("article",) if any(True for _ in _find(root, ("article",))) else ("article", "main")
+
+
+def beside(node: Node, inside: bool, in_article: bool) -> bool:
+    """Whether an element goes by its name: inside the article only clear boxes do. ``inside``: in article or main."""
+    if in_article and node.tag in KEPT_INSIDE:
+        return "#hidden" in node.names
+    if node.tag in DROPPED or (node.tag == "header" and not inside):
         return True
-    if node.tag in ("article", "main", "body", "html"):
+    if node.tag in ("article", "main", "body", "html") or not node.names:
         return False
-    return bool(node.names) and ("#hidden" in node.names or BESIDE.search(node.names) is not None)
+    if in_article:
+        return "#hidden" in node.names or (node.tag in BOXES and any(BOX_CLASS.fullmatch(c) for c in node.classes.split()))
+    return "#hidden" in node.names or BESIDE.search(node.names) is not None
 
 
 def host_of(url: str | None) -> str:
@@ -157,15 +177,17 @@ def subtrees(root: Node, host: str) -> dict[int, int]:
     found: dict[int, int] = {}
     digests: dict[int, int] = {}
     # bottom-up without recursion: html can nest deeper than Python's stack
-    order, stack = [], [(root, False, False)]
+    own = article_tags(root)
+    order, stack = [], [(root, False, False, False)]
     while stack:
-        node, inside, alone = stack.pop()
-        if node.tag != "#root" and beside(node, inside):
+        node, inside, in_article, alone = stack.pop()
+        if node.tag != "#root" and beside(node, inside, in_article):
             continue
         inside = inside or node.tag in ("article", "main")
+        in_article = in_article or node.tag in own
         order.append((node, node.tag not in INLINE or (alone and not inside)))
         bare = node.tag not in INLINE and not any(isinstance(k, str) and k.strip() for k in node.kids)
-        stack.extend((k, inside, bare) for k in node.kids if isinstance(k, Node))
+        stack.extend((k, inside, in_article, bare) for k in node.kids if isinstance(k, Node))
     holds: set[int] = set()  # articles and their ancestors
     for node, apart in reversed(order):
         if node.tag in ("article", "main") or any(id(k) in holds for k in node.kids):
@@ -200,19 +222,20 @@ def main_text(root: Node, keys: dict[int, int], recurring) -> str:
             blocks.append(text)
         run.clear()
 
-    # entries: (node, inside an article) to open, or None to close a block
-    stack: list = [(root, False)]
+    # entries: (node, inside an article or main, inside the article) to open, or None to close a block
+    own = article_tags(root)
+    stack: list = [(root, False, False)]
     while stack:
         item = stack.pop()
         if item is None:
             close()
             continue
-        node, inside = item
+        node, inside, in_article = item
         if isinstance(node, str):
             if inside or not has_article:
                 run.append(node)
             continue
-        if node.tag != "#root" and beside(node, inside):
+        if node.tag != "#root" and beside(node, inside, in_article):
             if node.tag not in INLINE:
                 close()
             continue
@@ -224,11 +247,12 @@ def main_text(root: Node, keys: dict[int, int], recurring) -> str:
             run.append(" ")
             continue
         inside = inside or node.tag in ("article", "main")
-        block = node.tag not in INLINE
+        in_article = in_article or node.tag in own
+        block = node.tag not in INLINE and node.tag not in ("label", "button")
         if block:
             close()
             stack.append(None)
-        stack.extend((k, inside) for k in reversed(node.kids))
+        stack.extend((k, inside, in_article) for k in reversed(node.kids))
     close()
     return "\n".join(blocks)
 

@@ -118,3 +118,19 @@ def test_licences(spark):
     out = [(r.doc_id, r.license_id, r.notices) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).orderBy("doc_id", "license_id").collect()]
     assert sorted(out, key=str) == sorted([(1, "MIT", []), (2, None, []), (3, None, []), (4, None, ["MIT"]), (5, "ISC", []), (5, None, [])], key=str)
     assert sha256(b"").hexdigest() in {r.canonical_sha256 for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+
+def test_license_notices_of_every_kind(spark):
+    # the four wordings that occur in documents, then others
+    said = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 3.0": "CC-BY-NC-3.0", "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0", "Licensed under the GNU Affero General Public License v3": "AGPL-3.0",
+        "Licensed under the Mozilla Public License, v. 2.0": "MPL-2.0", "Released under the Unlicense": "Unlicense", "Licensed under CC BY-NC": "",
+    }
+    docs = spark.createDataFrame([(i, f"text\n{line}\nmore") for i, line in enumerate(said)], "doc_id long, text string")
+    assert [",".join(r.notices) for r in licenses.scan(docs).orderBy("doc_id").collect()] == list(said.values())
+    lines = [(name, t) for name, every in licenses.NOTICES.items() for t in every]
+    known = spark.createDataFrame(lines, "name string, t string").select("name", licenses._whole(licenses._canonical_lines(F.col("t"))).alias("k")).collect()
+    assert all(licenses.NOTICE_STEM in r.k for r in known)
+    assert len({r.k for r in known}) == len({(r.name, r.k) for r in known})

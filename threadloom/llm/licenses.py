@@ -64,6 +64,43 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "BSD-2-Clause": ("Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"),
     "ISC": ("Licensed under the ISC License", "SPDX-License-Identifier: ISC"),
 }
+_GNU = (
+    ("GPL", "GNU General Public License", ("2.0", "3.0")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3.0")), ("AGPL", "GNU Affero General Public License", ("3.0",)),
+)
+_CC = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+_CC_SCOPE = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+_UNDER = ("Licensed under", "This work is licensed under")
+
+
+def _add(name: str, *lines: str) -> None:
+    NOTICES[name] = tuple(dict.fromkeys(NOTICES.get(name, ()) + lines))
+
+
+for _short, _long, _versions in _GNU:
+    for _v in _versions:
+        _plain = _v.removesuffix(".0")
+        _names = [f"the {_long}{_sep}{_w}" for _sep in (", version ", " version ", " v") for _w in dict.fromkeys((_plain, _v))]
+        _add(
+            f"{_short}-{_v}", *[f"{_by} {_n}{_later}" for _by in (*_UNDER, "Released under") for _n in _names for _later in ("", " or later")],
+            *[f"SPDX-License-Identifier: {_short}-{_v}{_end}" for _end in ("", "-only", "-or-later")],
+        )
+for _by in (*_UNDER, "Released under"):
+    _add("MPL-2.0", *[f"{_by} the Mozilla Public License{_sep}2.0" for _sep in (", version ", " version ", ", v. ", " ")])
+    _add("Unlicense", f"{_by} the Unlicense")
+    _add("MIT", f"{_by} the MIT License")
+    _add("Apache-2.0", f"{_by} the Apache License, Version 2.0")
+_add("MPL-2.0", "SPDX-License-Identifier: MPL-2.0")
+_add("Unlicense", "SPDX-License-Identifier: Unlicense")
+_add("CC0-1.0", *[f"{_by} CC0 1.0" for _by in _UNDER], "SPDX-License-Identifier: CC0-1.0")
+for _short, _long in _CC:
+    for _v, _scope in _CC_SCOPE.items():
+        _name = _long if _v == "4.0" else _long.replace("NoDerivatives", "NoDerivs")
+        _add(
+            f"CC-{_short}-{_v}", *[f"{_by} CC {_short} {_v}" for _by in _UNDER], f"SPDX-License-Identifier: CC-{_short}-{_v}",
+            *[f"{_by} a Creative Commons {_name} {_v}{_end} License" for _by in _UNDER for _end in ("", f" {_scope}")],
+        )
+#: Every notice's canonical line holds this, so lines without it needn't be hashed.
+NOTICE_STEM = "license"
 #: Equivalent spellings, the one used and the ones replaced by it.
 SPELLINGS = (
     ("license", "licence"), ("sublicense", "sub-license"), ("acknowledgment", "acknowledgement"), ("organization", "organisation"),
@@ -105,8 +142,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     longest = max(len(t) for every in NOTICES.values() for t in every)
     names = F.create_map(*[F.lit(x) for pair in sorted(notices.items()) for x in pair])
     lined = docs.withColumn("_lic_lines", _canonical_lines(F.col(text)))
-    # a canonical line longer than any notice can't be one
-    short = F.filter(F.transform(F.split("_lic_lines", "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) <= longest) & (x != ""))
+    # a canonical line longer than any notice, or without what all of them hold, can't be one
+    short = F.filter(F.transform(F.split("_lic_lines", "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) <= longest) & F.contains(x, F.lit(NOTICE_STEM)))
     hits = F.filter(F.transform(short, lambda x: F.try_element_at(names, F.sha2(x, 256))), lambda x: x.isNotNull())
     out = lined.withColumns({"canonical_sha256": F.sha2(_whole(F.col("_lic_lines")), 256), "notices": F.array_sort(F.array_distinct(hits))}).drop("_lic_lines")
     known = F.broadcast(_known(spark, LICENSES))

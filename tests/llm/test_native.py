@@ -37,6 +37,9 @@ def test_mix_targets_and_caps(spark):
     rnd = random.Random(2)
     rows = [(i, " ".join("w" * rnd.randrange(0, 40)) if i % 9 else None, rnd.choice(["a", "a", "a", "b", "c", "d", None]), 1) for i in range(300)] + [(None, "x y", "b", 1), (7, "q q q", "a", 1), (7, "q q q", "a", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, target int").repartition(4)
+    docs = docs.withColumns({"size": F.lit(-1), "bucket": F.lit("b"), "source_size": F.lit("c")})
+    out = mixing.mix(docs, keep=("size", "bucket", "source_size", "target", "text"), broadcast_buckets=-1).collect()
+    assert all(tuple(r.kept)[:3] == (-1, "b", "c") and r.size == len((r.kept.text or "").split()) for r in out)
     out = mixing.mix(docs).collect()
     assert len(out) == len(rows) and sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, out))
     size = Counter()

@@ -1,13 +1,20 @@
 """N-gram Jaccard join by parity sketches: documents whose sets of word 5-grams reach 0.75.
 
-Texts become sets of 64-bit shingle hashes. Documents with equal sets form a class and one of them stands for
-it. A set's parity sketch has a number of cells that belongs to its size band; each shingle is XOR-ed into one
-cell. Two sketches differ in at most as many cells as the sets differ in shingles, and sets A, B that reach 0.75
-differ in at most (|A| + |B|) / 7, so beyond that Hamming distance a pair is out. By the pigeonhole principle a
-pair within it agrees in some cell among any ``distance + 1`` cells that are filled; with the cells of all sets
-in one common order, rarest contents first, it agrees in a cell among the first ``distance + 1`` of both
-(contents found once count as cells but can't agree). These leading cells are joined by their contents;
-candidates are verified on the whole sets.
+Texts become sets of 64-bit shingle hashes. Documents with equal sets form a class, a node of the join; ids only
+name the result, so they may be of any type that has an order, null, or repeated with other texts.
+
+A set's parity sketch is a string of bits: each shingle flips the bit that its hash names. Two sketches differ in at
+most as many bits as the sets differ in shingles (the Hamming distance is a lower bound of the symmetric
+difference), and that stays so when a sketch is folded onto itself by XOR. Sets A, B that reach 0.75 differ in at
+most (|A| + |B|) / 7 shingles, so beyond that Hamming distance a pair is out.
+
+Sketches are used at two widths. At 2^48 bits, held as the list of the bits that are set, they are cut into blocks, as
+many as belong to the set's size band; by the pigeonhole principle a pair within ``distance`` agrees in some block
+among any ``distance + 1`` blocks of each that aren't empty. With the blocks of all sets in one common order, rarest
+contents first, it agrees among the first ``distance + 1`` of both (contents found once count as blocks but can't
+agree). These leading blocks are joined by their contents, so a band's candidates meet there. Folded to ``FOLD``
+bits or more a shingle of the band, sketches are dense, and their Hamming distance (XOR, count of bits) screens the
+candidates. What is left is verified on the whole sets.
 
 A set takes part in its own size band and in the one below if sets of three quarters of its size fall there,
 so that any two sets that can link meet in the band of the smaller.
@@ -17,34 +24,44 @@ Ahead of that, a screen takes the classes with a chance: of a class's ``SCREEN``
 both with probability 0.75 each, so a linked pair fails the screen with a probability under 1e-17, about that
 of two shingles having one hash.
 
-Links are found without all pairs of a group: in a few rounds, each document is verified against one partner,
-the document that leads most of its cells (by another order each round); cells whose documents are all in one
-component are done. In cells with documents of several components, each document is measured against the cell's
-leader: how many of the leader's shingles it lacks, and how many it adds that another document has too. Two
-documents' sets differ by at least the sum of their differences from the leader less twice what these can have in
-common, and where this already exceeds the limit, as it does for documents that drifted from the leader each in its
-own way, the pair is passed over unseen. The rest is paired across components and verified, so no link is lost.
+Components come without all pairs of a group. In a few rounds each class is verified against one partner, the
+class that leads most of its blocks (by another order each round); the partner's set goes once to each group of at
+most about ``LED`` classes that it leads. Blocks whose classes are in one component are done. Where several components
+still share a block, its classes are dealt into cells of about ``CELL`` shingles, and any two cells meet in one task, which
+screens by Hamming distance, verifies, and puts out no more links than it needs to join components: at most one for
+each class it holds. So no link is lost and no table of pairs is made; a task's size is bounded whatever the block's.
 
-A null text, or one without words, has no shingles and links with nothing. Rows sharing an id are one
-document. A row with a null id gets the component of a document with its set, null if there is none.
+``link_counts`` counts each class's links in the same way, cells of one component meeting two at a time; counts leave
+the tasks, not pairs. Comparing within a component of g different near copies takes g^2 comparisons by nature; they are
+bit operations inside tasks of bounded size.
+
+A null text, or one without words, has no shingles and links with nothing; its component is its own id. A class or
+component is named by the least id among its rows that isn't null, null if there is none.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows
+from .common import cut, discard, map_rows
 from .components import connected
 
 SHINGLE = 5
 SIM_NUM, SIM_DEN = 75, 100
 SCREEN, SCREEN_HITS = 48, 7
 SMALL = 64
+FOLD = 4
 ROUNDS = 3
-#: Ids up to this many go to all executors instead of moving the texts.
-BROADCAST_IDS = 1_000_000
+#: Classes that a partner is verified against in one group, about.
+LED = 512
+#: Shingles of a cell, about; a task holds two cells.
+CELL = 1 << 18
+#: Texts are found by a broadcast of up to so many digests of 16 bytes, else by a join.
+BROADCAST_TEXTS = 1_000_000
 CACHE_WORDS = 300_000
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -97,20 +114,54 @@ def band_of(n: int) -> int:
     return 0 if n <= SMALL else int((n - 1) // SMALL).bit_length()
 
 
+def bands_of(n: int) -> list[int]:
+    """The bands a set of ``n`` shingles takes part in."""
+    return sorted({band_of(n), band_of(-(-n * SIM_NUM // SIM_DEN))})
+
+
 def max_distance(n: int) -> int:
-    """Most cells in which a set of ``n`` shingles differs from one that it links with, of any size."""
+    """Most shingles in which a set of ``n`` differs from one that it links with, of any size."""
     larger = n * SIM_DEN // SIM_NUM
     return (n + larger) * (SIM_DEN - SIM_NUM) // (SIM_DEN + SIM_NUM)
 
 
-def cells(s: np.ndarray, band: int) -> np.ndarray:
-    """The filled cells of a set's sketch in a band, each hashed with its place. Band 0: a cell a shingle."""
+def wide_sketch(s: np.ndarray) -> np.ndarray:
+    """The bits set in the 2^48-bit parity sketch of a set, ascending: those that an odd number of shingles flip."""
+    bits, flips = np.unique(s >> np.uint64(16), return_counts=True)
+    return bits[flips % 2 == 1]
+
+
+def block_keys(bits: np.ndarray, band: int) -> np.ndarray:
+    """One hash of place and contents for each block of a wide sketch that has a bit set.
+
+    Band 0 has a block for each bit, band k >= 1 has 64 * 2^k of them.
+    """
     if band == 0:
-        return _mix(s ^ _C[3])
-    places = s >> np.uint64(64 - 6 - band)  # 64 * 2^band cells
+        return _mix(bits ^ _C[3])
+    if not len(bits):
+        return bits
+    places = bits >> np.uint64(48 - 6 - band)
     first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
-    words = np.bitwise_xor.reduceat(_mix(s), first)
-    return _mix(words ^ _mix(places[first] * _C[0] + np.uint64(band)))
+    contents = np.bitwise_xor.reduceat(_mix(bits), first)
+    return _mix(contents ^ _mix(places[first] * _C[0] + np.uint64(band)))
+
+
+def folded(sets: list[np.ndarray], band: int) -> np.ndarray:
+    """The sketches of ``sets`` folded to ``FOLD * SMALL * 2^band`` bits, a row of 64-bit words each."""
+    width = FOLD * SMALL << band
+    flips = np.zeros((len(sets), width), np.uint8)
+    for row, s in zip(flips, sets):
+        row[:] = np.bincount(((s >> np.uint64(16)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+
+
+def hamming(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(one ^ many).sum(axis=1, dtype=np.int64)
+
+
+def near(m, n, distance):
+    """Whether sets of ``m`` and ``n`` shingles that differ in no less than ``distance`` can link."""
+    return (SIM_DEN + SIM_NUM) * distance <= (SIM_DEN - SIM_NUM) * (m + n)
 
 
 def links(a: np.ndarray, b: np.ndarray) -> bool:
@@ -118,179 +169,330 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return SIM_DEN * both >= SIM_NUM * (len(a) + len(b) - both)
 
 
+class Overlaps:
+    """Exact overlaps of each of the ``left`` sets with all of the ``right`` ones, on the shingles that two of them share."""
+
+    def __init__(self, left: list[np.ndarray], right: list[np.ndarray]):
+        self.sizes = [np.array([len(s) for s in side], np.int64) for side in (left, right)]
+        every = np.concatenate([*left, *right]) if left or right else np.zeros(0, np.uint64)
+        shared, place, count = np.unique(every, return_inverse=True, return_counts=True)
+        rank = np.where(count > 1, np.cumsum(count > 1) - 1, -1)
+        self.n_shared = int((count > 1).sum())
+        ids = rank[place]
+        ends = np.cumsum(np.r_[0, self.sizes[0], self.sizes[1]])
+        own = np.repeat(np.arange(len(left) + len(right)), np.r_[self.sizes[0], self.sizes[1]])
+        ok = ids >= 0
+        self.ids = [ids[a:b][ok[a:b]] for a, b in zip(ends[: len(left)], ends[1 : len(left) + 1])]
+        at, whose = ids[ends[len(left)] :], own[ends[len(left)] :] - len(left)
+        at, whose = at[at >= 0], whose[at >= 0]
+        order = np.argsort(at, kind="stable")
+        self.whose = whose[order]
+        self.starts = np.searchsorted(at[order], np.arange(self.n_shared + 1))
+        self.n_right = len(right)
+
+    def of(self, i: int) -> np.ndarray:
+        """How many shingles the ``i``-th left set shares with each right one."""
+        a, b = self.starts[self.ids[i]], self.starts[self.ids[i] + 1]
+        n = b - a
+        if not n.sum():
+            return np.zeros(self.n_right, np.int64)
+        at = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        return np.bincount(self.whose[at], minlength=self.n_right)
+
+    def linked(self, i: int) -> np.ndarray:
+        both = self.of(i)
+        return (both > 0) & (SIM_DEN * both >= SIM_NUM * (self.sizes[0][i] + self.sizes[1] - both))
+
+
 def profiles(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, n, h1, h2, least): set size, set digest, and the least hashes of every document."""
+    """(id, t1, t2, n, h1, h2, least): digests of the text, set size, set digest, and the least hashes of every row."""
 
     def run(rows):
-        for key, body in rows:
+        for key, t1, t2, body in rows:
             s = shingles(body)
-            yield (key, len(s), *set_key(s), s[:SCREEN].view(np.int64).tolist())
+            yield (key, t1, t2, len(s), *set_key(s), s[:SCREEN].view(np.int64).tolist())
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    ready = docs.select(F.col(f"`{doc_id}`"), *text_digest(F.col(f"`{text}`")), F.col(f"`{text}`"))
+    return map_rows(ready, run, f"id {kind}, t1 bigint, t2 bigint, n bigint, h1 bigint, h2 bigint, least array<bigint>")
+
 
-    return map_rows(docs.select(F.col(doc_id).cast("long"), text), run, "id bigint, n bigint, h1 bigint, h2 bigint, least array<bigint>")
+def text_digest(text) -> tuple:
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
 def _screen(classes: DataFrame) -> DataFrame:
-    rows = classes.select("rep", "n", F.explode("least").alias("key"))
+    rows = classes.select("node", "n", F.explode("least").alias("key"))
     shared = rows.groupBy("key").count().where("count > 1").select("key")
-    hits = rows.join(shared, "key", "left_semi").groupBy("rep", "n").count()
+    hits = rows.join(shared, "key", "left_semi").groupBy("node", "n").count()
     need = F.least(F.lit(SCREEN_HITS), F.ceil(F.col("n") * 3 / 8))
-    return hits.where(F.col("count") >= need).select("rep")
+    return hits.where(F.col("count") >= need).select("node")
 
 
-def _sets(docs: DataFrame, doc_id: str, text: str, ids: DataFrame) -> DataFrame:
-    """(rep, n, s): the whole sets of the classes screened in; ``s`` holds the hashes in order, packed."""
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    found = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("body")).join(wanted, "rep", "left_semi")
+def _sets(docs: DataFrame, text: str, wanted: DataFrame, broadcast_texts: int) -> DataFrame:
+    """(node, n, s): the whole sets of the classes ``wanted`` (node, t1, t2), each once; ``s`` holds the hashes in order, packed."""
+    known = F.broadcast(wanted) if wanted.count() <= broadcast_texts else wanted
+    t1, t2 = text_digest(F.col(f"`{text}`"))
+    found = docs.select(t1.alias("t1"), t2.alias("t2"), F.col(f"`{text}`").alias("body")).join(known, ["t1", "t2"])
 
     def run(rows):
-        for rep, body in rows:
+        for node, body in rows:
             s = shingles(body)
             if len(s):
-                yield rep, len(s), s.tobytes()
+                yield node, len(s), s.tobytes()
 
-    return map_rows(found, run, "rep bigint, n bigint, s binary")
+    sets = cut(map_rows(found.select("node", "body"), run, "node bigint, n bigint, s binary").withColumn("row", F.monotonically_increasing_id()))
+    # rows with equal texts come as often as they are; of each class one stays
+    first = sets.groupBy("node").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    again = cut(sets.select("node", "row").join(first.select("node", F.col("row").alias("first")), "node").where("row <> first").select("row"))
+    if again.isEmpty():
+        return sets
+    once = cut(sets.join(again, "row", "left_anti"))
+    discard(sets, again)
+    return once
 
 
-def _leading_cells(sets: DataFrame) -> DataFrame:
-    """(key, rep, n): per set and band the cells that a partner must agree with in one."""
+def _leading_blocks(sets: DataFrame) -> DataFrame:
+    """(key, band, node, n): per set and band the blocks that a partner must agree with in one."""
 
     def run(rows):
-        for rep, n, raw in rows:
-            s = np.frombuffer(raw, np.uint64)
-            for band in sorted({band_of(n), band_of(-(-n * SIM_NUM // SIM_DEN))}):
-                keys = cells(s, band)
-                yield rep, n, band, len(keys), keys.view(np.int64).tolist()
-
-    sketch = map_rows(sets, run, "rep bigint, n bigint, band int, filled int, keys array<bigint>")
-    rows = cut(sketch).select("rep", "n", "band", "filled", F.explode("keys").alias("key"))
+        for node, n, raw in rows:
+            bits = wide_sketch(np.frombuffer(raw, np.uint64))
+            for band in bands_of(n):
+                keys = block_keys(bits, band)
+                yield node, n, band, len(keys), keys.view(np.int64).tolist()
+
+    sketch = cut(map_rows(sets.select("node", "n", "s"), run, "node bigint, n bigint, band int, filled int, keys array<bigint>"))
+    rows = sketch.select("node", "n", "band", "filled", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").count().where("count > 1").withColumnRenamed("count", "size")
     shared = rows.join(sizes, "key")
-    own = Window.partitionBy("rep", "n", "band")
+    own = Window.partitionBy("node", "n", "band")
     larger = F.floor(F.col("n") * SIM_DEN / SIM_NUM)
     distance = F.floor((F.col("n") + larger) * (SIM_DEN - SIM_NUM) / (SIM_DEN + SIM_NUM))
     ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("size", "key"))).withColumn("some", F.count(F.lit(1)).over(own))
-    return ranked.where(F.col("rank") <= distance + 1 - (F.col("filled") - F.col("some"))).select("key", "rep", "n").distinct()
+    lead = cut(ranked.where(F.col("rank") <= distance + 1 - (F.col("filled") - F.col("some"))).select("key", "band", "node", "n").distinct())
+    discard(sketch)
+    return lead
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"))
-    b = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
+def _dealt(rows: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """``fn`` on the rows of each group, as one list; rows of a group meet in a task, which holds one group at a time.
 
+    The last of ``keys`` orders the rows within a group and isn't part of it.
+    """
+    width = len(keys) - 1
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets link."""
+    def run(found):
+        for _, group in groupby(found, key=lambda r: r[:width]):
+            yield from fn(group)
 
-    def run(rows):
-        for x, y, sx, sy in rows:
-            if links(np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64)):
-                yield x, y
+    others = [c for c in rows.columns if c not in keys]
+    return map_rows(rows.select(*keys, *others).repartition(*keys[:-1]).sortWithinPartitions(*keys), run, schema)
 
-    return map_rows(_with_sets(pairs, sets), run, "a bigint, b bigint").distinct()
 
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` (band, a, b) whose sets link; each ``b`` has one partner ``a`` in them.
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, both): the shingles that the sets of each pair share."""
-
-    def run(rows):
-        for x, y, sx, sy in rows:
-            yield x, y, len(np.intersect1d(np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64), assume_unique=True))
+    A partner's set goes once to each group of the sets it is verified against, however many these are.
+    """
+    groups = F.ceil(F.col("led") / LED).cast("int")
+    load = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("led")).select("a", groups.alias("groups"))
+    partners = load.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("led"), F.col("a").alias("b"), F.lit(0).alias("band"), "s")
+    members = pairs.join(load, "a").select("a", "b", "band", F.pmod(F.xxhash64("b"), "groups").cast("int").alias("part"))
+    members = members.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", F.lit(1).alias("led"), "b", "band", "s")
+
+    def run(group):
+        first, sketches = None, {}
+        for a, _, led, b, band, raw in group:
+            s = np.frombuffer(raw, np.uint64)
+            if not led:
+                first = s
+                continue
+            if band not in sketches:
+                sketches[band] = folded([first], band)
+            if near(len(first), len(s), int(hamming(sketches[band][0], folded([s], band))[0])) and links(first, s):
+                yield a, b
 
-    return map_rows(_with_sets(pairs, sets), run, "a bigint, b bigint, both bigint").distinct()
+    return _dealt(partners.union(members), ["a", "part", "led"], run, "a bigint, b bigint")
 
 
-def _own_shingles(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep, own): how many shingles of each of ``docs`` no other of them has; none: no row."""
+def _cells(rows: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (keys, node, n, ...) dealt so that any two of a group meet: (keys, one, two, side, ..., s).
 
-    def run(rows):
-        for rep, raw in rows:
-            yield rep, np.frombuffer(raw, np.int64).tolist()
-
-    held = map_rows(sets.join(docs, "rep", "left_semi").select("rep", "s"), run, "rep bigint, keys array<bigint>").distinct()
-    once = held.select("rep", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).where("n = 1")
-    return once.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-
-
-def _residual_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) across the components of a cell that may link, as far as their differences from its leader tell."""
-    lead = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("f")).select("key", F.col("f.rep").alias("a"), F.col("f.n").alias("m"))
-    met = rows.join(lead, "key")
-    shared = cut(_overlaps(met.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), sets))
-    own = cut(_own_shingles(rows.select("rep").distinct(), sets))
-    met = met.join(shared.withColumnRenamed("b", "rep"), ["a", "rep"], "left").join(own, "rep", "left")
-    both = F.coalesce("both", "n")  # the leader shares all it has with itself
-    lacks, adds = F.col("m") - both, F.col("n") - both
-    # a document's own shingles are none of the leader's, so they are among those it adds
-    common = F.greatest(F.lit(0), adds - F.coalesce("own", F.lit(0)))
-    seen = cut(met.select("key", "rep", "n", "comp", lacks.alias("lacks"), adds.alias("adds"), common.alias("common")))
-    one, two = ([F.col("key").alias("key"), *[F.col(c).alias(c + x) for c in seen.columns if c != "key"]] for x in ("_1", "_2"))
-    differ = sum((F.col(c + x) for c in ("lacks", "adds") for x in ("_1", "_2")), F.lit(0))
-    least = differ - 2 * (F.least("lacks_1", "lacks_2") + F.least("common_1", "common_2"))
-    near = (SIM_DEN + SIM_NUM) * least <= (SIM_DEN - SIM_NUM) * (F.col("n_1") + F.col("n_2"))
-    pairs = seen.select(*one).join(seen.select(*two), "key").where((F.col("comp_1") < F.col("comp_2")) & _size_fits("n_1", "n_2") & near)
-    return pairs.select(F.col("rep_1").alias("a"), F.col("rep_2").alias("b")).distinct()
+    A group's classes lie in cells of about ``CELL`` shingles; each goes to all pairs of cells that hold its own.
+    """
+    size = rows.groupBy(*keys).agg(F.ceil(F.sum("n") / CELL).cast("int").alias("cells"))
+    at = rows.join(size, keys).withColumn("own", F.pmod(F.xxhash64("node"), "cells").cast("int"))
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    at = at.withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
+    return at.drop("own", "other", "cells", "n").join(sets.select("node", "s"), "node")
+
+
+def _sides(group, one: int) -> tuple[list, list]:
+    """The rows of the first cell, and of the second; a cell that meets itself is both. ``one``: where a row has its first cell."""
+    sides: tuple[list, list] = ([], [])
+    for row in group:
+        sides[row[one + 2]].append(row[one:])
+        same = row[one] == row[one + 1]
+    return sides[0], sides[0] if same else sides[1]
+
+
+def _joining_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between the components of each block of ``rows`` (key, band, node, n, comp), enough to join them."""
+
+    def run(group):
+        rows = list(group)
+        left, right = _sides(rows, 2)
+        comps, label = np.unique([r[4] for r in left] + [r[4] for r in right], return_inverse=True)
+        if len(comps) < 2 or not left or not right:
+            return
+        mine, theirs = label[: len(left)].copy(), label[len(left) :].copy()
+        mine_sets, their_sets = ([np.frombuffer(r[5], np.uint64) for r in side] for side in (left, right))
+        band = rows[0][1]
+        sketches, others = folded(mine_sets, band), folded(their_sets, band)
+        sizes = np.array([len(s) for s in their_sets])
+        exact = None
+        for i, s in enumerate(mine_sets):
+            n = len(s)
+            could = (theirs != mine[i]) & (np.minimum(n, sizes) * SIM_DEN >= np.maximum(n, sizes) * SIM_NUM)
+            at = np.flatnonzero(could)
+            at = at[near(n, sizes[at], hamming(sketches[i], others[at]))]
+            if not len(at):
+                continue
+            exact = exact or Overlaps(mine_sets, their_sets)
+            for j in at[exact.linked(i)[at]].tolist():
+                if theirs[j] != mine[i]:
+                    yield left[i][3], right[j][3]
+                    gone, stays = theirs[j], mine[i]
+                    mine[mine == gone] = stays
+                    theirs[theirs == gone] = stays
+
+    dealt = _cells(rows, sets, ["key", "band"]).select("key", "band", "one", "two", "side", "node", "comp", "s")
+    return _dealt(dealt, ["key", "band", "one", "two", "side"], run, "a bigint, b bigint").distinct()
+
+
+def link_counts(comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, n_links): how many other classes each class of ``comp`` (node, comp) links with."""
+
+    def run(group):
+        left, right = _sides(group, 1)
+        if not left or not right:
+            return
+        exact, same = Overlaps(*([np.frombuffer(r[4], np.uint64) for r in side] for side in (left, right))), left is right
+        back = np.zeros(len(right), np.int64)
+        for i, r in enumerate(left):
+            found = exact.linked(i)
+            n = int(found.sum()) - same
+            if n:
+                yield r[3], n
+            if not same:
+                back += found
+        for j in np.flatnonzero(back).tolist():
+            yield right[j][3], int(back[j])
+
+    rows = comp.join(sets.select("node", "n"), "node").select("comp", "node", "n")
+    dealt = _cells(rows, sets, ["comp"]).select("comp", "one", "two", "side", "node", "s")
+    return _dealt(dealt, ["comp", "one", "two", "side"], run, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
 def _size_fits(m: str, n: str):
     return (F.col(m) * SIM_DEN >= F.col(n) * SIM_NUM) & (F.col(n) * SIM_DEN >= F.col(m) * SIM_NUM)
 
 
-def _open_cells(lead: DataFrame, comp: DataFrame) -> DataFrame:
-    """Leading cells with the component of each document, where a cell has more than one."""
-    rows = lead.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+def _open_blocks(lead: DataFrame, comp: DataFrame) -> DataFrame:
+    """Leading blocks with the component of each class, where a block has more than one."""
+    rows = lead.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     return rows.join(several, "key", "left_semi")
 
 
 def _merged(comp: DataFrame, found: DataFrame) -> DataFrame:
-    """``comp`` after links (a, b) between documents. The links and (document, component) are one graph."""
+    """``comp`` after links (a, b) between classes. The links and (class, component) are one graph."""
     return connected(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found.select("a", "b")))
 
 
-def components(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, comp) for the classes that link with another, and the links verified on the way."""
+def components(sets: DataFrame) -> DataFrame:
+    """(node, comp) for the classes that link with another: ``comp`` is the least node reachable."""
     spark = sets.sparkSession
-    lead = cut(_leading_cells(sets))
+    lead = _leading_blocks(sets)
     comp = spark.createDataFrame([], "node bigint, comp bigint")
-    every = spark.createDataFrame([], "a bigint, b bigint")
     for r in range(ROUNDS):
-        rows = cut(_open_cells(lead, comp))
-        order = F.struct(F.xxhash64("rep", F.lit(r)).alias("o") if r else F.col("rep").alias("o"), "rep", "n", "comp")
-        first = rows.groupBy("key").agg(F.min(order).alias("f")).select("key", F.col("f.rep").alias("a"), F.col("f.n").alias("m"), F.col("f.comp").alias("other"))
-        met = rows.join(first, "key").where((F.col("rep") != F.col("a")) & (F.col("comp") != F.col("other")) & _size_fits("m", "n"))
-        best = met.groupBy(F.col("rep").alias("b"), "a").count().groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+        rows = cut(_open_blocks(lead, comp))
+        order = F.struct(F.xxhash64("node", F.lit(r)).alias("o") if r else F.col("node").alias("o"), "node", "n", "comp")
+        first = rows.groupBy("key").agg(F.min(order).alias("f")).select("key", F.col("f.node").alias("a"), F.col("f.n").alias("m"), F.col("f.comp").alias("other"))
+        met = rows.join(first, "key").where((F.col("node") != F.col("a")) & (F.col("comp") != F.col("other")) & _size_fits("m", "n"))
+        best = met.groupBy(F.col("node").alias("b"), "a").agg(F.count(F.lit(1)).alias("count"), F.min("band").alias("band"))
+        best = cut(best.groupBy("b").agg(F.max(F.struct("count", "a", "band")).alias("f")).select("b", "f.a", "f.band"))
         found = cut(_verify(best, sets))
+        discard(rows, best)
         if found.isEmpty():
             break
-        every = every.union(found)
         comp = cut(_merged(comp, found))
-    pairs = _residual_pairs(cut(_open_cells(lead, comp)), sets)
-    found = cut(_verify(pairs, sets))
+    found = cut(_joining_links(cut(_open_blocks(lead, comp)), sets))
     if not found.isEmpty():
         comp = cut(_merged(comp, found))
-    return comp, every.union(found)
+    discard(lead)
+    return comp
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, class_id, component_id), one row per row of ``docs``.
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = True, broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
+    """(id, t1, t2, n_shingles, class_id, component_id, n_links, component), one row per row of ``docs``.
 
-    ``class_id`` is the least id with exactly this set, ``component_id`` the least id reachable by links.
+    ``class_id`` is the least id with exactly this set, ``component_id`` the least id reachable by links, ``n_links`` the
+    number of other sets that this one links with (null unless ``counts``). ``component`` tells components apart whatever their ids; it
+    is null for rows without shingles. ``t1``, ``t2``: see ``text_digest``; with the id they name a row.
     """
     seen = cut(profiles(docs, doc_id, text))
-    group = seen.where("n > 0 and id is not null").groupBy("n", "h1", "h2")
-    classes = cut(group.agg(F.min("id").alias("rep"), F.min("least").alias("least")))
-    ids = cut(_screen(classes))
-    sets = cut(_sets(docs, doc_id, text, ids))
-    comp, _ = components(sets)
-    named = classes.select("n", "h1", "h2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select(F.col("n").alias("n_"), F.col("h1").alias("h1_"), F.col("h2").alias("h2_"), "rep", F.coalesce("comp", "rep").alias("comp"))
+    known = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
+    group = seen.where("n > 0").groupBy("n", "h1", "h2").agg(F.min(known).alias("f"), F.min("least").alias("least"))
+    classes = cut(group.select(F.monotonically_increasing_id().alias("node"), "n", "h1", "h2", F.col("f.id").alias("id"), "f.t1", "f.t2", "least"))
+    ids = _screen(classes)
+    wanted = cut(classes.join(ids, "node", "left_semi").select("node", "t1", "t2"))
+    sets = _sets(docs, text, wanted, broadcast_texts)
+    comp = components(sets)
+    links = link_counts(comp, sets) if counts else docs.sparkSession.createDataFrame([], "node bigint, n_links bigint")
+    named = classes.select("node", "n", "h1", "h2", "id").join(comp, "node", "left").join(links, "node", "left")
+    named = cut(named.withColumn("component", F.coalesce("comp", "node")))
+    discard(classes, wanted, sets)
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = named.join(least, "component").select(
+        F.col("n").alias("n_"), F.col("h1").alias("h1_"), F.col("h2").alias("h2_"), F.col("id").alias("class_id"), "component", "component_id", "n_links"
+    )
     same = (F.col("n") == F.col("n_")) & (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_"))
-    out = seen.select("id", "n", "h1", "h2").join(named, same, "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("comp", "id").alias("component_id"))
+    out = seen.select("id", "t1", "t2", "n", "h1", "h2").join(named, same, "left")
+    alone = F.col("n") == 0
+    return out.select(
+        "id", "t1", "t2", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        (F.when(alone, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))) if counts else F.lit(None)).cast("long").alias("n_links"), "component",
+    )
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
+    """(id, n_shingles, class_id, component_id, n_links), one row per row of ``docs``."""
+    return grouped(docs, doc_id, text, True, broadcast_texts).drop("t1", "t2", "component")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of least id (null last), of least text digest among equals.
+
+    Rows are told apart by id and text, not by id alone; of rows equal in both, one stays. Rows without shingles all stay.
+    """
+    found = grouped(docs, doc_id, text, counts=False).where("component is not null")
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
+    first = found.groupBy("component").agg(F.min(row).alias("f"))
+    keys = ["_nd_k", "_nd_1", "_nd_2"]
+    stay = cut(first.select(F.xxhash64("f.none", "f.id").alias(keys[0]), F.col("f.t1").alias(keys[1]), F.col("f.t2").alias(keys[2])))
+    t1, t2 = text_digest(F.col(f"`{text}`"))
+    has_words = F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike("[^ \\t-\\r]")
+    keyed = docs.where(has_words).withColumns({keys[0]: F.xxhash64(F.col(f"`{doc_id}`").isNull(), F.col(f"`{doc_id}`")), keys[1]: t1, keys[2]: t2})
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    kept = keyed.join(stay, keys, "left_semi").withColumn("_nd_row", F.row_number().over(order)).where("_nd_row = 1")
+    return kept.drop(*keys, "_nd_row").unionByName(docs.where(~has_words))
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
     from .common import tables
 
     found = near_duplicates(tables(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id", "n_links")

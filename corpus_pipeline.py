@@ -22,11 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays (one row of it, if its id repeats)."""
-    found = jaccard.near_duplicates(docs)
-    stay = found.where("id = component_id or component_id is null").select("id", "component_id").distinct()
-    kept = docs.select(*COLUMNS).join(stay, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Of each group of linked documents the row with the least id stays; rows count by id and text, those without words all stay."""
+    return jaccard.keep_first(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +32,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per copy that the mix takes, in training order; a source's last copy ends at its target."""
+    """One row per copy that the mix takes, in training order; a source's last copy ends at its target.
+
+    Rows without a word have nothing to be taken and go; equal rows are mixed one by one.
+    """
     order = mixing.training_order(mixing.mix(docs, keep=("text", "lang", "source")))
     gap = "[^ \\t-\\r]+[ \\t-\\r]*"
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(gap), F.lit(0)), 1, F.col("copy_words").cast("int")), "")
-    text = F.when(F.col("copy_words") < F.col("size"), part).otherwise(F.col("text"))
-    return order.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    whole = F.col("kept.text")
+    part = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(gap), F.lit(0)), 1, F.col("copy_words").cast("int")), "")
+    text = F.when(F.col("copy_words") < F.col("size"), part).otherwise(whole)
+    return order.select("doc_id", text.alias("text"), "kept.lang", "kept.source", F.length(text).cast("long").alias("n_chars"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from threadloom.llm import html
@@ -75,3 +77,52 @@ def test_templates_of_a_section_of_a_large_host_go(spark):
 )
 def test_names_inside_articles_drop_only_clear_boxes(source, want):
     assert text(source) == want
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<div>" * 100_000 + "</span>" * 100_000, "<a \"x " * 150_000, "<a x=\"x " * 120_000, "<b>" * 150_000 + "<hr>" * 100_000, "<!" * 400_000, "<span><article>" + "<div>" * 90_000 + "</span>" * 90_000,
+     "<li>" * 200_000, "<table>" + "<td>" * 100_000 + "</li>" * 100_000, "<" * 800_000, "<p title='" * 90_000, "&" * 500_000, "<td " * 200_000, "</" * 400_000],
+)
+def test_long_hostile_pages_take_linear_time(source):
+    began = time.process_time()
+    root = html.parse(source)
+    html.subtrees(root, "h")
+    html.main_text(root, {}, ())
+    assert time.process_time() - began < 15
+
+
+def test_tags_with_odd_quotes():
+    assert text("<article><p title=don't class='a>b'>one</p><p data-x=\"it's\">two</p></article>") == "one\ntwo"
+    assert text("<article>1 <2 and a<b>c</b> <x</article>") == "1 <2 and ac <x"
+    assert text("<ul><li>a<ul><li>b</ul><li>c</ul><table><tr><td>d<td>e<tr><td>f</table>") == "a\nb\nc\nd\ne\nf"
+    assert text("<div><span><div>a</span>b</div>c</div>") == "a\nb\nc" or text("<div><span><div>a</span>b</div>c</div>") == "a\nbc"
+
+
+def test_very_long_page(spark):
+    page = "<article>" + "<p>" + "word " * 400_000 + "</p></article>"
+    out = html.extract(spark.createDataFrame([(1, "http://h/", page, "x")], "page_id long, url string, html string, key string")).first()
+    assert len(out.text) == 5 * 400_000 - 1
+
+
+def test_against_a_plain_count(spark):
+    """Templates by brute force: each block's own text, counted over the pages of a host by eye of their strings."""
+    import random
+    from collections import defaultdict
+
+    rnd = random.Random(4)
+    boxes = [f"Box {k} of the site" for k in range(12)]
+    pages, said = [], {}
+    for i in range(120):
+        host = f"h{i % 3}.example"
+        parts = [(f"story {i} part {k}", False) for k in range(3)] + [(b, True) for b in boxes if rnd.random() < 0.06]
+        rnd.shuffle(parts)
+        said[i] = (host, [p for p, _ in parts])
+        pages.append((i, f"https://{host}/{i}", "<html><body><article>" + "".join(f"<div><p>{p}</p></div>" for p, _ in parts) + "</article></body></html>"))
+    on = defaultdict(set)
+    for i, (host, parts) in said.items():
+        for p in parts:
+            on[host, p].add(i)
+    want = {i: "\n".join(p for p in parts if len(on[host, p]) <= html.MIN_PAGES) for i, (host, parts) in said.items()}
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == want and any(len(p.split("\n")) < len(said[i][1]) for i, p in want.items()) and any("Box" in t for t in want.values())

@@ -2,9 +2,10 @@
 
 Pages are parsed to element trees. Elements that never hold article text (scripts, menus, headers and footers of
 the page, sidebars, forms, and boxes whose class, id or role names an advert, notice, comment or share list) go by
-name; inside the article only blocks whose class marks adverts, share lists or reader comments do. Templates go by count, inside the article too: every block that holds text is hashed (tags, attributes' names
-and text), and those on more than ``MIN_PAGES`` different pages of a host are deleted, however large the host; copies
-of a page are one page. If a page has an ``article`` or ``main`` element, its text is the main text; else the body's.
+name; inside the article only blocks whose class marks adverts, share lists or reader comments do. Templates go by
+count, inside the article too: every block that holds text is hashed (tags, attributes' names and text), and those on
+more than ``MIN_PAGES`` different pages of a host are deleted, however large the host; copies of a page are one page.
+If a page has an ``article`` or ``main`` element, its text is the main text; else the body's.
 
 Pages and subtrees are made distinct by both and counts combine before their shuffle, so neither a host with a third
 of all pages nor a subtree on all of them is many rows in a task. The recurring keys are few next to the pages; up to
@@ -13,7 +14,9 @@ per page (bounded by the page).
 
 Text: character references decoded, white space inside a block one space, trimmed, blocks in page order joined by
 a line feed, nothing dropped or capped. Null html is empty and gives an empty text; unclosed and stray tags are
-repaired as browsers do for paragraphs, list items and table cells. Rows may repeat and ids may be null.
+repaired as browsers do for paragraphs, list items and table cells. Rows may repeat and ids may be null; columns not in
+``keep`` don't matter, and none of those may be called ``text``. Parsing takes time in proportion to the page,
+whatever is in it: open elements are found by name, and no part of a tag is read twice.
 """
 
 from __future__ import annotations
@@ -57,7 +60,11 @@ BOX_CLASS = re.compile(
     r"share|sharing|sharedaddy|addtoany|(?:share|social|sharing)-?(?:bar|box|buttons?|icons?|links?|list|tools|media)|"
     r"comments|comment-?(?:list|section|thread|respond|form)|comments-?(?:area|list|section|thread)|disqus(?:[-_]?thread)?)"
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/<>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^<>=]++|=)*+)>|<",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 WHITE = re.compile(r"\s+")
 
@@ -69,69 +76,89 @@ class Node:
         self.tag, self.names, self.kids, self.classes = tag, names, [], classes
 
 
+#: Elements that an end tag of an inline element, paragraph or list item doesn't reach beyond.
+BARRIERS = ("article", "main", "body", "table")
+_RAW_ENDS = {tag: re.compile(f"</{tag}\\s*>", re.I) for tag in RAW}
+
+
+class _Open:
+    """The open elements, with the places of each name and of blocks among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag not in INLINE:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element with one of these names; 0 if there is none."""
+        return max((places[-1] for t in tags if (places := self.places.get(t))), default=0)
+
+    def close(self, place: int) -> None:
+        """Closes the element at a place and all within it."""
+        for node in self.nodes[place:]:
+            self.places[node.tag].pop()
+        del self.nodes[place:]
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+
+
 def parse(source: str) -> Node:
     """The element tree; children are nodes and (still encoded) strings."""
     root = Node("#root")
-    stack = [root]
+    opened = _Open(root)
     at, n = 0, len(source)
     find = TOKEN.search
     while at < n:
         m = find(source, at)
+        kids = opened.nodes[-1].kids
         if m is None:
-            stack[-1].kids.append(source[at:])
+            kids.append(source[at:])
             break
         if m.start() > at:
-            stack[-1].kids.append(source[at : m.start()])
+            kids.append(source[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
             if m[0] == "<":
-                stack[-1].kids.append("&lt;")
+                kids.append("&lt;")
             elif m[0].startswith("<![CDATA["):
-                stack[-1].kids.append(entities.escape(m[0][9:].removesuffix("]]>"), False))
+                kids.append(entities.escape(m[0][9:].removesuffix("]]>"), False))
             continue
         tag = tag.lower()
         if m[1]:
             if tag == "br":
-                stack[-1].kids.append(Node("br"))
+                kids.append(Node("br"))
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("article", "main", "body", "table") and tag in INLINE | {"p", "li"}:
-                    break
+            place = opened.last(tag)
+            if place and not ((tag in INLINE or tag in ("p", "li")) and opened.last(*BARRIERS) > place):
+                opened.close(place)
             continue
         if tag in CLOSES:
             closed, within = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in within:
-                    break
-                if stack[k].tag in closed:
-                    del stack[k:]
-                    break
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag not in INLINE:
-                    break
+            place = opened.last(*closed)
+            if place > opened.last(*within):
+                opened.close(place)
+        if tag in ENDS_P and opened.nodes[opened.blocks[-1]].tag == "p":
+            opened.close(opened.blocks[-1])
         names = classes = ""
         if m[3] and ("class" in m[3] or "id" in m[3] or "role" in m[3] or "hidden" in m[3]):
             given = ATTRIBUTE.findall(m[3])
             names = " ".join((b or c or d).lower() if a.lower() in ("class", "id", "role") else "#hidden" if a.lower() == "hidden" else "" for a, b, c, d in given)
             classes = next(((b or c or d).lower() for a, b, c, d in given if a.lower() == "class"), "")
         node = Node(tag, names.strip(), classes)
-        stack[-1].kids.append(node)
+        opened.nodes[-1].kids.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in RAW:
             continue
         if tag in RAW:
-            end = re.compile(f"</{tag}\\s*>", re.I).search(source, at)
+            end = _RAW_ENDS[tag].search(source, at)
             node.kids.append(source[at : end.start() if end else n])
             at = end.end() if end else n
             continue
-        stack.append(node)
+        opened.push(node)
     return root
 
 
@@ -296,14 +323,17 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[
     schema = "".join(f"`{k}` {kinds[k]}, " for k in keep) + "text string"
     kept = [F.col(f"`{k}`") for k in keep]
     if keys.count() <= broadcast_keys:
-        found = frozenset(keys.toArrow().column(0).to_numpy().view(np.uint64).tolist())
-        shared = spark.sparkContext.broadcast(found)
+        # at most broadcast_keys numbers, sorted: 8 bytes each in a worker
+        shared = spark.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy().view(np.uint64)))
 
         def run(rows):
-            recurring = shared.value
+            known = shared.value
             for *names, place, source in rows:
                 root = parse(source or "")
-                yield (*names, main_text(root, subtrees(root, host_of(place)) if recurring else {}, recurring))
+                own = subtrees(root, host_of(place)) if len(known) else {}
+                wanted = np.fromiter(own.values(), np.uint64, len(own))
+                at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                yield (*names, main_text(root, own, set(wanted[known[at] == wanted].tolist()) if len(own) else ()))
 
         return map_rows(pages.select(*kept, F.col(url).alias("_u"), F.col(html).alias("_h")), run, schema)
 

@@ -27,9 +27,11 @@ of two shingles having one hash.
 Components come without all pairs of a group. In a few rounds each class is verified against one partner, the
 class that leads most of its blocks (by another order each round); the partner's set goes once to each group of at
 most about ``LED`` classes that it leads. Blocks whose classes are in one component are done. Where several components
-still share a block, its classes are dealt into cells of about ``CELL`` shingles, and any two cells meet in one task, which
-screens by Hamming distance, verifies, and puts out no more links than it needs to join components: at most one for
-each class it holds. So no link is lost and no table of pairs is made; a task's size is bounded whatever the block's.
+still share a block, its classes are dealt into cells of about ``CELL`` shingles, and any two cells meet in one task. A
+first pass brings dense sketches only and screens by Hamming distance. Where it leaves few pairs, at most two for each class
+in the task, these are verified one by one; else the classes that are left meet again with their sets, are verified, and the task
+puts out no more links than it takes to join components: at most one for each class it holds. So no link is lost
+and no table of pairs grows faster than the blocks do; a task's size is bounded whatever the block's.
 
 ``link_counts`` counts each class's links in the same way, cells of one component meeting two at a time; counts leave
 the tasks, not pairs. Comparing within a component of g different near copies takes g^2 comparisons by nature; they are
@@ -291,7 +293,7 @@ def _dealt(rows: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` (band, a, b) whose sets link; each ``b`` has one partner ``a`` in them.
+    """The (a, b) of ``pairs`` (band, a, b) whose sets link.
 
     A partner's set goes once to each group of the sets it is verified against, however many these are.
     """
@@ -316,8 +318,8 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _dealt(partners.union(members), ["a", "part", "led"], run, "a bigint, b bigint")
 
 
-def _cells(rows: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` (keys, node, n, ...) dealt so that any two of a group meet: (keys, one, two, side, ..., s).
+def _cells(rows: DataFrame, what: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+    """``rows`` (keys, node, n, ...) dealt so that any two of a group meet, each with its row of ``what``: adds one, two, side.
 
     A group's classes lie in cells of about ``CELL`` shingles; each goes to all pairs of cells that hold its own.
     """
@@ -325,7 +327,7 @@ def _cells(rows: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
     at = rows.join(size, keys).withColumn("own", F.pmod(F.xxhash64("node"), "cells").cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     at = at.withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
-    return at.drop("own", "other", "cells", "n").join(sets.select("node", "s"), "node")
+    return at.drop("own", "other", "cells").join(what, on)
 
 
 def _sides(group, one: int) -> tuple[list, list]:
@@ -337,42 +339,82 @@ def _sides(group, one: int) -> tuple[list, list]:
     return sides[0], sides[0] if same else sides[1]
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(node, band, sketch): the folded sketches of each set, one for each of its bands."""
+
+    def run(rows):
+        for node, raw in rows:
+            found = np.frombuffer(raw, np.uint64)
+            for band in bands_of(len(found)):
+                yield node, band, folded([found], band).tobytes()
+
+    return map_rows(sets.select("node", "s"), run, "node bigint, band int, sketch binary")
+
+
+def _could_link(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(key, band, a, b): pairs across the components of a block that Hamming distances don't rule out; where a task
+    has more than two such pairs for each of its classes, these classes (as ``a``) instead, with a null ``b``."""
+
+    def run(group):
+        group = list(group)
+        left, right = _sides(group, 2)
+        if not left or not right:
+            return
+        key, band = group[0][:2]
+        mine, theirs = (np.frombuffer(b"".join(r[6] for r in side), np.uint64).reshape(len(side), -1) for side in (left, right))
+        n_mine, n_theirs = (np.array([r[5] for r in side]) for side in (left, right))
+        comp_mine, comp_theirs = (np.array([r[4] for r in side]) for side in (left, right))
+        same, most, found, some = left is right, 2 * len(group), [], set()
+        for i in range(len(left)):
+            n = n_mine[i]
+            start = i + 1 if same else 0
+            sizes = n_theirs[start:]
+            at = start + np.flatnonzero((comp_theirs[start:] != comp_mine[i]) & (np.minimum(n, sizes) * SIM_DEN >= np.maximum(n, sizes) * SIM_NUM))
+            at = at[near(n, n_theirs[at], hamming(mine[i], theirs[at]))]
+            if not len(at):
+                continue
+            if len(found) <= most:
+                found += [(left[i][3], right[j][3]) for j in at.tolist()]
+            some.add(left[i][3])
+            some.update(right[j][3] for j in at.tolist())
+        if len(found) <= most:
+            yield from ((key, band, a, b) for a, b in found)
+        else:
+            yield from ((key, band, node, None) for node in some)
+
+    dealt = _cells(rows, sketches, ["key", "band"], ["node", "band"]).select("key", "band", "one", "two", "side", "node", "comp", "n", "sketch")
+    return _dealt(dealt, ["key", "band", "one", "two", "side"], run, "key bigint, band int, a bigint, b bigint")
+
+
 def _joining_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links between the components of each block of ``rows`` (key, band, node, n, comp), enough to join them."""
 
     def run(group):
-        rows = list(group)
-        left, right = _sides(rows, 2)
+        left, right = _sides(group, 2)
         comps, label = np.unique([r[4] for r in left] + [r[4] for r in right], return_inverse=True)
         if len(comps) < 2 or not left or not right:
             return
         mine, theirs = label[: len(left)].copy(), label[len(left) :].copy()
-        mine_sets, their_sets = ([np.frombuffer(r[5], np.uint64) for r in side] for side in (left, right))
-        band = rows[0][1]
-        sketches, others = folded(mine_sets, band), folded(their_sets, band)
-        sizes = np.array([len(s) for s in their_sets])
-        exact = None
-        for i, s in enumerate(mine_sets):
-            n = len(s)
-            could = (theirs != mine[i]) & (np.minimum(n, sizes) * SIM_DEN >= np.maximum(n, sizes) * SIM_NUM)
-            at = np.flatnonzero(could)
-            at = at[near(n, sizes[at], hamming(sketches[i], others[at]))]
-            if not len(at):
+        exact = Overlaps(*([np.frombuffer(r[5], np.uint64) for r in side] for side in (left, right)))
+        for i in range(len(left)):
+            if (theirs == mine[i]).all():
                 continue
-            exact = exact or Overlaps(mine_sets, their_sets)
-            for j in at[exact.linked(i)[at]].tolist():
+            for j in np.flatnonzero(exact.linked(i)).tolist():
                 if theirs[j] != mine[i]:
                     yield left[i][3], right[j][3]
                     gone, stays = theirs[j], mine[i]
                     mine[mine == gone] = stays
                     theirs[theirs == gone] = stays
 
-    dealt = _cells(rows, sets, ["key", "band"]).select("key", "band", "one", "two", "side", "node", "comp", "s")
-    return _dealt(dealt, ["key", "band", "one", "two", "side"], run, "a bigint, b bigint").distinct()
+    could = cut(_could_link(rows, _sketches(sets)))
+    found = _verify(could.where("b is not null").select("band", "a", "b").distinct(), sets)
+    crowds = rows.join(could.where("b is null").select("key", "band", F.col("a").alias("node")).distinct(), ["key", "band", "node"], "left_semi")
+    dealt = _cells(crowds, sets.select("node", "s"), ["key", "band"], ["node"]).select("key", "band", "one", "two", "side", "node", "comp", "s")
+    return found.union(_dealt(dealt, ["key", "band", "one", "two", "side"], run, "a bigint, b bigint")).distinct()
 
 
 def link_counts(comp: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, n_links): how many other classes each class of ``comp`` (node, comp) links with."""
+    """(node, n_links): how many other classes each class of ``comp`` (node, comp) links with. Two alone have their one link."""
 
     def run(group):
         left, right = _sides(group, 1)
@@ -390,9 +432,11 @@ def link_counts(comp: DataFrame, sets: DataFrame) -> DataFrame:
         for j in np.flatnonzero(back).tolist():
             yield right[j][3], int(back[j])
 
-    rows = comp.join(sets.select("node", "n"), "node").select("comp", "node", "n")
-    dealt = _cells(rows, sets, ["comp"]).select("comp", "one", "two", "side", "node", "s")
-    return _dealt(dealt, ["comp", "one", "two", "side"], run, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n_links"))
+    members = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
+    rows = cut(comp.join(members, "comp").join(sets.select("node", "n"), "node").select("comp", "node", "n", "members"))
+    dealt = _cells(rows.where("members > 2"), sets.select("node", "s"), ["comp"], ["node"]).select("comp", "one", "two", "side", "node", "s")
+    counts = _dealt(dealt, ["comp", "one", "two", "side"], run, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n_links"))
+    return counts.union(rows.where("members = 2").select("node", F.lit(1).cast("long")))
 
 
 def _size_fits(m: str, n: str):
@@ -428,10 +472,11 @@ def components(sets: DataFrame) -> DataFrame:
         if found.isEmpty():
             break
         comp = cut(_merged(comp, found))
-    found = cut(_joining_links(cut(_open_blocks(lead, comp)), sets))
+    rows = cut(_open_blocks(lead, comp))
+    found = cut(_joining_links(rows, sets))
     if not found.isEmpty():
         comp = cut(_merged(comp, found))
-    discard(lead)
+    discard(lead, rows)
     return comp
 
 

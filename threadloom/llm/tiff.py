@@ -7,11 +7,15 @@ files of 8-bit samples with any of these codings.
 
 A null, empty or unreadable file gives one row with page -1, null samples and the reason in ``error``; a
 page that can't be decoded gives its row with null samples and the reason. Directory chains that loop end
-with a reason. Pages leave one at a time, so a worker holds one file and one page of it. No shuffle.
+with a reason. A page of more than ``MAX_PAGE_BYTES``, which is what a binary value of Spark can hold, is such a page; no block is
+decoded beyond the bytes that its page needs, so a small file can't fill a worker. Pages leave one at a time, so a
+worker holds one file and one page of it. No shuffle. Repeated rows give their pages again. Columns of the input
+that are called like a page's come back as ``in_`` and their name.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -29,9 +33,12 @@ INTEGERS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I", 16: "Q", 17
 MAX_PAGE_BYTES = 1 << 31
 
 
-def packbits_decode(data: bytes) -> bytes:
+_RUN = re.compile(rb"(.)\1{2,127}", re.S)
+
+
+def packbits_decode(data: bytes, limit: int) -> bytes:
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < limit:
         head = data[i]
         if head < 128:
             out += data[i + 1 : i + 2 + head]
@@ -41,37 +48,31 @@ def packbits_decode(data: bytes) -> bytes:
             i += 2
         else:
             i += 1
-    return bytes(out)
+    return bytes(out[:limit])
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, i, n, plain = bytearray(), 0, len(data), bytearray()
+    """Runs of three equal bytes or more are packed, what lies between is literal."""
+    out, at = bytearray(), 0
 
-    def flush():
-        for at in range(0, len(plain), 128):
-            piece = plain[at : at + 128]
+    def plain(end: int) -> None:
+        for start in range(at, end, 128):
+            piece = data[start : min(start + 128, end)]
             out.append(len(piece) - 1)
             out.extend(piece)
-        plain.clear()
-
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and data[j] == data[i]:
-            j += 1
-        if j - i >= 3:
-            flush()
-            out.extend((257 - (j - i), data[i]))
-        else:
-            plain.extend(data[i:j])
-        i = j
-    flush()
+
+    for m in _RUN.finditer(data):
+        plain(m.start())
+        at = m.end()
+        out.extend((257 - (m.end() - m.start()), data[m.start()]))
+    plain(len(data))
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, limit: int) -> bytes:
     """Most significant bit first, early change of code width, 256 clears, 257 ends."""
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, width, held, bits, before = list(first), 9, 0, 0, b""
+    table, width, held, bits, before, size = list(first), 9, 0, 0, b"", 0
     out = []
     for byte in data:
         held, bits = (held << 8) | byte, bits + 8
@@ -80,7 +81,7 @@ def lzw_decode(data: bytes) -> bytes:
         bits -= width
         code = held >> bits
         held &= (1 << bits) - 1
-        if code == 257:
+        if code == 257 or size >= limit:
             break
         if code == 256:
             table, width, before = list(first), 9, b""
@@ -92,57 +93,57 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise ValueError("LZW code out of range")
         out.append(entry)
-        if before:
+        size += len(entry)
+        if before and len(table) < 4096:
             table.append(before + entry[:1])
         before = entry
         if len(table) + 1 >= 1 << width and width < 12:
             width += 1
-    return b"".join(out)
+    return b"".join(out)[:limit]
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, held, bits = bytearray(), 0, 0
-    table: dict[bytes, int] = {}
-    width, size = 9, 258
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held, bits = (held << width) | code, bits + width
+    """Longer strings are known by the code of what they extend and the byte that they add."""
+    out, held, bits = bytearray(), 256, 9
+    table: dict[int, int] = {}
+    width, size, code = 9, 258, -1
+    for byte in data:
+        if code < 0:
+            code = byte
+            continue
+        longer = code << 8 | byte
+        known = table.get(longer)
+        if known is not None:
+            code = known
+            continue
+        held, bits = held << width | code, bits + width
         while bits >= 8:
             bits -= 8
             out.append(held >> bits)
             held &= (1 << bits) - 1
-
-    put(256)
-    table = {bytes((i,)): i for i in range(256)}
-    prefix = b""
-    for i in range(len(data)):
-        longer = prefix + data[i : i + 1]
-        if longer in table:
-            prefix = longer
-            continue
-        put(table[prefix])
         table[longer] = size
         size += 1
         if size + 1 > 1 << width:
             width += 1
         if size >= 4093:
-            put(256)
-            table, width, size = {bytes((i,)): i for i in range(256)}, 9, 258
-        prefix = data[i : i + 1]
-    if prefix:
-        put(table[prefix])
-        size += 1
-        if size + 1 > 1 << width and width < 12:
+            held, bits = held << width | 256, bits + width
+            table, width, size = {}, 9, 258
+        code = byte
+    if code >= 0:
+        held, bits = held << width | code, bits + width
+        if size + 2 > 1 << width and width < 12:
             width += 1
-    put(257)
-    if bits:
-        out.append((held << (8 - bits)) & 255)
-    return bytes(out)
+    held, bits = held << width | 257, bits + width
+    return bytes(out) + (held << -bits % 8).to_bytes(-(-bits // 8))
+
+
+def _inflate(data: bytes, limit: int) -> bytes:
+    return zlib.decompressobj().decompress(data, limit)
 
 
-_DECODERS = {STORED: bytes, PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
+_DECODERS = {STORED: lambda data, limit: data[:limit], PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: _inflate, OLD_DEFLATE: _inflate}
 _ENCODERS = {STORED: bytes, PACKBITS: packbits_encode, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 6)}
+_BAD = (ValueError, IndexError, KeyError, TypeError, OverflowError, MemoryError, struct.error, zlib.error)
 
 
 def _directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
@@ -219,10 +220,13 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> tuple[int, int, in
         plane, rest = divmod(k, per_row * per_col)
         y, x = rest // per_row * down, rest % per_row * across
         rows = down if tiles else min(down, height - y)
-        raw = _DECODERS[coding](data[offsets[k] : offsets[k] + counts[k]])
-        if len(raw) < rows * across * pixel:
+        need = rows * across * pixel
+        if need > MAX_PAGE_BYTES:
+            raise ValueError("block size")
+        raw = _DECODERS[coding](data[offsets[k] : offsets[k] + counts[k]], need)
+        if len(raw) < need:
             raise ValueError("block too short")
-        block = np.frombuffer(raw, np.uint8, rows * across * pixel).reshape(rows, across * pixel)
+        block = np.frombuffer(raw, np.uint8, need).reshape(rows, across * pixel)
         block = _unpredict(block, predictor, depth, order, inner)
         h, w = min(rows, height - y), min(across, width - x)
         image[plane, y : y + h, x * pixel : (x + w) * pixel] = block[:h, : w * pixel]
@@ -238,10 +242,10 @@ def read_pages(data: bytes | None) -> Iterator[tuple]:
         for page, (order, tags) in enumerate(_directories(bytes(data))):
             try:
                 yield (page, *_page(data, order, tags), None)
-            except (ValueError, IndexError, KeyError, struct.error, zlib.error) as e:
-                yield page, None, None, None, None, None, None, str(e)
-    except (ValueError, struct.error) as e:
-        yield (-1 if page < 0 else page + 1), None, None, None, None, None, None, str(e)
+            except _BAD as e:
+                yield page, None, None, None, None, None, None, str(e) or type(e).__name__
+    except _BAD as e:
+        yield (-1 if page < 0 else page + 1), None, None, None, None, None, None, str(e) or type(e).__name__
 
 
 def write_pages(pages: Sequence[bytes], width: int, compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = 1024, tile: tuple[int, int] | None = None) -> bytes:
@@ -295,7 +299,8 @@ def feature_of(width: int, height: int, samples: bytes) -> str:
 
 
 def pages(media: DataFrame, column: str = "media") -> DataFrame:
-    """One row per page: every other column of ``media``, then ``PAGE_SCHEMA``."""
+    """One row per page: every other column of ``media``, then those of ``PAGE_SCHEMA``."""
+    own = {part.split()[0] for part in PAGE_SCHEMA.split(", ")}
     others = [f for f in media.schema.fields if f.name != column]
 
     def run(rows):
@@ -303,23 +308,25 @@ def pages(media: DataFrame, column: str = "media") -> DataFrame:
             for page, width, height, planes, bits, coding, samples, error in read_pages(data):
                 yield (*keys, page, width, height, planes, bits, coding, samples, error, feature_of(width, height, samples) if samples is not None else None)
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
+    kept = "".join(f"`{'in_' if f.name in own else ''}{f.name}` {f.dataType.simpleString()}, " for f in others)
     return map_rows(media.select(*[F.col(f"`{f.name}`") for f in others], column), run, kept + PAGE_SCHEMA)
 
 
 ROW = 64
+#: How texts are stored, by turns: coding, predictor, whether in tiles.
+FORMS = [(coding, predictor, tiled) for coding in (PACKBITS, LZW, DEFLATE) for predictor in (1, 2) for tiled in (False, True)]
 
 
 def store_text(text: str | None) -> tuple[int, bytes]:
     """(bytes, file): the text as UTF-8, zero-padded to a positive multiple of 64, as 64 samples a row.
 
-    The coding follows the payload's size: PackBits up to 256 bytes, LZW up to 1 KiB, deflate above; rows
-    carry the horizontal predictor except under PackBits; payloads above 64 KiB lie in tiles of 32 x 512.
+    The form is one of ``FORMS``, picked by the payload's CRC, so equal texts are stored alike and every form gets texts of all
+    sizes. Tiles are 32 samples wide and a quarter of the page high.
     """
     raw = (text or "").encode("utf-8")
     payload = raw.ljust(max(ROW, -(-len(raw) // ROW) * ROW), b"\0")
-    coding = PACKBITS if len(payload) <= 256 else LZW if len(payload) <= 1024 else DEFLATE
-    return len(raw), write_pages([payload], ROW, coding, 1 if coding == PACKBITS else 2, tile=(32, 512) if len(payload) > 1 << 16 else None)
+    coding, predictor, tiled = FORMS[zlib.crc32(payload) % len(FORMS)]
+    return len(raw), write_pages([payload], ROW, coding, predictor, tile=(32, -(-len(payload) // ROW // 64) * 16 or 16) if tiled else None)
 
 
 def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -329,7 +336,7 @@ def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         for key, body in rows:
             yield (key, *store_text(body))
 
-    return map_rows(docs.select(doc_id, text), run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, n_bytes bigint, media binary")
+    return map_rows(docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
 def op2_tiff(spark, sf_dir: str) -> DataFrame:

@@ -137,3 +137,62 @@ def test_license_notices_of_every_kind(spark):
     known = spark.createDataFrame(lines, "name string, t string").select("name", licenses._whole(licenses._canonical_lines(F.col("t"))).alias("k")).collect()
     assert all(licenses.NOTICE_STEM in r.k for r in known)
     assert len({r.k for r in known}) == len({(r.name, r.k) for r in known})
+
+
+@pytest.mark.parametrize("width", [40, 60, 72, 80, 100])
+def test_whole_licences_at_every_wrap_width(spark, width):
+    """Texts wrapped anywhere keep their digest: body lines that begin with "copyright" stay."""
+    import textwrap
+
+    rows = []
+    for name, every in licenses.LICENSES.items():
+        for k, t in enumerate(every):
+            for w in range(width - 6, width + 7):
+                wrapped = "\n\n".join(textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for p in t.split("\n\n"))
+                rows.append((name, f"Copyright (c) 2019-2024 A. Person\n\n{wrapped}\n"))
+    out = licenses.scan(spark.createDataFrame(rows, "name string, text string")).collect()
+    assert [r for r in out if r.license_id != r.name] == []
+
+
+def test_copyright_lines(spark):
+    gone = ["Copyright (c) 2020 X", "Copyright 1999, 2001 X", "# Copyright \u00a9 X", "(c) 2020 X", "\u00a9 X", "Copyright [yyyy] [name of copyright owner]", "Copyright <YEAR> <HOLDER>", "Portions Copyright 2003 X", "Copyright The Authors 2021", "(C) Copyright 2010 X"]
+    stay = ["copyright holders be liable for any claim", "(c) You must retain, in the source form,", "copyright notice, this list of conditions", "copyright license to reproduce, prepare"]
+    rows = [(line, True) for line in gone] + [(line, False) for line in stay]
+    found = spark.createDataFrame(rows, "line string, gone boolean").select("line", "gone", licenses._whole(licenses._canonical_lines(F.concat(F.lit("a\n"), "line", F.lit("\nb")))).alias("c")).collect()
+    assert [r.line for r in found if (r.c == "a b") != r.gone] == []
+
+
+def test_long_licences_by_digest(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no published texts here")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0-Perl", "GFDL-1.3": "GFDL-1.3"}
+    rows = [(name, open(f"{folder}/{f}", encoding="utf-8").read()) for f, name in files.items() if os.path.exists(f"{folder}/{f}")]
+    rows += [(name, t.replace("\n", "\r\n") + "\n\n") for name, t in rows]
+    assert [(r.name, r.license_id) for r in licenses.scan(spark.createDataFrame(rows, "name string, text string")).collect() if r.name != r.license_id] == []
+
+
+def test_licence_edges(spark):
+    rows = [(None, "x", None, "n", 1), (7, "x", "own licence text of a company", "n", 2), (7, "x", "own licence text of a company", "n", 2), (8, "x", "long " * 300_000, "n", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, license_id string, text string, notices string, known_sha256 int")
+    more = spark.createDataFrame([("B", "Own license text, of a company!"), ("A", "own license text of a company"), ("C", None)], "license_id string, text string")
+    out = licenses.scan(docs, more=more).orderBy("known_sha256").collect()
+    assert [(r.in_license_id, r.in_notices, r.license_id, r.notices) for r in out] == [("x", "n", "C", []), ("x", "n", "A", []), ("x", "n", "A", []), ("x", "n", None, [])]
+    assert licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(docs).where("license_id is not null").count() == 0
+
+
+def test_mixing_of_very_long_and_null_rows(spark):
+    rows = [(None, "w " * 200_000, "a"), (None, None, None), (None, None, None), (None, "x y", "a"), (3, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    out = sorted((r.size, r.taken) for r in mixing.mix(docs).collect())
+    assert [s for s, _ in out] == [0, 0, 0, 2, 200_000] and sum(t for _, t in out) == int(1.5 * 200_002)
+
+
+def test_quality_of_null_ids_and_all_languages(spark):
+    prose = " ".join(f"mot{i}" for i in range(40)) + "."
+    said = ["Alle Rechte vorbehalten.", "Tous droits r\u00e9serv\u00e9s.", "Pol\u00edtica de privacidad y m\u00e1s.", "Wir verwenden Cookies auf dieser Seite."]
+    docs = spark.createDataFrame([(None, f"{prose}\n{x}", 1) for x in said] + [(None, prose, 1), (None, None, 1)], "doc_id long, text string, _q_kept int")
+    out = quality.assess(docs).collect()
+    assert [r._q_clean_text for r in out] == [prose] * 5 + [""] and [r._q_kept for r in out] == [True] * 5 + [False]

@@ -1,8 +1,9 @@
 """Quality rules, line first: failing lines go, then documents that lost too much text.
 
 Everything is a row-local Spark expression, so there is no shuffle, no Python and no state: a
-document of any source or size costs its own length only. Null texts have no words and fail;
-null ids, repeated rows and columns with any other names pass through untouched.
+document of any source or size costs its own length only. Null and empty texts have no words and fail;
+null ids, repeated rows and columns with any other names pass through untouched (those called like a result with its
+prefix give way to it). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,11 +38,16 @@ BOILERPLATE = (
     "all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses? cookies|lorem ipsum"
     "|enable javascript|sign up for our newsletter|subscribe to our|click here to|skip to (main )?content"
     "|share this (article|page|post)|read more \\u00bb"
+    "|alle rechte vorbehalten|datenschutzerkl\u00e4rung|verwenden cookies|newsletter abonnieren"
+    "|tous droits r\u00e9serv\u00e9s|politique de confidentialit\u00e9|utilise des cookies|mentions l\u00e9gales"
+    "|todos los derechos reservados|pol\u00edtica de (privacidad|cookies)|utiliza cookies|aviso legal"
 )
 #: Every match of ``BOILERPLATE`` holds one of these, so a text without any has no such line.
 BOILERPLATE_STEMS = (
     "all rights reserved", "terms of ", "privacy policy", "cookie policy", "cookies", "lorem ipsum", "enable javascript",
     "sign up for our newsletter", "subscribe to our", "click here to", "skip to ", "share this ", "read more \u00bb",
+    "alle rechte vorbehalten", "datenschutzerkl\u00e4rung", "newsletter abonnieren", "tous droits r\u00e9serv\u00e9s", "politique de confidentialit\u00e9",
+    "mentions l\u00e9gales", "todos los derechos reservados", "pol\u00edtica de ", "aviso legal",
 )
 
 
@@ -122,10 +128,11 @@ def assess(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFram
         {
             f"{prefix}grams": grams,
             f"{prefix}full": F.filter(c("lines"), lambda x: x.rlike(HAS_WORD)),
-            f"{prefix}gone": F.filter(c("lines"), lambda x: line_fails(x, c("hinted"))),
+            f"{prefix}fails": F.transform(c("lines"), lambda x: line_fails(x, c("hinted"))),
         }
     )
-    clean = F.when(F.size(c("gone")) == 0, body).otherwise(F.array_join(F.filter(c("lines"), lambda x: ~line_fails(x, c("hinted"))), "\n"))
+    out = out.withColumn(f"{prefix}gone", F.filter(c("lines"), lambda x, i: F.get(c("fails"), i)))
+    clean = F.when(F.size(c("gone")) == 0, body).otherwise(F.array_join(F.filter(c("lines"), lambda x, i: ~F.get(c("fails"), i)), "\n"))
     lost = F.when(F.size(c("gone")) == 0, F.lit(0)).otherwise(_word_chars(F.array_join(c("gone"), "\n"))).cast("long")
     out = out.withColumns(
         {
@@ -141,7 +148,7 @@ def assess(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFram
     failed = (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))
     out = out.withColumn(f"{prefix}base_failed", failed)
     out = out.withColumn(f"{prefix}kept", ~c("base_failed") & (100 * c("lost") <= MAX_LOSS_PERCENT * c("word_chars")))
-    return out.drop(*(f"{prefix}{x}" for x in ("words", "lines", "hinted", "grams", "full", "gone", "lost")))
+    return out.drop(*(f"{prefix}{x}" for x in ("words", "lines", "hinted", "grams", "full", "fails", "gone", "lost")))
 
 
 def keep_clean(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
@@ -165,7 +172,8 @@ def op6_quality(spark, sf_dir: str) -> DataFrame:
     return assess(docs).select("doc_id", *(F.col(f"_q_{x}").alias(x) for x in names), clean)
 
 
-OP6_SQL = r"""
+OP6_SQL = (
+    r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
@@ -188,7 +196,7 @@ WITH d AS (
       OR 100 * len(regexp_extract_all(line, '[#*$%&|<>]')) > 50 * n
       OR 100 * len(regexp_extract_all(line, '!')) > 50 * n
       OR (marks >= 3 AND 100 * marks > 15 * n)
-      OR length(line) <= 300 AND regexp_matches(lower(line), 'all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses? cookies|lorem ipsum|enable javascript|sign up for our newsletter|subscribe to our|click here to|skip to (main )?content|share this (article|page|post)|read more \x{bb}')
+      OR regexp_matches(lower(line), '@BOILERPLATE@')
     ) AS ok
   FROM (SELECT rid, no, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
       len(list_filter(string_split(translate(line, chr(9), ' '), ' '), lambda x: x IN ('|', '>', '»', '•', '·', '/', '::', '->'))) AS marks FROM lines)
@@ -208,4 +216,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND 100 * (word_chars - length(regexp_replace(clean, '[\x20\x09-\x0D]+', '', 'g'))) <= 30 * word_chars AS kept,
   length(clean)::BIGINT AS clean_chars
 FROM verdict
-"""
+""".replace("@BOILERPLATE@", BOILERPLATE.replace("\\u00bb", "\u00bb"))
+)

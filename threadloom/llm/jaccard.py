@@ -62,6 +62,8 @@ ROUNDS = 3
 LED = 512
 #: Shingles of a cell, about; a task holds two cells.
 CELL = 1 << 18
+#: So few classes of a block are compared one by one.
+FEW = 8
 #: Texts are found by a broadcast of up to so many digests of 16 bytes, else by a join.
 BROADCAST_TEXTS = 1_000_000
 CACHE_WORDS = 300_000
@@ -361,6 +363,14 @@ def _could_link(rows: DataFrame, sketches: DataFrame) -> DataFrame:
         if not left or not right:
             return
         key, band = group[0][:2]
+        if left is right and len(left) <= FEW:
+            bits = [int.from_bytes(r[6], "little") for r in left]
+            for i, r in enumerate(left):
+                for j in range(i):
+                    o = left[j]
+                    if r[4] != o[4] and min(r[5], o[5]) * SIM_DEN >= max(r[5], o[5]) * SIM_NUM and near(r[5], o[5], (bits[i] ^ bits[j]).bit_count()):
+                        yield key, band, r[3], o[3]
+            return
         mine, theirs = (np.frombuffer(b"".join(r[6] for r in side), np.uint64).reshape(len(side), -1) for side in (left, right))
         n_mine, n_theirs = (np.array([r[5] for r in side]) for side in (left, right))
         comp_mine, comp_theirs = (np.array([r[4] for r in side]) for side in (left, right))
@@ -408,7 +418,7 @@ def _joining_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
     could = cut(_could_link(rows, _sketches(sets)))
     found = _verify(could.where("b is not null").select("band", "a", "b").distinct(), sets)
-    crowds = rows.join(could.where("b is null").select("key", "band", F.col("a").alias("node")).distinct(), ["key", "band", "node"], "left_semi")
+    crowds = cut(rows.join(could.where("b is null").select("key", "band", F.col("a").alias("node")).distinct(), ["key", "band", "node"], "left_semi"))
     dealt = _cells(crowds, sets.select("node", "s"), ["key", "band"], ["node"]).select("key", "band", "one", "two", "side", "node", "comp", "s")
     return found.union(_dealt(dealt, ["key", "band", "one", "two", "side"], run, "a bigint, b bigint")).distinct()
 

@@ -1,34 +1,92 @@
+from pyspark.sql import functions as F
+
+from threadloom.plans.streaming import chain, message_events
 from threadloom.streaming import tail
 
 
+def read(reader, start):
+    end = reader.latestOffset()
+    return [r for part in reader.partitions(start, end) for r in reader.read(part)], end
+
+
 def test_partial_tail_rotation_and_replay(tmp_path):
     file = tmp_path / "a.jsonl"
+    reader = tail.TailReader({"path": str(tmp_path)})
     file.write_bytes(b"one\ntwo\r\nthr")
-    rows, at = tail.read_delta(file, None)
-    assert [r[2] for r in rows] == ["one", "two"] and at["offset"] == 9
-    assert tail.read_delta(file, at) == ([], at)
+    rows, at = read(reader, reader.initialOffset())
+    assert [r[1:] for r in rows] == [(0, "one"), (4, "two")]
+    assert read(reader, at) == ([], at)
     file.write_bytes(b"one\ntwo\r\nthree\n")
-    rows, after = tail.read_delta(file, at)
-    assert [(r[1], r[2]) for r in rows] == [(9, "three")]
+    rows, after = read(reader, at)
+    assert [r[1:] for r in rows] == [(9, "three")]
+    # a reader that knows nothing reads a batch again from its two offsets
+    again = tail.TailReader({"path": str(tmp_path)})
+    assert [r for part in again.partitions(at, after) for r in again.read(part)] == rows
     file.write_bytes(b"new\n")
-    assert [r[2] for r in tail.read_delta(file, after)[0]] == ["new"]
+    assert [r[2] for r in read(reader, after)[0]] == ["new"]
     file.write_bytes(b"ONE\ntwo\r\nthree\n")
-    assert [r[2] for r in tail.read_delta(file, after)[0]] == ["ONE", "two", "three"]
+    assert [r[2] for r in read(reader, after)[0]] == ["ONE", "two", "three"]
 
 
-def test_reader_replays_between_offsets(tmp_path):
+def test_tasks_share_small_files_and_long_last_lines_wait(tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "a.jsonl").write_text("1\n2\n")
+    (tmp_path / "b.jsonl").write_bytes(b"x\n" + b"y" * (3 * tail.CHUNK))
     reader = tail.TailReader({"path": str(tmp_path)})
-    first, end = reader.read(reader.initialOffset())
-    assert [r[2] for r in first] == ["1", "2"]
-    (tmp_path / "s" / "a.jsonl").write_text("1\n2\n3\n")
-    assert [r[2] for r in reader.readBetweenOffsets(reader.initialOffset(), end)] == ["1", "2"]
-    assert [r[2] for r in reader.read(end)[0]] == ["3"]
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert [[(a, b) for _, a, b in p.parts] for p in parts] == [[(0, 2), (0, 4)]]
+    reader = tail.TailReader({"path": str(tmp_path), "taskBytes": "1"})
+    assert [[(a, b) for _, a, b in p.parts] for p in reader.partitions(reader.initialOffset(), reader.latestOffset())] == [[(0, 2)], [(0, 4)]]
+
+
+def rows_of(spark, path, messages, start=0):
+    import json
+
+    out, at = [], start
+    for m in messages:
+        out.append((path, at, json.dumps({"source": "s", "session_id": "c", "role": "user", "content": m, "timestamp": "t"})))
+        at += len(out[-1][2]) + 1
+    return spark.createDataFrame(out, "path string, offset long, raw string"), at
+
+
+def ids_of(spark, folder):
+    return sorted(r.id for r in spark.read.parquet(f"{folder}/table").collect())
+
+
+def test_ids_do_not_depend_on_batch_borders(spark, tmp_path):
+    said = [f"m{i}" for i in range(6)]
+    every, _ = rows_of(spark, "f", said)
+    kept = []
+    for name, cuts in (("one", [6]), ("two", [3, 6]), ("three", [1, 4, 6])):
+        home, first = f"{tmp_path}/{name}", 0
+        for number, cut in enumerate(cuts):
+            ordered = every.orderBy("offset").collect()
+            batch = spark.createDataFrame(ordered[first:cut], every.schema)
+            for _ in range(2):  # each batch comes twice, as after a failure
+                tail.store_batch(batch, number, message_events, chain, f"{home}/table", f"{home}/cursors")
+            first = cut
+        kept.append(ids_of(spark, home))
+    assert kept[0] == kept[1] == kept[2] and len(set(kept[0])) == 6
+    # the same lines from another stream, and from a file that began again, add nothing; new ones do
+    home = f"{tmp_path}/one"
+    tail.store_batch(every, 0, message_events, chain, f"{home}/table", f"{home}/cursors", "other")
+    tail.store_batch(every, 1, message_events, chain, f"{home}/table", f"{home}/cursors")
+    assert ids_of(spark, home) == kept[0]
+    more, _ = rows_of(spark, "f", [*said, "m6"])
+    tail.store_batch(more, 2, message_events, chain, f"{home}/table", f"{home}/cursors")
+    assert len(ids_of(spark, home)) == 7
 
 
 def test_stream_ingests_each_event_once(spark):
     from threadloom.plans import streaming
+    from threadloom.sources import views as V
+
+    out = streaming.tail_ingest(spark, "/root/testdata/sf0.001")
+    want = V.messages(spark, "/root/testdata/sf0.001").count()
+    assert out.count() == want and out.where("parent_hash is null").count() <= 2 * V.messages(spark, "/root/testdata/sf0.001").select("session_id").distinct().count()
+
 
-    rows = streaming.tail_ingest(spark, "/root/testdata/sf0.001").collect()
-    assert len(rows) == len({r.seq for r in rows}) == 50
+def test_reconcile(spark):
+    old = spark.createDataFrame([("a",)], "id string")
+    new = spark.createDataFrame([("a",), ("b",), ("b",)], "id string")
+    assert tuple(tail.reconcile(old, new, old.where(F.lit(False))).first()) == (3, 2, 1, 0)

@@ -38,6 +38,6 @@ def citation(*fields: Column) -> Column:
 
 
 def ordered_digest(key: Column, line: Column) -> Column:
-    """Aggregate: SHA-256 of the lines in key order, one after the other."""
+    """Aggregate: content hash of the lines in key order, one after the other."""
     rows = F.array_sort(F.collect_list(F.struct(key.alias("k"), line.alias("v"))))
-    return F.sha2(F.array_join(F.transform(rows, lambda r: r["v"]), ""), 256)
+    return content_hash(F.array_join(F.transform(rows, lambda r: r["v"]), ""))

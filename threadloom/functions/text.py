@@ -76,10 +76,15 @@ def remap_paths(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return out
 
 
-def shorten_tool_output(text: Column, n: int = 2000) -> Column:
-    """Long tool output: its head, how much is gone, and the hash of the whole."""
-    gone = F.length(text) - n
-    tail = F.concat(F.lit("\n[truncated "), gone.cast("string"), F.lit(" chars, sha256:"), F.sha2(text, 256), F.lit("]"))
+def shorten_tool_message(role: Column, text: Column, n: int = 2000) -> Column:
+    """A tool's message for a transcript: its head and a mark that it goes on; other roles' stay whole."""
+    return F.when((role == "tool") & (F.length(text) > n), F.concat(F.substring(text, 1, n), F.lit("\n... [truncated]"))).otherwise(text)
+
+
+def shorten_output(text: Column, n: int = 2000) -> Column:
+    """Long tool output of an event: its head, how much is left out, and the hash of the whole."""
+    gone = (F.length(text) - n).cast("string")
+    tail = F.concat(F.lit("\n... [truncated; omitted_chars="), gone, F.lit("; full_content_hash=sha256:"), F.sha2(text, 256), F.lit("]"))
     return F.when(F.length(text) <= n, text).otherwise(F.concat(F.substring(text, 1, n), tail))
 
 

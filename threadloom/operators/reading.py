@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import shorten_tool_message
 from threadloom.sources.views import SESSION_KEY
 
 CHRONOLOGICAL = ("timestamp", "source_file", "line_index", "session_id", "source")
@@ -58,12 +59,23 @@ def latest_session_window(messages: DataFrame, n: int) -> DataFrame:
     return newest_window(messages.join(F.broadcast(newest.select(*SESSION_KEY)), list(SESSION_KEY), "left_semi"), n)
 
 
+def session_inputs(messages: DataFrame) -> DataFrame:
+    """One text per session for a reader with little room: a header, then a line per message in time order; long tool messages are cut."""
+    line = F.concat(F.lit("["), "timestamp", F.lit("] "), "role", F.lit(": "), shorten_tool_message(F.col("role"), F.col("content")), F.lit("\n"))
+    rows = F.array_sort(F.collect_list(F.struct(*CHRONOLOGICAL, line.alias("line"))))
+    said = F.array_join(F.transform(rows, lambda r: r["line"]), "")
+    return messages.groupBy(*SESSION_KEY).agg(F.concat(F.lit("=== Session: "), "session_id", F.lit(" ===\n"), said).alias("input"))
+
+
 def transcripts(messages: DataFrame) -> DataFrame:
-    """One text per project: a header where the session changes, then a line per message, in time order."""
-    order = Window.partitionBy("project_name").orderBy("session_id", *CHRONOLOGICAL)
-    change = F.coalesce(F.lag("session_id").over(order) != F.col("session_id"), F.lit(True))
-    line = F.concat(F.when(change, F.concat(F.lit("## "), F.col("session_id"), F.lit("\n"))).otherwise(F.lit("")), F.col("role"), F.lit(": "), F.col("content"), F.lit("\n"))
-    rows = messages.withColumn("line", line)
-    place = F.struct("session_id", *[c for c in CHRONOLOGICAL if c != "session_id"], "line")
-    gathered = F.array_sort(F.collect_list(place))
-    return rows.groupBy("project_name").agg(F.array_join(F.transform(gathered, lambda r: r["line"]), "").alias("transcript"))
+    """One text per project: a header where the session changes, then a line per message, by session in time order.
+
+    The text is the result, so a project's must fit a row (2 GB); its pieces are put together per session first.
+    """
+    line = F.concat(F.lit("- ["), "timestamp", F.lit("] "), "role", F.lit(": "), "content", F.lit("\n"))
+    rows = F.array_sort(F.collect_list(F.struct(*CHRONOLOGICAL, line.alias("line"))))
+    said = F.array_join(F.transform(rows, lambda r: r["line"]), "")
+    head = F.concat(F.lit("\n## Session "), "session_id", F.lit(" ("), "source", F.lit(", "), "project_name", F.lit(")\n"))
+    own = messages.groupBy(*SESSION_KEY).agg(F.concat(head, said).alias("text"))
+    parts = F.array_sort(F.collect_list(F.struct("session_id", "source", "text")))
+    return own.groupBy("project_name").agg(F.array_join(F.transform(parts, lambda r: r["text"]), "").alias("transcript"))

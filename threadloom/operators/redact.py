@@ -37,6 +37,11 @@ PII: dict[str, tuple[str, float]] = {
     "private_address": (r"\b\d{1,6}\s+[A-Z][A-Za-z0-9.-]*(?:\s+[A-Z][A-Za-z0-9.-]*){0,4}\s+(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Lane|Ln\.?|Drive|Dr\.?)\b", 0.75),
 }
 MIN_ENTROPY, MIN_DISTINCT = 3.5, 8
+#: Every finding holds one of these; the word boundaries and case rules of the detectors are left to them.
+MARKS = (
+    r"(?i)@|sk-|gh[pousr]_|github_pat_|akia|xox[baprs]-|aiza|-----BEGIN|[A-Za-z0-9_+/=-]{32}|[0-9]{3}[-.\s][0-9]{4}|"
+    r"(?:street|st|avenue|ave|road|rd|lane|ln|drive|dr)\b|(?:key|secret|token|password|passwd|pwd|credential)"
+)
 FINDINGS = "array<struct<kind string, start_byte long, end_byte long, replacement string, confidence double, blocks_sync boolean>>"
 
 Detector = Callable[[str], list[tuple[str, int, int, float]]]
@@ -94,11 +99,12 @@ def scan(detector: Detector = pattern_detector):
         def one(text):
             if not text:
                 return []
-            spans = merge(detector(text))
-            return [
-                {"kind": k, "start_byte": len(text[:s].encode()), "end_byte": len(text[:e].encode()), "replacement": replacement(k), "confidence": c, "blocks_sync": not is_pii(k)}
-                for k, s, e, c in spans
-            ]
+            out, at, byte = [], 0, 0
+            for k, s, e, c in merge(detector(text)):
+                start = byte + len(text[at:s].encode())
+                at, byte = e, start + len(text[s:e].encode())
+                out.append({"kind": k, "start_byte": start, "end_byte": byte, "replacement": replacement(k), "confidence": c, "blocks_sync": not is_pii(k)})
+            return out
 
         return texts.map(one)
 
@@ -108,7 +114,9 @@ def scan(detector: Detector = pattern_detector):
 def redact(rows: DataFrame, column: str, detector: Detector = pattern_detector) -> DataFrame:
     """``rows`` with ``findings``, ``redacted`` text, ``blocks_sync`` and ``coverage``; the text is rebuilt natively from byte spans."""
     ship(rows.sparkSession)
-    found = rows.withColumn("findings", scan(detector)(F.col(column)))
+    # texts without any of the marks that every finding holds don't go to Python
+    worth = F.col(column).rlike(MARKS) if detector is pattern_detector else F.lit(True)
+    found = rows.withColumn("findings", scan(detector)(F.when(worth, F.col(column)).when(F.col(column).isNotNull(), F.lit(""))))
     raw = F.encode(F.col(column), "UTF-8")
     piece = lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8")
     state = F.aggregate(
@@ -128,7 +136,7 @@ def run_status(findings: Column, blocks: Column) -> Column:
 
 
 def sync_status(status: Column) -> Column:
-    return F.when(status == "passed", "redacted").when(status.isin("blocked", "failed"), "blocked").otherwise("pending")
+    return F.when(status == "passed", "redacted").when(status.isin("blocked", "failed"), "blocked").otherwise("pending_redaction")
 
 
 def values(text: Column, kind: str) -> Column:

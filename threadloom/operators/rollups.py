@@ -5,6 +5,8 @@ Each rollup is one shuffle on its key with partial aggregation; pages are top-k,
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,33 @@ def page_metadata(rows: DataFrame, limit: int | None, offset: int = 0) -> DataFr
     return rows.agg(total.alias("total"), got.cast("long").alias("returned"), after.cast("long").alias("next_offset"), more.alias("next_page"))
 
 
+class AgeOutOfRange(ValueError):
+    """An age that no session has, or the newest session's without asking for it."""
+
+
+def check_ages(sessions: DataFrame, newest: int, oldest: int, include_newest: bool = False) -> None:
+    """Raises ``AgeOutOfRange``; ages are never clamped."""
+    if newest == oldest == 0 and not include_newest:
+        raise AgeOutOfRange("age 0 is the newest session: include_newest is needed")
+    total = sessions.limit(oldest + 1).count()
+    if oldest > total - 1:
+        raise AgeOutOfRange(f"{total} sessions in scope, ages up to {max(total - 1, 0)}, asked for {oldest}")
+
+
+def cwd_metadata(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """As ``page_metadata`` for the answer over all sources: a next page is told without a look at the limit."""
+    total = F.count(F.lit(1))
+    after = F.lit(offset) + F.greatest(F.lit(0), F.least(total - offset, F.lit(limit)))
+    return rows.agg(total.alias("total"), after.cast("long").alias("next_offset"), (after < total).alias("next_page"))
+
+
+def continuation(program: str, command: str, options: list[tuple[str, str | int | None]], next_offset: int) -> str:
+    """The command line that asks for the next page; options without a value are left out."""
+    quote = lambda s: s if re.fullmatch("[A-Za-z0-9_./:=@%+-]+", s) else "'" + s.replace("'", "'\\''") + "'"
+    parts = [program, command, *[f"--{k} {quote(str(v))}" for k, v in options if v is not None], f"--offset {next_offset}"]
+    return " ".join(parts)
+
+
 def totals(messages: DataFrame) -> DataFrame:
     return messages.agg(F.count(F.lit(1)).alias("total_messages"), F.countDistinct(*SESSION_KEY).alias("total_sessions"))
 

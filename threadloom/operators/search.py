@@ -40,7 +40,8 @@ def line_matches(rows: DataFrame, column: str, needle: str, ignore_case: bool =
 
 
 def message_citation() -> Column:
-    return ids.citation(*[F.col(c) for c in ("source", "project_name", "session_id", "timestamp", "role", "content", "line_index")])
+    """Id of a matching line of a message, by the message's fields and ``line``, the number of the line."""
+    return ids.citation(*[F.col(c) for c in ("source", "project_name", "session_id", "role", "timestamp", "line", "content")])
 
 
 def rank_sessions(matches: DataFrame) -> DataFrame:
@@ -93,6 +94,28 @@ def windows(found: DataFrame, indexed: DataFrame, before: int = BEFORE, after: i
     return rows.where(F.col("_place") <= cap).drop("_place")
 
 
+def check_pins(groups: DataFrame, pins: list[str]) -> None:
+    """Raises ``LookupError`` if a pinned session has no match."""
+    found = {r.session_id for r in groups.where(F.col("session_id").isin(pins)).select("session_id").distinct().collect()}  # at most the pins
+    if lost := [p for p in pins if p not in found]:
+        raise LookupError(f"pinned_session_not_found: {lost[0]}")
+
+
+def sessions_with_page(best: DataFrame, rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """Every ranked session with the messages it has on a page over all windows; sessions without any keep an empty list."""
+    page = flat_page(rows, limit, offset).groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("message_index", "role", "content"))).alias("messages"))
+    empty = F.array().cast("array<struct<message_index bigint, role string, content string>>")
+    return best.join(page, "rank", "left").withColumn("messages", F.coalesce("messages", empty))
+
+
+def flat_metadata(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """One row: total, next_page, next_offset; without a next page the offset stays what it was."""
+    total = F.count(F.lit(1))
+    end = F.least(total, F.least(total, F.lit(offset)) + F.lit(limit))
+    more = F.lit(limit > 0) & (end < total)
+    return rows.agg(total.alias("total"), more.alias("next_page"), F.when(more, end).otherwise(F.lit(offset)).cast("long").alias("next_offset"))
+
+
 def flat_page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """A page over the windows of all ranked sessions, in rank and message order, with the total."""
     total = rows.agg(F.count(F.lit(1)).alias("total"))

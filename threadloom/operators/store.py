@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import ids
 
 PARSER_VERSION = "v1"
+#: Event types that are never synced.
 BLOCKED_TYPES = ("tool_call", "tool_result", "unknown_raw_event")
 
 
@@ -50,7 +51,7 @@ def tail_per_project(events: DataFrame, n: int) -> DataFrame:
 
 
 def manifest_root(entries: DataFrame, *group: str) -> DataFrame:
-    """Root hash per group: kind, ref, hash and path, a line each, in order."""
+    """Root hash per group: kind, ref, hash and path, a line each, in order. A group's lines meet in one row (at most 2 GB)."""
     line = F.concat_ws("\t", "kind", "ref_id", "content_hash", "sync_path")
     return entries.groupBy(*group).agg(
         ids.ordered_digest(F.struct("kind", "ref_id", "sync_path"), F.concat(line, F.lit("\n"))).alias("root_hash"), F.count(F.lit(1)).alias("entries")
@@ -64,6 +65,8 @@ def write_if_absent(new: DataFrame, existing: DataFrame, key: str, value: str) -
     return absent, new.join(old, key).where(F.col(value) != F.col("_old")).drop("_old")
 
 
+#: Fixed value: the confidence from which a memory is active.
+ACTIVE_FROM = 0.8
 #: Parts of a kind that keep a memory from being shared.
 BANNED_KINDS = ("identity", "personal", "secret", "credential", "sensitive")
 
@@ -75,7 +78,7 @@ def kind_is_safe(kind: Column) -> Column:
 
 def memory_status(confidence: Column, status: Column) -> Column:
     """Rejected stays; from 0.8 on active, else pending."""
-    return F.when(status == "rejected", status).when(confidence >= 0.8, "active").otherwise("pending")
+    return F.when(status == "rejected", status).when(confidence >= ACTIVE_FROM, "active").otherwise("pending")
 
 
 def observation_problem(kind: Column, claim: Column, confidence: Column, refs: Column) -> Column:
@@ -117,6 +120,32 @@ def bundle_id(files: DataFrame, *group: str) -> DataFrame:
     return files.groupBy(*group).agg(ids.prefixed("tp:v1:", text).alias("bundle_id"), F.count(F.lit(1)).alias("files"))
 
 
+def events_of(events: DataFrame, source: str, since: str | None = None) -> DataFrame:
+    """Events of a source from a time on (their strings' order), by project, time and id."""
+    out = events.where(F.col("source") == source)
+    return (out if since is None else out.where(F.col("timestamp") >= since)).orderBy("project_id", "timestamp", "id")
+
+
+def multiset(events: DataFrame, key: str = "id") -> DataFrame:
+    """How often each id occurs."""
+    return events.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def latest_runs(runs: DataFrame, key: str = "event_id", order: tuple[str, ...] = ("started_at", "run_id")) -> DataFrame:
+    """The last run of each event."""
+    rest = [c for c in runs.columns if c != key]
+    return runs.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(key, "r.*")
+
+
+def encode_refs(refs: Column) -> Column:
+    """References as a JSON array."""
+    return F.to_json(F.coalesce(refs, F.array().cast("array<string>")))
+
+
+def decode_refs(text: Column) -> Column:
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
 def apply_decision(same: Column, newer: Column, stamped: Column, dry: Column, force: Column) -> Column:
     """What applying a bundled file to its place does."""
     return (

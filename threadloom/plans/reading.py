@@ -145,12 +145,22 @@ _add("context_source_sessions", lambda s, d: U.session_rollup(R.select_messages(
 _add(
     "transcript_input",
     lambda s, d: R.transcripts(_m(s, d)).select("project_name", F.sha2("transcript", 256).alias("transcript_sha256"), F.length("transcript").alias("chars")),
-    M + """, marked AS (SELECT *, lag(session_id) OVER w IS DISTINCT FROM session_id AS change FROM messages WINDOW w AS (PARTITION BY project_name ORDER BY session_id, timestamp, source_file, line_index, source)),
-    joined AS (SELECT project_name, string_agg(CASE WHEN change THEN '## ' || session_id || chr(10) ELSE '' END || role || ': ' || content || chr(10), '' ORDER BY session_id, timestamp, source_file, line_index, source) AS t FROM marked GROUP BY project_name)
+    M + """, marked AS (SELECT *, lag(session_id) OVER w IS DISTINCT FROM session_id AS change FROM messages WINDOW w AS (PARTITION BY project_name ORDER BY session_id, source, timestamp, source_file, line_index)),
+    joined AS (SELECT project_name, string_agg(CASE WHEN change THEN chr(10) || '## Session ' || session_id || ' (' || source || ', ' || project_name || ')' || chr(10) ELSE '' END || '- [' || timestamp || '] ' || role || ': ' || content || chr(10), '' ORDER BY session_id, source, timestamp, source_file, line_index) AS t FROM marked GROUP BY project_name)
     SELECT project_name, sha256(t) AS transcript_sha256, length(t)::INT AS chars FROM joined""",
 )
 _add(
     "tool_truncation",
-    lambda s, d: _m(s, d).select("session_id", "line_index", T.shorten_tool_output(F.col("content"), 200).alias("shown")),
-    M + " SELECT session_id, line_index, CASE WHEN length(content) <= 200 THEN content ELSE substring(content, 1, 200) || chr(10) || '[truncated ' || (length(content) - 200) || ' chars, sha256:' || sha256(content) || ']' END AS shown FROM messages",
+    lambda s, d: _m(s, d).select("session_id", "line_index", T.shorten_output(F.col("content"), 200).alias("shown")),
+    M + " SELECT session_id, line_index, CASE WHEN length(content) <= 200 THEN content ELSE substring(content, 1, 200) || chr(10) || '... [truncated; omitted_chars=' || (length(content) - 200) || '; full_content_hash=sha256:' || sha256(content) || ']' END AS shown FROM messages",
 )
+# every third message as a tool's, ten times as long
+_add(
+    "session_inputs",
+    lambda s, d: R.session_inputs(_m(s, d).withColumns({"role": F.when(F.col("line_index") % 3 == 2, "tool").otherwise(F.col("role")), "content": F.repeat("content", F.lit(10))})).select("session_id", F.sha2("input", 256).alias("input_sha256"), F.length("input").alias("chars")),
+    M + """, t AS (SELECT * REPLACE (CASE WHEN line_index % 3 = 2 THEN 'tool' ELSE role END AS role, repeat(content, 10) AS content) FROM messages),
+    j AS (SELECT source, project_name, session_id, '=== Session: ' || session_id || ' ===' || chr(10) || string_agg('[' || timestamp || '] ' || role || ': ' || CASE WHEN role = 'tool' AND length(content) > 2000 THEN substring(content, 1, 2000) || chr(10) || '... [truncated]' ELSE content END || chr(10), '' ORDER BY timestamp, source_file, line_index) AS input FROM t GROUP BY source, project_name, session_id)
+    SELECT session_id, sha256(input) AS input_sha256, length(input)::INT AS chars FROM j""",
+)
+# a page over all sources is told by what is left alone
+_add("cwd_metadata", lambda s, d: U.cwd_metadata(R.select_messages(_m(s, d), "pi"), 15, 30), M + " SELECT count(*) AS total, (30 + greatest(0, least(count(*) - 30, 15)))::BIGINT AS next_offset, 30 + greatest(0, least(count(*) - 30, 15)) < count(*) AS next_page FROM messages WHERE source = 'pi'")

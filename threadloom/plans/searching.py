@@ -25,7 +25,7 @@ LINES_SQL = M + """, split AS (SELECT *, string_split(replace(content, chr(13) |
 lined AS (SELECT *, CASE WHEN raw[len(raw)] = '' THEN raw[1:len(raw) - 1] ELSE raw END AS ls FROM split),
 lines AS (SELECT * EXCLUDE (raw), unnest(ls) AS text, unnest(range(1, len(ls) + 1)) AS line FROM lined)"""
 SNIP = "CASE WHEN length(text) <= 500 THEN text ELSE substring(text, 1, 500) || '...' END"
-CITE = "'message:v1:' || sha256(concat_ws(chr(10), source, project_name, session_id, timestamp, role, content, line_index::VARCHAR))"
+CITE = "'message:v1:' || sha256(concat_ws(chr(10), source, project_name, session_id, role, timestamp, line::VARCHAR, content))"
 
 
 def _find(needle, ignore=False, context=0, where="true", columns=("session_id", "line_index", "line", "snippet")):
@@ -123,4 +123,15 @@ _add(
 )
 PINS = ["conv-6", "conv-9", "conv-12", "conv-19"]
 _add("retrieve_pinned", lambda s, d: _windows(s, d, pins=PINS).select("rank", "session_id", "message_index", "is_anchor"), _sql(" SELECT rank, session_id, message_index, is_anchor FROM windows", pins="session_id IN ('conv-6', 'conv-9', 'conv-12', 'conv-19')"))
+
+
+def _kept_sessions(s, d):
+    matches, provider = _store_matches(s, d), _provider(s, d)
+    best = S.top_sessions(S.rank_sessions(matches), provider, 5)
+    found, indexed = S.anchors(matches, provider, best, NEEDLE)
+    return S.sessions_with_page(best, S.windows(found, indexed, 1, 2, 3), 4, 3).select("rank", "session_id", F.array_join(F.transform("messages", lambda m: m["message_index"].cast("string")), ",").alias("on_page"))
+
+
+_add("retrieve_sessions_kept", _kept_sessions, _sql(" , page AS (SELECT rank, message_index FROM windows ORDER BY rank, message_index LIMIT 4 OFFSET 3) SELECT b.rank, b.session_id, coalesce((SELECT string_agg(message_index::VARCHAR, ',' ORDER BY message_index) FROM page p WHERE p.rank = b.rank), '') AS on_page FROM best b", 5, 1, 2, 3))
+_add("retrieve_page_metadata", lambda s, d: S.flat_metadata(_windows(s, d), 5, 3), _sql(" SELECT count(*) AS total, least(count(*), 3) + 5 < count(*) AS next_page, CASE WHEN least(count(*), 3) + 5 < count(*) THEN 8 ELSE 3 END::BIGINT AS next_offset FROM windows"))
 _add("retrieve_unreadable", lambda s, d: S.unreadable(S.rank_sessions(_store_matches(s, d)), _provider(s, d)), _sql(" SELECT *, 'no provider messages' AS reason FROM groups ANTI JOIN provider USING (source, project_name, session_id)"))

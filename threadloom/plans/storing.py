@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import ids
 from threadloom.functions import text as T
+from threadloom.operators import exchange as X
 from threadloom.operators import redact as D
 from threadloom.operators import store as W
 from threadloom.operators.search import message_citation
@@ -13,6 +14,8 @@ from threadloom.plans.reading import M
 from threadloom.sources import views as V
 
 QUERIES, ORACLES = {}, {}
+#: How references name events; stores choose their own.
+SCHEME = "store://event/"
 
 
 def _add(name, query, sql=None):
@@ -68,7 +71,7 @@ _add(
     lambda s, d: _m(s, d).groupBy("source", "project_name", "source_file").agg(F.concat(F.lit("line:"), F.count(F.lit(1)), F.lit(";bytes:"), F.sum(F.octet_length("content") + 1)).alias("cursor"), F.max_by(F.sha2("content", 256), "line_index").alias("last_hash")),
     M + " SELECT source, project_name, source_file, 'line:' || count(*) || ';bytes:' || sum(strlen(content) + 1) AS cursor, sha256(last(content ORDER BY line_index)) AS last_hash FROM messages GROUP BY ALL",
 )
-_add("message_citation", lambda s, d: _m(s, d).select("session_id", "line_index", message_citation().alias("citation")), M + " SELECT session_id, line_index, 'message:v1:' || sha256(concat_ws(chr(10), source, project_name, session_id, timestamp, role, content, line_index::VARCHAR)) AS citation FROM messages")
+_add("message_citation", lambda s, d: _m(s, d).withColumn("line", F.lit(1)).select("session_id", "line_index", message_citation().alias("citation")), M + " SELECT session_id, line_index, 'message:v1:' || sha256(concat_ws(chr(10), source, project_name, session_id, role, timestamp, '1', content)) AS citation FROM messages")
 
 
 # redaction: detectors that RE2 and Java read alike are counted on both sides
@@ -105,6 +108,7 @@ _add(
     lambda s, d: _redacted(s, d).withColumn("status", D.run_status(F.col("findings"), F.col("blocks_sync"))).groupBy("status").agg(F.count(F.lit(1)).alias("documents")).withColumn("sync_status", D.sync_status(F.col("status"))),
     HITS_SQL + " SELECT CASE WHEN blocked THEN 'blocked' ELSE 'passed' END AS status, count(*) AS documents, CASE WHEN blocked THEN 'blocked' ELSE 'redacted' END AS sync_status FROM hits GROUP BY blocked",
 )
+
 _add("redact_kind_counts", lambda s, d: _redacted(s, d).select(F.explode("findings.kind").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("findings")))
 _add("redacted_text", lambda s, d: _redacted(s, d).where(F.size("findings") > 0).select("doc_id", "redacted", "blocks_sync"))
 _add("finding_spans", lambda s, d: _redacted(s, d).select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*"))
@@ -128,12 +132,12 @@ def _entries(s, d):
 _add(
     "manifest_root_hash",
     lambda s, d: W.manifest_root(_entries(s, d), "project_id"),
-    E + f", entries AS (SELECT project_id, 'event' AS kind, id AS ref_id, content_hash, 'sessions/' || source_session_id || '/events/' || replace(id, ':', '_') || '.json' AS sync_path FROM stored WHERE {BLOCKER_SQL} IS NULL) SELECT project_id, sha256(string_agg(concat_ws(chr(9), kind, ref_id, content_hash, sync_path) || chr(10), '' ORDER BY kind, ref_id, sync_path)) AS root_hash, count(*) AS entries FROM entries GROUP BY project_id",
+    E + f", entries AS (SELECT project_id, 'event' AS kind, id AS ref_id, content_hash, 'sessions/' || source_session_id || '/events/' || replace(id, ':', '_') || '.json' AS sync_path FROM stored WHERE {BLOCKER_SQL} IS NULL) SELECT project_id, 'sha256:' || sha256(string_agg(concat_ws(chr(9), kind, ref_id, content_hash, sync_path) || chr(10), '' ORDER BY kind, ref_id, sync_path)) AS root_hash, count(*) AS entries FROM entries GROUP BY project_id",
 )
 _add(
     "evidence_bundle_hash",
-    lambda s, d: W.tail_per_project(_e(s, d), 20).groupBy("project_id").agg(ids.ordered_digest(F.struct("timestamp", "id"), F.concat("id", F.lit("\t"), "content_text", F.lit("\n"))).alias("evidence_hash")),
-    E + ", tail AS (SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY timestamp DESC, id DESC) <= 20) SELECT project_id, sha256(string_agg(id || chr(9) || content_text || chr(10), '' ORDER BY timestamp, id)) AS evidence_hash FROM tail GROUP BY project_id",
+    lambda s, d: X.evidence_hash(W.tail_per_project(_e(s, d), 20), SCHEME, "project_id"),
+    E + ", tail AS (SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY timestamp DESC, id DESC) <= 20) SELECT project_id, 'sha256:' || sha256(string_agg('store://event/' || id || chr(9) || content_text || chr(10), '' ORDER BY timestamp, id)) AS evidence_hash FROM tail GROUP BY project_id",
 )
 _add("events_tail_per_project", lambda s, d: W.tail_per_project(_e(s, d), 5).select("project_id", "id", "timestamp"), E + " SELECT project_id, id, timestamp FROM stored QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY timestamp DESC, id DESC) <= 5")
 STATE_SQL = "CASE WHEN seq % 11 = 0 THEN 'synced' WHEN " + BLOCKER_SQL + " IS NOT NULL THEN 'blocked' ELSE 'pending' END"

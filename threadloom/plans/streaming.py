@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.scratch import fresh
 from threadloom.functions.shipping import ship
-from threadloom.operators import store as W
+from threadloom.plans.reading import M
+from threadloom.sources import capture as C
 from threadloom.sources import views as V
 from threadloom.streaming import tail
 
 QUERIES, ORACLES = {}, {}
+VERSION = "v1"
 
 
 def _events(spark, d):
@@ -20,32 +21,43 @@ def _events(spark, d):
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def message_events(batch: DataFrame) -> DataFrame:
+    """Events of lines that are messages: (path, offset, raw) to what ``capture.chained`` takes."""
+    kind = "source string, session_id string, role string, content string, timestamp string"
+    found = batch.select("path", "offset", F.from_json("raw", kind).alias("r")).where("r.session_id is not null")
+    return found.select(
+        "path", F.col("offset").alias("line_index"), F.lit(0).alias("part"), "r.source", F.col("r.session_id").alias("source_session_id"), F.concat(F.lit("at:"), "offset").alias("source_event_id"),
+        F.concat("r.role", F.lit("_turn")).alias("event_type"), "r.role", "r.timestamp", F.col("r.content").alias("content_text"),
+    )
+
+
+def chain(events: DataFrame, before: DataFrame | None) -> DataFrame:
+    return C.chained(events, VERSION, before)
+
+
 def tail_ingest(spark, d):
-    """Streams a small transcript folder into a table twice; the second run adds nothing. (The folder is local to the
-    driver: tailing follows files of one machine.)"""
+    """Writes every session as a file, in two goes, tails them after each into one table, and a third time with a new stream,
+    which adds nothing."""
     ship(spark)
     tail.register(spark)
-    home = Path(tempfile.mkdtemp(prefix="threadloom-tail-"))
-    (home / "in").mkdir()
-    rows = V.messages(spark, d).orderBy("session_id", "line_index").limit(50).select(F.to_json(F.struct("session_id", "role", "content", "timestamp")).alias("j")).collect()
-    (home / "in" / "a.jsonl").write_text("".join(r.j + "\n" for r in rows) + '{"unfinished": ')
-
-    def normalise(batch):
-        kind = "session_id string, role string, content string, timestamp string"
-        found = batch.select("offset", F.from_json("raw", kind).alias("r")).select("offset", "r.*")
-        return found.select(
-            F.lit("local").alias("source"), F.col("session_id").alias("source_session_id"), F.concat(F.lit("at:"), "offset").alias("source_event_id"), F.concat("role", F.lit("_turn")).alias("event_type"),
-            "role", "timestamp", F.col("content").alias("content_text"), F.col("offset").alias("seq"),
-        ).transform(W.with_ids)
-
-    for run in range(2):
-        stream = spark.readStream.format("jsonl_tail").option("path", str(home / "in")).load()
-        query = tail.ingest(stream, normalise, str(home / "out"), str(home / f"check-{run}")).start()
+    home = fresh(spark, "tail")
+    m = V.messages(spark, d).withColumn("go", F.col("line_index") % 2)
+    rows = m.select("source_file", "go", "line_index", F.to_json(F.struct("source", "session_id", "role", "content", "timestamp")).alias("value"))
+
+    def run(name: str) -> None:
+        stream = spark.readStream.format("jsonl_tail").option("path", f"{home}/in").option("pattern", "*.txt").load()
+        query = tail.ingest(stream, message_events, chain, f"{home}/table", f"{home}/cursors", f"{home}/check-{name}", name).start()
         try:
             query.processAllAvailable()
         finally:
             query.stop()
-    return spark.read.parquet(str(home / "out")).select("source_session_id", "event_type", "content_hash", "seq")
+
+    for go in range(2):
+        part = rows.where(F.col("go") == go).repartition("source_file").sortWithinPartitions("source_file", "line_index")
+        part.select("source_file", "value").write.mode("append").partitionBy("source_file").text(f"{home}/in")
+        run("first")
+    run("second")
+    return spark.read.parquet(f"{home}/table").select("source_session_id", "event_type", "role", "timestamp", "content_hash", "parent_hash")
 
 
 QUERIES |= {
@@ -54,6 +66,9 @@ QUERIES |= {
     "activity_sessions": lambda s, d: tail.session_activity(_events(s, d)).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("events").alias("longest")),
 }
 ORACLES |= {
+    # each go's lines of a session are one file
+    "tail_ingest": M + """ SELECT session_id AS source_session_id, role || '_turn' AS event_type, role, timestamp, 'sha256:' || sha256(content) AS content_hash,
+    lag('sha256:' || sha256(content)) OVER (PARTITION BY session_id, line_index % 2 ORDER BY line_index) AS parent_hash FROM messages""",
     "activity_hourly": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS events FROM events GROUP BY ALL",
     "activity_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events),
     s AS (SELECT user_id, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM g), c AS (SELECT user_id, no, count(*) AS n FROM s GROUP BY ALL)

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.shipping import ship
 from threadloom.functions.text import first_non_empty, is_blank, lines, percent_decode
+from threadloom.functions.variants import field, items, itself, joined, nested_text, string
 from threadloom.sources.views import MESSAGE_COLUMNS
 
 #: Fixed layouts below a home folder, by source in scan order.
@@ -22,53 +24,22 @@ LAYOUTS: dict[str, tuple[str, ...]] = {
 }
 
 
-def scan(spark: SparkSession, *folders: str) -> DataFrame:
-    """(path, line_index, raw) of every ``*.jsonl`` below the folders. Line numbers need the file whole in a row."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(list(folders), wholetext=True)
+def scan(spark: SparkSession, *folders: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(path, line_index, raw) of every ``pattern`` below the folders. Line numbers need the file whole in a row."""
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(list(folders), wholetext=True)
     rows = text.select(F.col("_metadata.file_path").alias("path"), F.posexplode(lines(F.col("value"))).alias("line_index", "raw"))
     return rows.withColumn("line_index", F.col("line_index").cast("long"))
 
 
-def _s(v: Column, path: str) -> Column:
-    """The string at a path; null for anything else."""
-    found = F.try_variant_get(v, path, "variant")
-    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(v, path, "string"))
-
-
-def _self_text(v: Column) -> Column:
-    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
-
-
-def _joined(items: Column, text) -> Column:
-    parts = F.filter(F.transform(items, text), lambda t: t.isNotNull() & ~is_blank(t))
-    return F.array_join(parts, "\n")
-
-
-def _any_text(v: Column, keys: tuple[str, ...] = ("text", "content", "parts"), depth: int = 2) -> Column:
-    """Text of a string, of an array's items, or of an object's first key that has some; ``depth`` arrays deep."""
-    items = F.try_variant_get(v, "$", "array<variant>")
-    choices = [_self_text(v)]
-    if depth:
-        choices.append(F.when(items.isNotNull(), _joined(items, lambda x: _any_text(x, keys, depth - 1))))
-    for key in keys:
-        own = _s(v, f"$.{key}")
-        below = F.try_variant_get(v, f"$.{key}", "array<variant>")
-        choices.append(own)
-        if depth:
-            choices.append(F.when(below.isNotNull(), _joined(below, lambda x: _any_text(x, keys, depth - 1))))
-    return F.coalesce(*choices)
-
-
-def _text_blocks(v: Column) -> Column:
-    """Text of a string, or of the items of an array that are of type ``text``."""
-    items = F.try_variant_get(v, "$", "array<variant>")
-    kept = F.filter(items, lambda x: (_s(x, "$.type") == "text") | (F.schema_of_variant(x) == "STRING"))
-    return F.coalesce(_self_text(v), F.when(items.isNotNull(), _joined(kept, lambda x: F.coalesce(_self_text(x), _s(x, "$.text")))), _s(v, "$.text"))
+def _text_items(v: Column, drop_blank: bool) -> Column:
+    """Text of the items of an array that are objects of type ``text``."""
+    return joined(F.filter(items(v), lambda x: string(x, "$.type") == "text"), lambda x: string(x, "$.text"), drop_blank)
 
 
 def _tokens(v: Column, path: str) -> Column:
-    """A number, or an object's total or value; else 0."""
-    return F.coalesce(F.try_variant_get(v, path, "long"), F.try_variant_get(v, f"{path}.total", "long"), F.try_variant_get(v, f"{path}.value", "long"), F.lit(0)).cast("long")
+    """A whole number, or an object's total or value; else 0."""
+    whole = lambda p: F.when(F.schema_of_variant(field(v, p)) == "BIGINT", F.try_variant_get(v, p, "long"))
+    return F.coalesce(whole(path), whole(f"{path}.total"), whole(f"{path}.value"), F.lit(0)).cast("long")
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
@@ -95,12 +66,13 @@ def _finish(rows: DataFrame, source: str) -> DataFrame:
 
 def parse_claude(rows: DataFrame) -> DataFrame:
     """User and assistant rows with a session and a text; files' rows without a folder get its first one."""
+    ship(rows.sparkSession)
     v = F.col("v")
     out = _parsed(rows).withColumns(
         {
-            "type": _s(v, "$.type"), "session_id": _s(v, "$.sessionId"), "content": _any_text(F.try_variant_get(v, "$.message.content", "variant")),
-            "role": F.coalesce(_s(v, "$.message.role"), _s(v, "$.type")), "model": _s(v, "$.message.model"), "timestamp": _s(v, "$.timestamp"),
-            "cwd": F.nullif(_s(v, "$.cwd"), F.lit("")), "input_tokens": _tokens(v, "$.message.usage.input_tokens"), "output_tokens": _tokens(v, "$.message.usage.output_tokens"),
+            "type": string(v, "$.type"), "session_id": string(v, "$.sessionId"), "content": nested_text(field(v, "$.message.content"), first_key_decides=True),
+            "role": F.coalesce(string(v, "$.message.role"), string(v, "$.type")), "model": string(v, "$.message.model"), "timestamp": string(v, "$.timestamp"),
+            "cwd": F.nullif(string(v, "$.cwd"), F.lit("")), "input_tokens": _tokens(v, "$.message.usage.input_tokens"), "output_tokens": _tokens(v, "$.message.usage.output_tokens"),
         }
     )
     out = out.where(F.col("type").isin("user", "assistant") & (F.col("session_id") != "") & ~is_blank(F.col("content")))
@@ -121,28 +93,31 @@ def parse_claude(rows: DataFrame) -> DataFrame:
 def parse_codex(rows: DataFrame) -> DataFrame:
     """``session_meta`` sets session, folder and provider for the rows after it."""
     v = F.col("v")
-    rows = _parsed(rows).withColumn("type", _s(v, "$.type"))
+    rows = _parsed(rows).withColumn("type", string(v, "$.type"))
     meta = F.col("type") == "session_meta"
-    rows = rows.withColumns({name: _running(F.when(meta, _s(v, path))) for name, path in (("session_id", "$.payload.id"), ("project_path", "$.payload.cwd"), ("model", "$.payload.model_provider"))})
-    user = (F.col("type") == "event_msg") & (_s(v, "$.payload.type") == "user_message")
-    said = (F.col("type") == "response_item") & (_s(v, "$.payload.role") == "assistant")
-    parts = F.filter(F.try_variant_get(v, "$.payload.content", "array<variant>"), lambda x: _s(x, "$.type") == "output_text")
+    rows = rows.withColumns({name: _running(F.when(meta, string(v, path))) for name, path in (("session_id", "$.payload.id"), ("project_path", "$.payload.cwd"), ("model", "$.payload.model_provider"))})
+    user = (F.col("type") == "event_msg") & (string(v, "$.payload.type") == "user_message")
+    said = (F.col("type") == "response_item") & (string(v, "$.payload.role") == "assistant")
+    parts = F.filter(F.try_variant_get(v, "$.payload.content", "array<variant>"), lambda x: string(x, "$.type") == "output_text")
     out = rows.where(user | said).withColumns(
         {
             "role": F.when(user, "user").otherwise("assistant"),
-            "content": F.when(user, _s(v, "$.payload.message")).otherwise(_joined(parts, lambda x: _s(x, "$.text"))),
-            "timestamp": _s(v, "$.timestamp"), "project_name": F.col("project_path"),
+            "content": F.when(user, string(v, "$.payload.message")).otherwise(joined(parts, lambda x: string(x, "$.text"))),
+            "timestamp": string(v, "$.timestamp"), "project_name": F.col("project_path"),
         }
     )
     return _finish(out.where("session_id <> '' and project_path <> ''"), "codex")
 
 
 def parse_cursor(rows: DataFrame) -> DataFrame:
+    """Text of an array is that of its text items; an object's is its text, else that of its content."""
     v = F.col("v")
+    content, inner = field(v, "$.message.content"), field(v, "$.message.content.content")
+    said = lambda x: F.coalesce(itself(x), F.when(items(x).isNotNull(), _text_items(x, False)), string(x, "$.text"))
     out = _parsed(rows).withColumns(
         {
-            "role": _s(v, "$.role"), "content": _text_blocks(F.try_variant_get(v, "$.message.content", "variant")), "model": _s(v, "$.message.model"),
-            "timestamp": _s(v, "$.timestamp"), "project_name": F.regexp_extract("path", r"/projects/([^/]+)/", 1),
+            "role": string(v, "$.role"), "content": F.coalesce(said(content), said(inner)), "model": string(v, "$.message.model"),
+            "timestamp": string(v, "$.timestamp"), "project_name": F.regexp_extract("path", r"/projects/([^/]+)/", 1),
             "session_id": F.regexp_extract("path", r"/agent-transcripts/([^/]+)/", 1),
         }
     )
@@ -160,14 +135,15 @@ def parse_grok(rows: DataFrame, summaries: DataFrame | None = None) -> DataFrame
 
     ``summaries``: (session_id, cwd, created_at, model) from the side files, where there are any.
     """
+    ship(rows.sparkSession)
     v = F.col("v")
     update = "$.params.update"
     ms = F.coalesce(F.try_variant_get(v, "$.params._meta.agentTimestampMs", "long"), F.try_variant_get(v, f"{update}._meta.agentTimestampMs", "long"), F.try_variant_get(v, "$.timestamp", "long") * 1000)
     chunks = _parsed(rows).withColumns(
         {
-            "kind": _s(v, f"{update}.sessionUpdate"), "text": _any_text(F.try_variant_get(v, f"{update}.content", "variant"), ("text", "content")),
-            "stamp": F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(v, "$.timestamp", "variant")) == "STRING", _s(v, "$.timestamp")), epoch_stamp(ms)),
-            "model": _running(_s(v, f"{update}._meta.modelId")),
+            "kind": string(v, f"{update}.sessionUpdate"), "text": nested_text(field(v, f"{update}.content"), ("content",), True),
+            "stamp": F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(v, "$.timestamp", "variant")) == "STRING", string(v, "$.timestamp")), epoch_stamp(ms)),
+            "model": _running(string(v, f"{update}._meta.modelId")),
             "session_id": F.element_at(F.split("path", "/"), -2), "folder": percent_decode(F.element_at(F.split("path", "/"), -3)),
         }
     ).where(F.col("kind").isin("user_message_chunk", "agent_message_chunk"))
@@ -192,29 +168,31 @@ def read_summaries(spark: SparkSession, *folders: str) -> DataFrame:
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "summary.json").text(list(folders), wholetext=True)
     v = F.try_parse_json("value")
     return text.select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("session_id"), _s(v, "$.info.cwd").alias("cwd"), _s(v, "$.created_at").alias("created_at"), _s(v, "$.current_model_id").alias("model")
+        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("session_id"), string(v, "$.info.cwd").alias("cwd"), string(v, "$.created_at").alias("created_at"), string(v, "$.current_model_id").alias("model")
     )
 
 
 def parse_pi(rows: DataFrame) -> DataFrame:
     """``session`` sets id and folder, ``model_change`` the model; tool results aren't messages."""
     v = F.col("v")
-    rows = _parsed(rows).withColumn("type", _s(v, "$.type"))
+    rows = _parsed(rows).withColumn("type", string(v, "$.type"))
     head, change = F.col("type") == "session", F.col("type") == "model_change"
     stem = F.regexp_extract("path", r"([^/]*?)(\.jsonl)?$", 1)
     rows = rows.withColumns(
         {
-            "session_id": F.coalesce(_running(F.when(head, _s(v, "$.id"))), F.element_at(F.split(stem, "_"), -1)),
-            "project_path": _running(F.when(head, _s(v, "$.cwd"))),
-            "running_model": _running(F.when(change, F.concat_ws("/", _s(v, "$.provider"), _s(v, "$.modelId")))),
+            "session_id": F.coalesce(_running(F.when(head, string(v, "$.id"))), F.element_at(F.split(stem, "_"), -1)),
+            "project_path": _running(F.when(head, string(v, "$.cwd"))),
+            "running_model": _running(F.when(change, F.concat_ws("/", *[F.nullif(string(v, p), F.lit("")) for p in ("$.provider", "$.modelId")]))),
         }
     )
+    content = field(v, "$.message.content")
     usage = lambda *names: sum((_tokens(v, f"$.message.usage.{n}") for n in names), F.lit(0)).cast("long")
-    out = rows.where((F.col("type") == "message") & _s(v, "$.message.role").isin("user", "assistant")).withColumns(
+    out = rows.where((F.col("type") == "message") & string(v, "$.message.role").isin("user", "assistant")).withColumns(
         {
-            "role": _s(v, "$.message.role"), "content": _text_blocks(F.try_variant_get(v, "$.message.content", "variant")),
-            "model": F.coalesce(_s(v, "$.message.model"), "running_model"), "timestamp": F.coalesce(_s(v, "$.timestamp"), _s(v, "$.message.timestamp")),
-            "project_name": F.element_at(F.split("path", "/"), -2), "input_tokens": usage("input", "cacheRead"), "output_tokens": usage("output"),
+            "role": string(v, "$.message.role"), "content": F.coalesce(itself(content), F.when(items(content).isNotNull(), _text_items(content, True)), F.when(string(content, "$.type") == "text", string(content, "$.text"))),
+            "model": F.coalesce(string(v, "$.message.model"), "running_model"), "timestamp": F.coalesce(string(v, "$.timestamp"), string(v, "$.message.timestamp")),
+            "project_name": F.element_at(F.split("path", "/"), -2), "input_tokens": usage("input", "input_tokens", "inputTokens", "prompt_tokens"),
+            "output_tokens": usage("output", "output_tokens", "outputTokens", "completion_tokens"),
         }
     )
     return _finish(out.where("project_path <> ''"), "pi")
@@ -223,7 +201,7 @@ def parse_pi(rows: DataFrame) -> DataFrame:
 PARSERS = {"codex": parse_codex, "claude": parse_claude, "cursor": parse_cursor, "grok": parse_grok, "pi": parse_pi}
 
 
-def load_messages(spark: SparkSession, home: str, sources: tuple[str, ...] | None = None) -> DataFrame:
+def load_messages(spark: SparkSession, home: str, sources: tuple[str, ...] | None = None, pattern: str = "*.jsonl") -> DataFrame:
     """All messages below a home folder; sources not asked for aren't read."""
     out = None
     for source, folders in LAYOUTS.items():
@@ -232,7 +210,7 @@ def load_messages(spark: SparkSession, home: str, sources: tuple[str, ...] | Non
         present = [f"{home.rstrip('/')}/{f}" for f in folders if _exists(spark, f"{home.rstrip('/')}/{f}")]
         if not present:
             continue
-        rows = scan(spark, *present)
+        rows = scan(spark, *present, pattern=pattern)
         found = parse_grok(rows, read_summaries(spark, *present)) if source == "grok" else PARSERS[source](rows)
         out = found if out is None else out.unionByName(found)
     if out is None:

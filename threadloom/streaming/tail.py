@@ -1,8 +1,13 @@
-"""Tailing transcript files as a stream: complete lines only, rotation, and ingest once by content id.
+"""Tailing transcript files as a stream: complete lines only, rotation, and each event stored exactly once.
 
 Spark's file stream takes files as finished and doesn't see what is appended to them, so the source is a Python data
-source: its offset maps each file to the bytes read and a fingerprint of their first ones. Offsets lie on line ends,
-so a batch can be read again from its two offsets.
+source. Its offset maps each file to the bytes taken and a fingerprint of their first ones; the driver finds the new ends, which
+lie on line ends, by reading the last bytes of each file, and tasks read what lies between two offsets, file by file. A
+batch can be read again from its two offsets. Files are seen by the driver and all workers under one path.
+
+Ingest is exactly once whatever the batches' borders: an event's parent is the one before it in its file, also if that
+came with an earlier batch (its hash is kept per file), so its id doesn't depend on the borders; and a batch that is
+replayed writes the same partition of the table again.
 """
 
 from __future__ import annotations
@@ -16,10 +21,11 @@ from pathlib import Path
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 FINGERPRINT_BYTES = 4096
+CHUNK = 1 << 20
 SCHEMA = StructType([StructField("path", StringType()), StructField("offset", LongType()), StructField("raw", StringType())])
 
 
@@ -27,45 +33,88 @@ def fingerprint(raw: bytes) -> str:
     return hashlib.sha256(raw[:FINGERPRINT_BYTES]).hexdigest()
 
 
-def read_delta(path: Path, at: dict | None) -> tuple[list[tuple[str, int, str]], dict]:
-    """New complete lines of a file and its new position; a shorter or replaced file starts again at 0.
+def _first_bytes(path: Path, n: int) -> bytes:
+    with path.open("rb") as f:
+        return f.read(min(n, FINGERPRINT_BYTES))
+
+
+def last_line_end(path: Path) -> int:
+    """The place after the last line feed of a file; reads back from its end."""
+    with path.open("rb") as f:
+        at = f.seek(0, 2)
+        while at > 0:
+            start = max(0, at - CHUNK)
+            f.seek(start)
+            found = f.read(at - start).rfind(b"\n")
+            if found >= 0:
+                return start + found + 1
+            at = start
+    return 0
+
+
+def position(path: Path) -> dict:
+    """How far a file can be taken: {offset, print}; the print is that of the first bytes before the offset."""
+    end = last_line_end(path)
+    return {"offset": end, "print": fingerprint(_first_bytes(path, end))}
+
+
+def begin_of(path: Path, before: dict | None, to: dict) -> int:
+    """Where to read a file from: behind the position before, or at 0 if the file is shorter or another one now."""
+    if before is None or to["offset"] < before["offset"] or fingerprint(_first_bytes(path, before["offset"])) != before["print"]:
+        return 0
+    return before["offset"]
+
+
+def lines_between(path: Path, start: int, end: int) -> Iterator[tuple[str, int, str]]:
+    """(path, offset, line) of the whole lines from ``start`` to ``end``."""
+    with path.open("rb") as f:
+        f.seek(start)
+        while start < end and (line := f.readline()):
+            yield str(path), start, line.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
+            start += len(line)
 
-    ``at``: {offset, print}; the print is that of the first bytes consumed so far.
-    """
-    raw = path.read_bytes()
-    start = at["offset"] if at else 0
-    if at and (len(raw) < start or fingerprint(raw[: min(start, FINGERPRINT_BYTES)]) != at["print"]):
-        start = 0
-    end = raw.rfind(b"\n", start) + 1
-    rows, place = [], start
-    for line in raw[start:end].split(b"\n")[:-1] if end > start else []:
-        rows.append((str(path), place, line.decode("utf-8", "replace").removesuffix("\r")))
-        place += len(line) + 1
-    return rows, {"offset": max(start, end), "print": fingerprint(raw[: min(max(start, end), FINGERPRINT_BYTES)])}
 
+class Delta(InputPartition):
+    """What one task reads: (path, start, end) of some files."""
 
-class TailReader(SimpleDataSourceStreamReader):
-    """Reads what files below a folder gained since an offset. Files are small next to a batch, so one task reads."""
+    def __init__(self, parts: list[tuple[str, int, int]]):
+        self.parts = parts
+
+
+def packed(parts: list[tuple[str, int, int]], size: int) -> list[Delta]:
+    """Files put together until they have ``size`` bytes; a file is never cut."""
+    out, held = [], 0
+    for part in parts:
+        if not out or held >= size:
+            out.append(Delta([]))
+            held = 0
+        out[-1].parts.append(part)
+        held += part[2] - part[1]
+    return out or [Delta([])]
+
+
+class TailReader(DataSourceStreamReader):
+    """Reads what files below a folder gained since an offset; small files share a task."""
 
     def __init__(self, options: dict):
-        self.root, self.pattern = Path(options["path"]), options.get("pattern", "*.jsonl")
+        self.root, self.pattern = Path(options["path"].removeprefix("file://")), options.get("pattern", "*.jsonl")
+        self.size = int(options.get("taskBytes", 16 << 20))
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        files = json.loads(start["files"])
-        rows: list[tuple] = []
-        for path in sorted(self.root.rglob(self.pattern)):
-            found, files[str(path)] = read_delta(path, files.get(str(path)))
-            rows += found
-        return iter(rows), {"files": json.dumps(files, sort_keys=True)}
+    def latestOffset(self) -> dict:
+        return {"files": json.dumps({str(p): position(p) for p in sorted(self.root.rglob(self.pattern))}, sort_keys=True)}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+    def partitions(self, start: dict, end: dict) -> list[Delta]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
-        for name, to in sorted(after.items()):
-            found, _ = read_delta(Path(name), before.get(name))
-            yield from (r for r in found if r[1] < to["offset"])
+        changed = [(name, to) for name, to in sorted(after.items()) if before.get(name) != to]
+        found = [(name, begin_of(Path(name), before.get(name), to), to["offset"]) for name, to in changed]
+        return packed([p for p in found if p[1] < p[2]], self.size)
+
+    def read(self, partition: Delta) -> Iterator[tuple]:
+        for path, start, end in partition.parts:
+            yield from lines_between(Path(path), start, end)
 
 
 class TailSource(DataSource):
@@ -78,30 +127,58 @@ class TailSource(DataSource):
     def schema(self) -> StructType:
         return SCHEMA
 
-    def simpleStreamReader(self, schema: StructType) -> TailReader:
+    def streamReader(self, schema: StructType) -> TailReader:
         return TailReader(self.options)
 
 
-def ingest(stream: DataFrame, normalise, table: str, checkpoint: str):
-    """Starts a query that appends the events of new lines to a Parquet ``table``, each id once.
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
-    Events already in the table, from this run or a replayed batch, are left out by an anti join on their id.
-    """
 
-    def write(batch: DataFrame, number: int) -> None:
-        events = normalise(batch).dropDuplicates(["id"])
-        path = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(table)
-        if path.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).exists(path):
-            events = events.join(batch.sparkSession.read.parquet(table).select("id"), "id", "left_anti")
-        events.write.mode("append").parquet(table)
+def store_batch(batch: DataFrame, number: int, normalise, chain, table: str, cursors: str, stream: str = "tail") -> None:
+    """Writes the events of one batch of (path, offset, raw) to ``table``, and where each file stands to ``cursors``.
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    ``normalise``: batch to events with path, line_index and part. ``chain``: (events, before) to events with ids, see
+    ``capture.chained``. The partition of ``stream`` and ``number`` is replaced, so a batch may come again. New files and
+    lines are only appended; of files that began again (rotation, another stream) events that the table holds are left out.
+    """
+    spark, part = batch.sparkSession, f"stream={stream}/batch={number}"
+    others = ~((F.col("stream") == stream) & (F.col("batch") >= number))
+    events = normalise(batch)
+    before = None
+    if _exists(spark, cursors):
+        known = spark.read.parquet(cursors).where(others)
+        before = known.groupBy("path").agg(F.max_by(F.struct("last_hash", "offset"), "at").alias("c")).select("path", "c.last_hash", "c.offset")
+        starts = batch.groupBy("path").agg(F.min("offset").alias("start"))
+        again = F.col("start") <= F.col("offset")
+        # a file that began again has no event before its first
+        before = before.join(starts, "path").select("path", F.when(~again, F.col("last_hash")).alias("last_hash"), again.alias("again"))
+    events = chain(events, before)
+    if before is not None and _exists(spark, table):
+        repeated = before.where("again").select("path")
+        if not repeated.isEmpty():
+            old = spark.read.parquet(table).where(others).join(repeated, "path", "left_semi").select("id").distinct()
+            events = events.join(old, "id", "left_anti")
+    events.dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{table}/{part}")
+    last = chain(normalise(batch), None).groupBy("path").agg(F.max_by("content_hash", F.struct("line_index", "part")).alias("new_hash"))
+    done = batch.groupBy("path").agg(F.max("offset").alias("offset")).join(last, "path", "left")
+    if before is not None:
+        done = done.join(before.select("path", "last_hash"), "path", "left")
+    kept = F.col("new_hash") if before is None else F.coalesce("new_hash", "last_hash")
+    done.select("path", "offset", kept.alias("last_hash"), F.current_timestamp().alias("at")).write.mode("overwrite").parquet(f"{cursors}/{part}")
+
+
+def ingest(stream: DataFrame, normalise, chain, table: str, cursors: str, checkpoint: str, name: str = "tail"):
+    """The query that stores the events of new lines, see ``store_batch``; to be started. ``name`` tells streams into one table apart."""
+    return stream.writeStream.foreachBatch(lambda batch, number: store_batch(batch, number, normalise, chain, table, cursors, name)).option("checkpointLocation", checkpoint)
 
 
 def reconcile(before: DataFrame, batch: DataFrame, warnings: DataFrame) -> DataFrame:
     """One row: rows discovered, distinct ids, imported (not stored before) and warnings."""
     found = batch.agg(F.count(F.lit(1)).alias("discovered"), F.countDistinct("id").alias("distinct_ids"))
     new = batch.select("id").distinct().join(before.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("imported"))
+    # three tables of one row
     return found.crossJoin(new).crossJoin(warnings.agg(F.count(F.lit(1)).alias("warnings")))
 
 
@@ -125,6 +202,3 @@ def register(spark: SparkSession) -> None:
     """Registers the source; it is sent by value, as the workers that plan a source see no shipped packages."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(TailSource)
-
-
-__all__ = ["TailReader", "TailSource", "activity", "ingest", "read_delta", "reconcile", "register", "session_activity"]

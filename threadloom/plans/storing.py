@@ -109,9 +109,38 @@ _add(
     HITS_SQL + " SELECT CASE WHEN blocked THEN 'blocked' ELSE 'passed' END AS status, count(*) AS documents, CASE WHEN blocked THEN 'blocked' ELSE 'redacted' END AS sync_status FROM hits GROUP BY blocked",
 )
 
-_add("redact_kind_counts", lambda s, d: _redacted(s, d).select(F.explode("findings.kind").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("findings")))
-_add("redacted_text", lambda s, d: _redacted(s, d).where(F.size("findings") > 0).select("doc_id", "redacted", "blocks_sync"))
-_add("finding_spans", lambda s, d: _redacted(s, d).select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*"))
+
+
+def _spans_sql() -> str:
+    """Findings by the same patterns: a match's place is what the pieces and matches before it add up to; overlapping ones merge."""
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    each = []
+    for kind, (pattern, sure) in (D.SECRETS | D.PII).items():
+        group = 1 if kind == "key_value_secret" else 0
+        each.append(f"SELECT doc_id, '{kind}' AS kind, {sure}::DOUBLE AS sure, string_split_regex(text, {quote(pattern)}) AS s, regexp_extract_all(text, {quote(pattern)}, 0) AS w, regexp_extract_all(text, {quote(pattern)}, {group}) AS g FROM documents WHERE regexp_matches(text, {quote(pattern)})")
+    pii = ", ".join(f"'{k}'" for k in D.PII)
+    return f"""WITH raw AS ({" UNION ALL ".join(each)}), each AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM raw),
+    hits AS (SELECT doc_id, kind, sure, w[i] AS whole, g[i] AS value, strlen(array_to_string(s[1:i], '')) + strlen(array_to_string(w[1:i - 1], '')) AS place FROM each),
+    found AS (SELECT doc_id, kind, sure, value, place + strlen(whole) - strlen(value) - CASE WHEN whole <> value AND NOT ends_with(whole, value) THEN 1 ELSE 0 END AS a FROM hits
+      WHERE kind <> 'high_entropy_secret' OR (regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]') AND len(list_distinct(string_split(value, ''))) >= 8 AND list_aggregate(string_split(value, ''), 'entropy') >= 3.5)),
+    spans AS (SELECT *, a + strlen(value) AS b FROM found WHERE value <> ''),
+    marked AS (SELECT *, CASE WHEN a < max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS head FROM spans),
+    islands AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+    merged AS (SELECT doc_id, min(a)::BIGINT AS start_byte, max(b)::BIGINT AS end_byte, max(sure) AS confidence,
+      CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) WHEN bool_and(kind IN ({pii})) THEN 'pii' ELSE 'secret' END AS kind FROM islands GROUP BY doc_id, island),
+    findings AS (SELECT doc_id, kind, start_byte, end_byte, CASE WHEN kind IN ('pii', {pii}) THEN '[REDACTED:' || kind || ']' ELSE '[REDACTED:secret]' END AS replacement, confidence, kind NOT IN ('pii', {pii}) AS blocks_sync FROM merged)"""
+
+
+SPANS_SQL = _spans_sql()
+_add("redact_kind_counts", lambda s, d: _redacted(s, d).select(F.explode("findings.kind").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("findings")), SPANS_SQL + " SELECT kind, count(*) AS findings FROM findings GROUP BY kind")
+_add(
+    "redacted_text",
+    lambda s, d: _redacted(s, d).where(F.size("findings") > 0).select("doc_id", "redacted", "blocks_sync"),
+    SPANS_SQL + """, ends AS (SELECT *, coalesce(lag(end_byte) OVER w, 0) AS before, row_number() OVER (PARTITION BY doc_id ORDER BY start_byte DESC) AS last FROM findings WINDOW w AS (PARTITION BY doc_id ORDER BY start_byte)),
+    b AS (SELECT e.*, encode(d.text) AS raw FROM ends e JOIN documents d USING (doc_id))
+    SELECT doc_id, string_agg(decode(raw[before + 1:start_byte]) || replacement || CASE WHEN last = 1 THEN decode(raw[end_byte + 1:]) ELSE '' END, '' ORDER BY start_byte) AS redacted, bool_or(blocks_sync) AS blocks_sync FROM b GROUP BY doc_id""",
+)
+_add("finding_spans", lambda s, d: _redacted(s, d).select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*"), SPANS_SQL + " SELECT * FROM findings")
 
 # sync and memory
 BLOCKER_SQL = "CASE WHEN event_type IN ('tool_call', 'tool_result', 'unknown_raw_event') THEN 'unsafe event type: ' || event_type END"

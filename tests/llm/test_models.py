@@ -13,12 +13,15 @@ def test_bpe_like_the_library(spark):
     from tokenizers import Tokenizer
 
     path = bpe.default_vocabulary()
-    library, own = Tokenizer.from_file(path), bpe.WordBpe(path)
+    library, own = Tokenizer.from_file(path), bpe.WordBpe(bpe.read_vocabulary(path))
     library.no_truncation()
     library.no_padding()
     rnd = random.Random(1)
     texts = ["", "  ", "don't WE'LL 123", "ΟΔΟΣ Σ's", "İSTANBUL é", "<|endoftext|>a<|startoftext|> <|ENDOFTEXT|>", "x" * 3000, "a b\x85c"]
     texts += ["".join(chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(160, 0x180)])) for _ in range(rnd.randrange(80))) for _ in range(300)]
+    # code points from all over, those assigned lately too
+    every = [c for c in range(0x80, 0x34000) if not 0xD800 <= c <= 0xDFFF]
+    texts += ["a" + "".join(map(chr, rnd.sample(every, 4))) + "b1" for _ in range(1500)] + ["a" + chr(c) + "b" + chr(c) + "1" for c in (0x558, 0x88F, 0x1C89, 0xA7CB, 0x10D50, 0x11DE0, 0x12550, 0x2B73A, 0x323B0, 0x3FC3F)]
     for t in texts:
         want = library.encode(t, add_special_tokens=False)
         assert own.encode(t) == want.ids and own.decode(want.ids) == library.decode(want.ids, skip_special_tokens=False)
@@ -31,8 +34,25 @@ def test_bpe_like_the_library(spark):
     assert {r.doc_id: r.h for r in both} == {r.doc_id: r.decoded_sha256 for r in out.values()}
 
 
+def test_bpe_edges(spark):
+    import json
+
+    spec = json.loads(bpe.read_vocabulary())
+    spec["added_tokens"].append({**spec["added_tokens"][0], "id": 50_000, "content": "[SEP]"})
+    spec["model"]["unk_token"] = "<unk>"
+    gone = spec["model"]["vocab"].pop("q</w>")
+    spec["model"]["vocab"]["<unk>"] = gone
+    spec["model"]["merges"] = [m for m in spec["model"]["merges"] if (m[1] if isinstance(m, list) else m.split(" ")[1]) != "q</w>"]
+    own = bpe.WordBpe(json.dumps(spec))
+    assert own.encode("a[SEP]q") == [*own.encode("a"), 50_000, gone]
+    docs = spark.createDataFrame([(None, "long word " * 100_000, [1]), (1, "x", None), (1, "x", None)], "doc_id long, text string, ids array<int>")
+    out = bpe.digests(docs).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in out if r.doc_id) == [(1, 1), (1, 1)] and max(r.n_tokens for r in out) == 200_000
+    assert bpe.digests(docs.limit(0)).count() == 0 and bpe.encode(docs).columns == ["doc_id", "ids"]
+
+
 def test_heap_equals_scan():
-    own = bpe.WordBpe(bpe.default_vocabulary())
+    own = bpe.WordBpe(bpe.read_vocabulary())
     rnd = random.Random(2)
     for _ in range(300):
         names = [own.symbols[b] for b in "".join(rnd.choice("theinrangl") for _ in range(rnd.randrange(1, 60))).encode()]

@@ -7,13 +7,16 @@ rank, merges there, deletes the boundary and looks up the two neighbouring ranks
 for short words and quadratic in a word's length, so words above ``LONG`` symbols take a heap over
 linked symbols instead, with the same result (least rank first, leftmost among equals).
 
-Row-local: no shuffle. Null texts are empty and have no tokens. The vocabulary file is a parameter; it
-is read once per Python worker, and must be readable at that path on every executor.
+Row-local: no shuffle. Null and empty texts have no tokens; rows may repeat and ids may be null; columns other than the two
+named don't matter, and an empty table gives no rows. The vocabulary file is a parameter; the driver reads it and sends it to the
+workers, so executors needn't see it.
+
+Letters, digits and lower case are those of the library's Unicode tables: what ``regex`` knows beyond them splits like symbols, and
+what Python's ``str.lower`` doesn't know yet is mapped here.
 """
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import unicodedata
@@ -31,6 +34,22 @@ CACHE_WORDS = 200_000
 _WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+# Code points (first, last) that are letters or digits in newer tables only; capitals (first, last, distance) that
+# Python's tables lack.
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1),
+    (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF),
+    (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
+_LOWER = {c: c + distance for first, last, distance in CAPITALS for c in range(first, last + 1)}
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -61,14 +80,15 @@ class _Words(dict):
 
 
 class WordBpe:
-    """Encoder and decoder over one vocabulary file (JSON: normaliser, splitter, merges, vocabulary)."""
+    """Encoder and decoder over the text of one vocabulary file (JSON: normaliser, splitter, merges, vocabulary)."""
 
-    def __init__(self, path: str):
+    def __init__(self, text: str):
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(text)
         model = spec["model"]
+        self.unknown: int | None = model["vocab"].get(model.get("unk_token"))
+        self.fuse_unknown: bool = bool(model.get("fuse_unk"))
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -82,13 +102,24 @@ class WordBpe:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.white = regex.compile(f"[{_WHITE}]+")
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.word = regex.compile(pattern.replace("\\s", _WHITE))
+        pattern = pattern.replace("\\s", _WHITE)
+        self.word = regex.compile(pattern)
+        later = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in NEWER)
+        self.newer = regex.compile(f"[{later}{''.join(map(chr, _LOWER))}]")
+        for name in (r"\p{L}", r"\p{N}"):
+            pattern = pattern.replace(name, f"[{name}--[{later}]]")
+        self.older_word = regex.compile("(?V1)" + pattern)
         self.words = _Words(self.encode_word)
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         names = [self.symbols[b] for b in word.encode("utf-8")]
         names[-1] += self.end
-        ids = [i for i in map(self.vocab.get, names) if i is not None]
+        ids = []
+        for i in map(self.vocab.get, names):
+            if i is not None:
+                ids.append(i)
+            elif self.unknown is not None and not (self.fuse_unknown and ids and ids[-1] == self.unknown):
+                ids.append(self.unknown)
         return tuple(self._scan(ids) if len(ids) <= LONG else self._heap(ids))
 
     def _scan(self, ids: list[int]) -> list[int]:
@@ -135,13 +166,15 @@ class WordBpe:
         text = self.white.sub(" ", unicodedata.normalize("NFC", text))
         # str.lower looks at a capital sigma's neighbours; code point by code point it doesn't
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        if not text.isascii() and self.newer.search(text):
+            return self.older_word.findall(text.translate(_LOWER))
         return self.word.findall(text)
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         words = self.words
-        if self.split_special is None or "<" not in text:
+        if not any(token in text for token in self.special):
             return list(chain.from_iterable(map(words.__getitem__, self._plain(text))))
         out: list[int] = []
         for part in self.split_special.split(text):
@@ -159,30 +192,45 @@ class WordBpe:
         return " ".join(map(self.label.__getitem__, ids))
 
 
-@functools.cache
-def tokenizer(path: str) -> WordBpe:
-    return WordBpe(path)
+def read_vocabulary(path: str | None = None) -> str:
+    with open(path or default_vocabulary(), encoding="utf-8") as f:
+        return f.read()
+
+
+_made: dict[int, WordBpe] = {}
+
+
+def tokenizer(text: str) -> WordBpe:
+    """One per worker and vocabulary."""
+    key = hash(text)
+    if key not in _made:
+        _made[key] = WordBpe(text)
+    return _made[key]
+
+
+def _shared(df: DataFrame, path: str | None):
+    return df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>), one row per document."""
-    path = path or default_vocabulary()
+    vocabulary = _shared(docs, path)
 
     def run(rows):
-        bpe = tokenizer(path)
+        bpe = tokenizer(vocabulary.value)
         for key, body in rows:
             yield key, bpe.encode(body or "")
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return map_rows(docs.select(doc_id, text), run, f"`{doc_id}` {kind}, ids array<int>")
+    return map_rows(docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), run, f"`{doc_id}` {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
     """(doc_id, text) from token ids; null ids give an empty text."""
-    path = path or default_vocabulary()
+    vocabulary = _shared(tokens, path)
 
     def run(rows):
-        bpe = tokenizer(path)
+        bpe = tokenizer(vocabulary.value)
         for key, found in rows:
             yield key, bpe.decode(found or [])
 
@@ -192,16 +240,16 @@ def decode(tokens: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: st
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, then decodes the ids, in one pass."""
-    path = path or default_vocabulary()
+    vocabulary = _shared(docs, path)
 
     def run(rows):
-        bpe = tokenizer(path)
+        bpe = tokenizer(vocabulary.value)
         for key, body in rows:
             ids = bpe.encode(body or "")
             yield key, len(ids), sha256(bpe.ids_text(ids).encode()).hexdigest(), sha256(bpe.decode(ids).encode()).hexdigest()
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return map_rows(docs.select(doc_id, text), run, f"`{doc_id}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_rows(docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), run, f"`{doc_id}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:

@@ -74,16 +74,54 @@ def test_severity(spark):
         rows.append((i, " ".join(words), y))
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, None), (700, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 2] + [(900, 1), (None, 1), (1, None)], "doc_id long, toxic int")
-    words, model = toxicity.train(docs, labels)
-    assert set(words) == set(bad) or set(bad) <= set(words)
-    assert list(model.thresholds) == sorted(model.thresholds)
-    out = {r.doc_id: r for r in toxicity.score(docs, words, model).collect()}
+    model = toxicity.train(docs, labels)
+    assert set(bad) <= set(model.weights)
+    assert list(model.ordinal.thresholds) == sorted(model.ordinal.thresholds) and len(model.ordinal.thresholds) == toxicity.GRADES
+    out = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     held = [(out[i].toxic, y) for i, _, y in rows if i % 2 == 0]
     assert np.mean([int(a) == b for a, b in held]) > 0.97 and not out[700].toxic and not out[None].toxic
     some = [(out[i].expected_severity, sum(w in bad for w in t.split())) for i, t, y in rows if y]
     assert np.corrcoef(*zip(*some))[0, 1] > 0.7
-    none, flat = toxicity.train(docs, labels.where("toxic = 0"))
-    assert none == [] and not any(r.toxic for r in toxicity.score(docs, none, flat).collect())
+    none = toxicity.train(docs, labels.where("toxic = 0"))
+    assert none.weights == {} and not any(r.toxic or r.severity for r in toxicity.score(docs, none).collect())
+
+
+def test_word_pairs_tell_where_words_do_not(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(500):
+        words = [rnd.choice("abcdefghij") + rnd.choice("klmno") for _ in range(40)]
+        y = int(rnd.random() < 0.4)
+        # both words are everywhere; side by side only in texts labelled 1
+        words[5], words[25] = "get", "lost"
+        if y:
+            words[6] = "lost"
+        rows.append((i, " ".join(words), y))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows if i % 2], "doc_id long, toxic int"))
+    assert "get lost" in model.weights
+    out = {r.doc_id: r.toxic for r in toxicity.score(docs, model).collect()}
+    assert np.mean([out[i] == bool(y) for i, _, y in rows if i % 2 == 0]) > 0.97
+
+
+def test_given_grades_and_edges(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(600):
+        g = rnd.choice([0, 0, 0, 1, 2, 3])
+        words = [rnd.choice("abcdefgh") + rnd.choice("xyz") for _ in range(30)] + ["vile"] * (2 ** g - 1)
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words), g))
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t, _ in rows] + [(None, "vile " * 200_000, "clash", 1), (5, rows[5][1], "clash", 1)], "doc_id long, text string, severity string, _y int")
+    labels = spark.createDataFrame([(i, g, "x") for i, _, g in rows if i % 2], "doc_id long, toxic int, text string")
+    model = toxicity.train(docs, labels)
+    out = toxicity.score(docs, model).collect()
+    assert len(out) == 602 and len(model.ordinal.thresholds) == 3
+    by = {r.doc_id: r for r in out}
+    held = [(by[i].severity, g) for i, _, g in rows if i % 2 == 0]
+    assert np.mean([a == g for a, g in held]) > 0.8 and by[None].severity == 3
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert toxicity.train(docs.limit(0), labels).weights == {} == toxicity.train(docs, labels.limit(0)).weights
 
 
 def test_pipeline_stages(spark, tmp_path):

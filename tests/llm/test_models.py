@@ -1,4 +1,4 @@
-"""BPE against the library, severity regression on held-out rows, and the pipeline against a plain version."""
+"""BPE against the library, and severity regression on held-out rows."""
 
 import random
 from hashlib import sha256
@@ -122,27 +122,3 @@ def test_given_grades_and_edges(spark):
     assert np.mean([a == g for a, g in held]) > 0.8 and by[None].severity == 3
     assert toxicity.score(docs.limit(0), model).count() == 0
     assert toxicity.train(docs.limit(0), labels).weights == {} == toxicity.train(docs, labels.limit(0)).weights
-
-
-def test_pipeline_stages(spark, tmp_path):
-    import corpus_pipeline as c
-
-    rnd = random.Random(5)
-    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 7)))
-    prose = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
-    shared = prose(80)
-    texts = [prose(rnd.randrange(20, 120)) for _ in range(30)]
-    texts += [texts[0], texts[1] + " end.", prose(40) + "\n" + shared, prose(40) + "\n" + shared, "short", None, "a b " * 50]
-    rows = [(i, t, "en", f"s{i % 4}" if i % 5 else None, 0) for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    at, seen = docs, []
-    for name, stage in c.STAGES:
-        at = stage(spark, at, str(tmp_path)).cache()
-        seen.append({r.doc_id for r in at.collect()})
-        if name != c.STAGES[-1][0]:
-            assert at.columns == list(c.COLUMNS)
-    assert seen[0] == set(range(34)) and seen[1] == set(range(34)) - {30, 31} and seen[2] == seen[1] and seen[4] == seen[3] <= seen[2]
-    third = {r.doc_id: r.text for r in c.repeated_passages(spark, docs.where("doc_id in (2, 32, 33)"), "").collect()}
-    assert third[2] == texts[2] and shared not in third[32] and third[32].strip() in (texts[32].split("\n")[0], texts[32].split("\n")[0][:-1])
-    assert sorted(map(str, c.run(spark, str(tmp_path)).collect())) == sorted(map(str, at.collect()))

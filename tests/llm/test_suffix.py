@@ -53,3 +53,12 @@ def test_remove_keeps_columns_and_nulls(spark):
     out = {r.doc_id: r for r in suffix.remove(docs).collect()}
     assert out[1].text is None and out[2].text == "" and out[3].text == "a" and out[None].text == "short" and out[1].entry == "k"
     assert suffix.report(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(7)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(5000))
+    noise = lambda n: "".join(rnd.choice("ijklmnop ") for _ in range(n))
+    rows = [(1, noise(1_500_000) + passage + noise(1_500_000)), (2, noise(300) + passage), (3, "z" * 1_000_000), (4, noise(100_000))]
+    out = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (5000, 1), 2: (5000, 1), 3: (1_000_000, 1), 4: (0, 0)}

@@ -2,6 +2,8 @@ import random
 from collections import Counter
 from hashlib import sha256
 
+import pytest
+
 from threadloom.llm import suffix
 
 
@@ -38,14 +40,16 @@ def corpus(seed):
     return texts
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("bits", [suffix.FILTER_BITS, 64])
+def test_against_brute_force(spark, bits, monkeypatch):
+    """Also with filters so small that they let everything through."""
+    monkeypatch.setattr(suffix, "FILTER_BITS", bits)
     for seed in range(2):
         texts = corpus(seed)
         docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, key int").repartition(3)
         want = list(brute(texts))
-        for limit in (suffix.BROADCAST_ROWS, -1):
-            got = {r.doc_id: tuple(r)[1:] for r in suffix.report(docs, broadcast_rows=limit).collect()}
-            assert [got[i] for i in range(len(texts))] == want
+        got = {r.doc_id: tuple(r)[1:] for r in suffix.report(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == want
 
 
 def test_remove_keeps_columns_and_nulls(spark):

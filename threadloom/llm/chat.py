@@ -14,7 +14,8 @@ Inside roles and texts ``&`` becomes ``&amp;`` and ``<|`` becomes ``&lt;|`` (a l
 ``&#10;``), so that no text can open or close a turn; ``unescape`` undoes it exactly.
 
 Order of turns: turn (null first), then role, then text; repeated rows stay repeated. Null roles and
-texts are empty. Rows with a null conversation id form one conversation. An empty table gives no rows.
+texts are empty. Rows with a null conversation id form one conversation. An empty table gives no rows. Columns other than
+the four named don't matter. A conversation is one row, as asked for, so its text must fit one (2 GB).
 """
 
 from __future__ import annotations

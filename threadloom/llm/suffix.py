@@ -3,7 +3,8 @@
 A rolling hash over 8-byte grams triggers: the trigger of a window of ``MATCH`` bytes is the gram of least
 hash among its first ``REACH`` grams. Consecutive windows mostly share their trigger, so triggers cut a text
 into phrases of about ``REACH / 2`` bytes, and a window's trigger depends on the window's bytes alone: equal
-windows, wherever they stand, have their trigger at the same place.
+windows, wherever they stand, have their trigger at the same place. A phrase is taken with all bytes of all its
+windows, so each window lies in one phrase and phrases tell everything about their windows.
 
 What a suffix array over dictionary and parse decides is which windows are neighbours in corpus order with a
 common prefix of ``MATCH`` bytes. Only equality at that depth matters here, so the order is never laid out as
@@ -12,21 +13,22 @@ in four steps from coarse to fine, each a distributed count.
 
 1. *Dictionary*: for each trigger, the ``MATCH - REACH + 1`` bytes from it on. An entry counted once can't lie
    in a repeated window, and with it go all windows of that trigger.
-2. *Parse*: for each trigger left, the phrase in its context: all bytes of all windows that share the trigger.
-   A context counted twice settles all these windows at once; this is the common case in repetitive text.
-3. *Blocks*: of the contexts left, and of one representative of each repeated context with the same entry, runs of
+2. *Parse*: for each trigger left, the phrase. A phrase counted twice settles all its windows at once; this is the common case
+   in repetitive text.
+3. *Blocks*: of the phrases left, and of one representative of each repeated phrase with the same entry, runs of
    ``BLOCK`` windows are ranked in the same way. A window that holds a whole entry counted once, at a trigger
    further on, is out beforehand.
 4. *Suffixes*: windows of the blocks left, and of one representative of each repeated block, are ranked one by one.
 
-Keys are 64-bit hashes; a window is removed if its own key occurs twice and its dictionary entry does.
-
-Between steps a key set goes to all workers if it has at most ``broadcast_rows`` keys; else it is joined to
-the (text, key) pairs, gathered per distinct text and joined to the documents by a hash of the text. Counts
+Steps 2 to 4 say where what they count stands (a digest of the text, and the place in it), so what is repeated is found by
+joins on the keys and gathered per text. What a step leaves to the next is told to the tasks by a bit filter of fixed size
+(``FILTER_BITS``), whatever the number of keys: a filter can only let too much through, which then is counted as well and
+changes nothing. So there is one plan at every size, and no key set goes through the driver. Counts
 combine before the shuffle, so a passage in a third of all documents is a few rows per map task.
 
-Null and short texts (under ``MATCH`` bytes) lose nothing. Matches never cross documents. Rows with equal
-texts, whatever their ids, lose all their bytes if they have ``MATCH`` of them.
+Keys are 64-bit hashes; a window is removed if a key that covers it occurs twice and its dictionary entry does. Null and
+short texts (under ``MATCH`` bytes) lose nothing. Matches never cross documents. Rows with equal
+texts, whatever their ids, lose all their bytes if they have ``MATCH`` of them. Columns may have any names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, ship
+from .common import cut, discard, map_rows, ship
 
 MATCH = 200
 GRAM = 8
@@ -46,7 +48,8 @@ BLOCK = 8
 #: Texts are parsed together up to so many bytes.
 BUFFER = 1 << 17
 ENTRY = MATCH - REACH + 1
-BROADCAST_ROWS = 4_000_000
+#: Bits of a filter, 16 MB.
+FILTER_BITS = 1 << 27
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -149,55 +152,68 @@ class Parsed:
         shape = ((r.at - r.low) << 8 | (r.at - r.high)).astype(np.uint64)
         return _mix(self.hash(r.low, r.high + MATCH) ^ _mix(r.parent + shape) ^ seed)
 
+    def whose(self, starts: np.ndarray) -> np.ndarray:
+        """Which of the texts each place is in."""
+        return np.searchsorted(self.ends, starts, "right")
+
     def suffixes(self, starts: np.ndarray) -> np.ndarray:
         return _mix(self.hash(starts, starts + MATCH) ^ _WINDOW_SEED)
 
 
-class Known:
-    """The key sets found so far, sorted, by the names in ``NAMES``; ``chosen`` and ``picked`` hold places."""
+class Filters:
+    """The bit filters there are so far, by name; a step without its filter lets everything through."""
 
-    def __init__(self, sets: dict[str, np.ndarray]):
-        self.sets = sets
+    def __init__(self, found: dict[str, np.ndarray]):
+        self.found = found
 
     def has(self, name: str, keys: np.ndarray) -> np.ndarray:
-        known = self.sets[name]
-        if not len(known) or not len(keys):
-            return np.zeros(len(keys), bool)
-        return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+        words = self.found[name]
+        at = keys & np.uint64(64 * len(words) - 1)
+        return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-NAMES = ("entry", "context", "chosen", "block", "picked", "suffix")
+def _fold(keys: DataFrame, bits: int) -> np.ndarray:
+    """The filter of a column ``key``: at most ``bits`` bits come to the driver, however many keys there are."""
+    place = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("at"))
+    words = place.groupBy(F.expr("cast(shiftright(at, 6) as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("m")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
+    return out
+
 
+#: Columns of what each step counts, besides the two of the text's digest.
+COLUMNS = {"entry": ("key",), "phrase": ("parent", "key", "place", "low", "high"), "block": ("parent", "key", "place", "low", "high"), "window": ("key",), "place": ("key", "low")}
 
-def _keys(p: Parsed, step: str, known: Known) -> tuple[np.ndarray, ...]:
-    """The keys for a step: entries; (parents, keys, places) of contexts or blocks; suffixes to rank."""
+
+def _keys(p: Parsed, step: str, filters: Filters) -> tuple[np.ndarray, ...]:
+    """What a step counts, in the order of ``COLUMNS``; places are within all texts of ``p``."""
     if step == "entry":
         return (p.triggers.parent,)
-    r = p.live(known.has("entry", p.triggers.parent))
+    r = p.live(filters.has("entry", p.triggers.parent))
     keys = p.keys(r, _CONTEXT_SEED)
-    if step == "context":
-        return r.parent, keys, r.place
-    r = r.pick(~known.has("context", keys) | known.has("chosen", r.place)).blocks()
+    if step == "phrase":
+        return r.parent, keys, r.place, r.low, r.high
+    r = r.pick(filters.has("phrase", keys) | filters.has("phrase", r.place)).blocks()
     keys = p.keys(r, _BLOCK_SEED)
     if step == "block":
-        return r.parent, keys, r.place
-    return (p.suffixes(r.pick(~known.has("block", keys) | known.has("picked", r.place)).starts()),)
-
-
-def repeated_runs(p: Parsed, known: Known) -> list[list[tuple[int, int]]]:
-    """For each text the maximal runs (start, end) of bytes in repeated windows."""
-    r = p.live(known.has("entry", p.triggers.parent))
-    whole = known.has("context", p.keys(r, _CONTEXT_SEED))
-    settled, r = [r.pick(whole).starts()], r.pick(~whole).blocks()
-    whole = known.has("block", p.keys(r, _BLOCK_SEED))
-    single = r.pick(~whole).starts()
-    starts = np.sort(np.concatenate([*settled, r.pick(whole).starts(), single[known.has("suffix", p.suffixes(single))]]))
-    out = []
-    for begin, a, b in zip(p.begins.tolist(), np.searchsorted(starts, p.begins), np.searchsorted(starts, p.ends)):
-        own = starts[a:b] - begin
-        gap = np.flatnonzero(own[1:] > own[:-1] + MATCH)
-        out.append(list(zip(own[np.r_[0, gap + 1]].tolist(), (own[np.r_[gap, b - a - 1]] + MATCH).tolist())) if b > a else [])
-    return out
+        return r.parent, keys, r.place, r.low, r.high
+    starts = r.pick(filters.has("block", keys) | filters.has("block", r.place)).starts()
+    keys = p.suffixes(starts)
+    if step == "window":
+        return (keys,)
+    known = filters.has("window", keys)
+    return keys[known], starts[known]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The maximal runs (start, end) of bytes in windows that start at ``low`` to ``high``, for all (low, high)."""
+    out: list[list[int]] = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], high + MATCH)
+        else:
+            out.append([low, high + MATCH])
+    return [(a, b) for a, b in out]
 
 
 def _buffers(rows):
@@ -213,116 +229,97 @@ def _buffers(rows):
         yield held
 
 
-class _Corpus:
-    """The texts with whatever a step needs to know about them: broadcast sets, or arrays joined to the rows."""
-
-    def __init__(self, docs: DataFrame, text: str, broadcast_rows: int):
-        self.spark, self.broadcast_rows = docs.sparkSession, broadcast_rows
-        self.docs, self.text = docs, text
-        self.uid = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-        self.shared: dict[str, object] = {}
-        self.joined: dict[str, DataFrame] = {}
-
-    def rows(self) -> tuple[DataFrame, list[str]]:
-        """The documents, a column of (uid, text) after theirs and one array per joined set."""
-        out = self.docs.withColumns({"_sfx_uid": self.uid, "_sfx_text": F.col(self.text)})
-        names = sorted(self.joined)
-        for name in names:
-            out = out.join(self.joined[name].withColumnRenamed("uid", f"_sfx_{name}_uid"), F.col("_sfx_uid") == F.col(f"_sfx_{name}_uid"), "left").drop(f"_sfx_{name}_uid")
-        return out, names
-
-    def sets(self):
-        """A function of the joined arrays of some rows that gives their ``Known``."""
-        shared = dict(self.shared)
-        names = sorted(self.joined)
-
-        def known(rows) -> Known:
-            found = {k: b.value for k, b in shared.items()}
-            for k, name in enumerate(names):
-                own = [np.array(row[k], np.int64) for row in rows if row[k]]
-                found[name] = np.unique(np.concatenate(own).view(np.uint64)) if own else np.zeros(0, np.uint64)
-            return Known({name: found.get(name, np.zeros(0, np.uint64)) for name in NAMES})
-
-        return known
-
-    def emit(self, step: str, with_uid: bool = False) -> DataFrame:
-        import pyarrow as pa
-
-        rows, names = self.rows()
-        known = self.sets()
-        columns = ["parent", "key", "place"] if step in ("context", "block") else ["key"]
-        fields = (["uid"] if with_uid else []) + columns
-        schema = pa.schema([(f, pa.int64()) for f in fields])
-
-        def texts(batches):
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    text = batch.column(1)[i].as_py()
-                    if text and len(raw := text.encode()) >= MATCH:
-                        yield batch.column(0)[i].as_py(), [c[i].as_py() for c in batch.columns[2:]], raw
-
-        def run(batches):
-            held, size = [], 0
-            for rows in _buffers(texts(batches)):
-                uids, arrays, raws = map(list, zip(*rows))
-                if with_uid:  # keys are wanted text by text
-                    sets = known(arrays)
-                    found = [(np.full(len(k[0]), uid, np.int64).view(np.uint64), *k) for uid, raw in zip(uids, raws) if len((k := _keys(Parsed([raw], [uid]), step, sets))[0])]
-                else:
-                    found = [_keys(Parsed(raws, uids), step, known(arrays))]
-                held += found
-                size += sum(len(k[0]) for k in found)
-                if size >= 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*held)], schema=schema)
-                    held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*held)], schema=schema)
-
-        ship(self.spark)
-        return rows.select("_sfx_uid", "_sfx_text", *names).mapInArrow(run, ", ".join(f"{f} bigint" for f in fields))
-
-    def learn(self, name: str, keys: DataFrame, step: str, column: str = "key") -> None:
-        """``keys``: one column, distinct. It is written, counted, and shared or joined by its size."""
-        keys = cut(keys.toDF("key"))
-        if keys.count() <= self.broadcast_rows:
-            found = np.sort(keys.toArrow().column(0).to_numpy().view(np.uint64)) if self.broadcast_rows else np.zeros(0, np.uint64)
-            self.shared[name] = self.spark.sparkContext.broadcast(found)
-            return
-        pairs = self.emit(step, with_uid=True).select("uid", F.col(column).alias("key"))
-        hits = pairs.join(keys, "key", "left_semi").groupBy("uid").agg(F.collect_set("key").alias(name))
-        self.joined[name] = cut(hits)
-
-
-def repeated(docs: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> _Corpus:
-    """Runs the four counts; the result knows every repeated window."""
-    corpus = _Corpus(docs, text, broadcast_rows)
-    entries = corpus.emit("entry").groupBy("key").count().filter("count > 1").select("key")
-    corpus.learn("entry", entries, "entry")
-    for step, chosen in (("context", "chosen"), ("block", "picked")):
-        ranked = cut(corpus.emit(step).groupBy("parent", "key").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place")))
-        mixed = ranked.groupBy("parent").agg(F.min("n").alias("least"), F.max("n").alias("most")).where("least = 1 and most > 1").select("parent")
-        corpus.learn(step, ranked.where("n > 1").select("key").distinct(), step, "key")
-        corpus.learn(chosen, ranked.where("n > 1").join(mixed, "parent", "left_semi").select("place").distinct(), step, "place")
-    suffixes = corpus.emit("suffix").groupBy("key").count().filter("count > 1").select("key")
-    corpus.learn("suffix", suffixes, "suffix")
-    return corpus
-
-
-def _finish(corpus: _Corpus, keep: list[str], fn, schema: str) -> DataFrame:
-    rows, names = corpus.rows()
-    known = corpus.sets()
-    kinds = {f.name: f.dataType.simpleString() for f in corpus.docs.schema}
-
-    def run(found):
-        rows = ((*row, (row[len(keep)] or "").encode()) for row in found)
-        for group in _buffers(rows):
-            long = [row for row in group if len(row[-1]) >= MATCH]
-            runs = iter(repeated_runs(Parsed([r[-1] for r in long], [0] * len(long)), known([r[len(keep) + 1 : -1] for r in long])) if long else ())
-            for row in group:
-                yield (*row[: len(keep)], *fn(row[len(keep)], row[-1], next(runs) if len(row[-1]) >= MATCH else []))
+def _digest(text) -> tuple:
+    """Two columns that name a text."""
+    return F.xxhash64(F.coalesce(text, F.lit(""))).alias("u1"), F.xxhash64(F.lit(1), F.coalesce(text, F.lit(""))).alias("u2")
+
+
+def _emit(docs: DataFrame, text: str, step: str, shared: dict) -> DataFrame:
+    """What a step counts, a row each; from step 2 on with the text's digest, and places within the text."""
+    import pyarrow as pa
+
+    names = list(COLUMNS[step])
+    placed = "low" in names
+    schema = pa.schema([(f, pa.int64()) for f in names + (["u1", "u2"] if placed else [])])
+
+    def texts(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                body = batch.column(2)[i].as_py()
+                if body and len(raw := body.encode()) >= MATCH:
+                    yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), raw
+
+    def run(batches):
+        filters = Filters({name: b.value for name, b in shared.items()})
+        held, size = [], 0
+        for rows in _buffers(texts(batches)):
+            u1, u2, raws = map(list, zip(*rows))
+            p = Parsed(raws, u1)
+            found = dict(zip(names, _keys(p, step, filters)))
+            if placed:
+                own = p.whose(found["low"])
+                for name in ("low", "high"):
+                    if name in found:
+                        found[name] = found[name] - p.begins[own]
+                found |= {"u1": np.array(u1, np.int64)[own], "u2": np.array(u2, np.int64)[own]}
+            held.append([found[f.name].view(np.int64) for f in schema])
+            size += len(held[-1][0])
+            if size >= 1 << 18:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], schema=schema)
+                held, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], schema=schema)
+
+    ship(docs.sparkSession)
+    rows = docs.select(*_digest(F.col(f"`{text}`")), F.col(f"`{text}`").alias("body"))
+    return rows.mapInArrow(run, ", ".join(f"{f.name} bigint" for f in schema))
+
+
+def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(u1, u2, runs): for each text with repeated windows the runs (low, high) of places where these start."""
+    spark, bits = docs.sparkSession, FILTER_BITS
+    shared: dict[str, object] = {}
+
+    def learn(name: str, keys: DataFrame) -> None:
+        shared[name] = spark.sparkContext.broadcast(_fold(keys, bits))
+
+    learn("entry", _emit(docs, text, "entry", shared).groupBy("key").count().where("count > 1").select("key"))
+    spans = []
+    for step in ("phrase", "block"):
+        rows = cut(_emit(docs, text, step, shared))
+        ranked = cut(rows.groupBy("parent", "key").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place")))
+        # of a parent with several keys, those counted once go on, and one representative of each that is counted more often
+        open_ = ranked.groupBy("parent").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("parent")
+        left = ranked.join(open_, "parent", "left_semi").select(F.when(F.col("n") == 1, F.col("key")).otherwise(F.col("place")).alias("key"))
+        learn(step, left)
+        settled = ranked.where("n > 1").select("parent", "key")
+        spans.append(cut(rows.join(settled, ["parent", "key"], "left_semi").select("u1", "u2", "low", "high").distinct()))
+        discard(rows, ranked)
+    windows = cut(_emit(docs, text, "window", shared).groupBy("key").count().where("count > 1").select("key"))
+    learn("window", windows)
+    single = _emit(docs, text, "place", shared).join(windows, "key", "left_semi")
+    spans.append(single.select("u1", "u2", "low", F.col("low").alias("high")))
+    every = spans[0].union(spans[1]).union(spans[2])
+    found = cut(every.groupBy("u1", "u2").agg(F.collect_set(F.struct("low", "high")).alias("runs")))
+    discard(windows, *spans[:2])
+    return found
+
+
+def _finish(docs: DataFrame, text: str, keep: list[str], fn, schema: str) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    found = repeated(docs, text).select(F.col("u1").alias("_sfx_v1"), F.col("u2").alias("_sfx_v2"), F.col("runs").alias("_sfx_runs"))
+    u1, u2 = _digest(F.col(f"`{text}`"))
+    rows = docs.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias("_sfx_text"), u1.alias("_sfx_u1"), u2.alias("_sfx_u2"))
+    rows = rows.join(found, (F.col("_sfx_u1") == F.col("_sfx_v1")) & (F.col("_sfx_u2") == F.col("_sfx_v2")), "left")
+
+    def run(batch):
+        for row in batch:
+            *kept, whole, runs = row
+            raw = (whole or "").encode()
+            yield (*kept, *fn(whole, raw, merged([(r["low"], r["high"]) for r in runs]) if runs else []))
 
     kept = "".join(f"`{k}` {kinds[k]}, " for k in keep)
-    return map_rows(rows.select(*[F.col(f"`{k}`") for k in keep], "_sfx_text", *names), run, kept + schema)
+    return map_rows(rows.select(*[F.col(f"`{k}`") for k in keep], "_sfx_text", "_sfx_runs"), run, kept + schema)
 
 
 def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -334,24 +331,24 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per document."""
 
     def fn(_, raw, runs):
         kept = without(raw, runs)
         return len(raw), len(raw) - len(kept), len(runs), sha256(kept).hexdigest()
 
-    return _finish(repeated(docs, text, broadcast_rows), [doc_id], fn, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return _finish(docs, text, [doc_id], fn, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def remove(docs: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def remove(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes cut from ``text`` (a code point cut in two goes whole); null stays null."""
     keep = [c for c in docs.columns if c != text]
 
     def fn(whole, raw, runs):
         return (None if whole is None else whole if not runs else without(raw, runs).decode("utf-8", "ignore"),)
 
-    return _finish(repeated(docs, text, broadcast_rows), keep, fn, f"`{text}` string").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _finish(docs, text, keep, fn, f"`{text}` string").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_suffix(spark, sf_dir: str) -> DataFrame:

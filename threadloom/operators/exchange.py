@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import ids
-from threadloom.operators.rollups import rank_order
+from threadloom.functions.text import basename, git_remote
 from threadloom.operators.store import ACTIVE_FROM, kind_is_safe
 
 # What a written store's documents say about themselves.
@@ -99,13 +99,9 @@ def once_in_order(sessions: DataFrame) -> DataFrame:
     return sessions.withColumn("_again", again).where("not _again").drop("_again")
 
 
-def session_ranks(sessions: DataFrame, limit: int) -> DataFrame:
-    return sessions.orderBy(*rank_order()).limit(limit)
-
-
 def git_key(urls: Column) -> Column:
     """A set of git remotes, normalised: trimmed, without ``.git`` ends, lower case, ascending, once each."""
-    return F.array_sort(F.array_distinct(F.transform(urls, lambda u: F.lower(F.regexp_replace(F.trim(u), r"(\.git)+$", "")))))
+    return F.array_sort(F.array_distinct(F.transform(urls, git_remote)))
 
 
 def resolve_peer(projects: DataFrame, remotes: list[str], local_path: str, display_name: str) -> str:
@@ -127,8 +123,7 @@ def resolve_peer(projects: DataFrame, remotes: list[str], local_path: str, displ
     exact = projects.where((F.col("project_name") == local_path) | (F.col("project_path") == local_path)).orderBy("source", "project_name").select(place.alias("place")).first()
     if exact is not None:
         return exact.place
-    last = lambda c: F.element_at(F.filter(F.split(c, "/"), lambda s: s != ""), -1)
-    named = (F.col("project_name") == display_name) | (last("project_name") == display_name) | (last("project_path") == display_name) | F.array_contains("aliases", display_name)
+    named = (F.col("project_name") == display_name) | (basename(F.col("project_name")) == display_name) | (basename(F.col("project_path")) == display_name) | F.array_contains("aliases", display_name)
     return only(projects.where(F.coalesce(named, F.lit(False))), "display name") or local_path
 
 

@@ -144,10 +144,3 @@ def encode_refs(refs: Column) -> Column:
 
 def decode_refs(text: Column) -> Column:
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
-
-
-def apply_decision(same: Column, newer: Column, stamped: Column, dry: Column, force: Column) -> Column:
-    """What applying a bundled file to its place does."""
-    return (
-        F.when(same, "skip-identical").when(dry, "dry-run").when(force, "write").when(~stamped, "conflict-untimestamped").when(newer, "conflict-newer").otherwise("write")
-    )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.functions import ids
 from threadloom.functions import text as T
 from threadloom.functions.scratch import fresh
 from threadloom.operators import exchange as X

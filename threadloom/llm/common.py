@@ -2,39 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.functions.scratch import shared_dir
 from threadloom.functions.shipping import ship
 
 #: A word is a run of characters outside this set (space, tab, LF, VT, FF, CR).
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[ \\t-\\r]+"
 
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see.
-
-    ``spark.checkpoint.dir`` where the session names one. Unset: a temporary folder in plain
-    local mode (tests), and the warehouse on anything else.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] == "local":
-        if "dir" not in _local:
-            _local["dir"] = tempfile.mkdtemp(prefix="threadloom-")
-            atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
-        return "file://" + _local["dir"]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost nothing."""
@@ -49,9 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Deletes what ``cut`` wrote for these frames. Only for frames that nothing evaluated later rests on."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(df.sparkSession, df._cut_path)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(text: Column) -> Column:

@@ -1,6 +1,8 @@
 """The documents table, cleaned, deduplicated, mixed and tokenised: five stages, each written and read again.
 
-Every stage takes all rows that its predecessor kept; all but the last return the columns of documents.
+Every stage takes all rows that its predecessor kept; all but the last return the columns of documents, in that order, whatever
+other columns come along. Ids and any other column may be null, rows may repeat, texts may be of any length; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -10,14 +12,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.functions.scratch import shared_dir
 from threadloom.llm import bpe, jaccard, mixing, quality, suffix
-from threadloom.llm.common import shared_dir
+from threadloom.llm.common import remove_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; of the others, lines that fail a rule go."""
+    """Rejected documents go, those without text among them; of the others, lines that fail a rule go. Equal rows fare alike."""
     return quality.keep_clean(docs.select(*COLUMNS))
 
 
@@ -27,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 200 bytes found twice are cut out of the texts."""
+    """Passages of 200 bytes found twice are cut out of the texts; no row goes. Null texts stay null, and a null ``n_chars`` goes with them."""
     return suffix.remove(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -45,7 +48,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, one row per copy."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, one row per copy; a null text is an empty one, of no tokens."""
     return bpe.digests(docs)
 
 
@@ -62,12 +65,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's output is deleted when that of the next one stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, last = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", len(STAGES) - 1
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
+        if k == last:
+            break
         out.write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
-    return docs
+        if k:
+            remove_folder(spark, f"{base}/{k - 1}")
+    return out

@@ -1,8 +1,7 @@
 """BPE with word ends: encoding by a contiguous rank array per word, and decoding.
 
-A text is cut at special tokens, normalised (NFC, white space runs to one space, lower case code point
-by code point) and split into words; each word's bytes become symbols, the last with the word-end mark.
-Encoding a word holds its symbols and the ranks of adjacent pairs in two flat lists, finds the least
+A text is cut at special tokens, normalised (NFC, lower case code point by code point) and split into words; each
+word's bytes become symbols, the last with the word-end mark. Encoding a word holds its symbols and the ranks of adjacent pairs in two flat lists, finds the least
 rank, merges there, deletes the boundary and looks up the two neighbouring ranks again. That is quick
 for short words and quadratic in a word's length, so words above ``LONG`` symbols take a heap over
 linked symbols instead, with the same result (least rank first, leftmost among equals).
@@ -65,6 +64,15 @@ def byte_symbols() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+def _latin(text: str) -> bool:
+    """Whether all code points are below 256; quicker than any search for others."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class _Words(dict):
     def __init__(self, encode):
         super().__init__()
@@ -100,7 +108,6 @@ class WordBpe:
             self.pairs.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
         self.symbols = byte_symbols()
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.white = regex.compile(f"[{_WHITE}]+")
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = pattern.replace("\\s", _WHITE)
         self.word = regex.compile(pattern)
@@ -163,10 +170,11 @@ class WordBpe:
         return [x for x, ok in zip(ids, alive) if ok]
 
     def _plain(self, text: str) -> list[str]:
-        text = self.white.sub(" ", unicodedata.normalize("NFC", text))
+        # words hold no white space, so putting one space for a run of it, as the normaliser does, would change none of them
+        text = unicodedata.normalize("NFC", text)
         # str.lower looks at a capital sigma's neighbours; code point by code point it doesn't
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        if not text.isascii() and self.newer.search(text):
+        if not text.isascii() and not _latin(text) and self.newer.search(text):
             return self.older_word.findall(text.translate(_LOWER))
         return self.word.findall(text)
 

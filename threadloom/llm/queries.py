@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html, jaccard, licenses, mixing, quality, suffix, tiff, toxicity
+from . import audit, bpe, chat, html, jaccard, licenses, mixing, quality, search, suffix, tiff, toxicity, urls
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -15,12 +15,18 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_suffix": suffix.op9_suffix,
     "op10_bpe": bpe.op10_bpe,
+    "op11_urls": urls.op11_urls,
+    "op12_search": search.op12_search,
+    "op13_audit": audit.op13_audit,
 }
 ORACLES = {
     "op1_chat": chat.OP1_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op6_quality": quality.OP6_SQL,
     "op7_licenses": licenses.OP7_SQL,
+    "op11_urls": urls.OP11_SQL,
+    "op12_search": search.OP12_SQL,
+    "op13_audit": audit.OP13_SQL,
 }
 
 

@@ -19,12 +19,15 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.functions.scratch import fresh
+
 from .common import cut, discard, tables, words
 
 #: Texts with more than one in so many rows of the table go by broadcast: at most this many of them, of 32 bytes.
 HEAVY = 10_000
 #: Orders grow as the factorial of the filters.
 MOST_FILTERS = 8
+COUNTS = "part string, state string, n bigint, edges array<struct<filter:string,removed:bigint,good_lost:bigint,toxic_lost:bigint>>"
 
 
 def text_failures(text: Column) -> dict[str, Column]:
@@ -65,18 +68,21 @@ def _counts(survivors: DataFrame, state: str, rest: list[str]) -> DataFrame:
     names = ("removed", "good_lost", "toxic_lost")
     sums = [c.alias(f"{f}_{k}") for f in rest for c, k in zip(lost(f), names)]
     edges = [F.struct(F.lit(f).alias("filter"), *[F.col(f"{f}_{k}").alias(k) for k in names]) for f in rest]
-    none = "array<struct<filter:string,removed:bigint,good_lost:bigint,toxic_lost:bigint>>"
+    none = COUNTS.rpartition(" ")[2]
     found = survivors.groupBy("part").agg(F.count(F.lit(1)).alias("n"), *sums)
     return found.select("part", F.lit(state).alias("state"), "n", (F.array(*edges) if edges else F.array()).cast(none).alias("edges"))
 
 
-def walk(rows: DataFrame, filters: str) -> list[DataFrame]:
+def walk(rows: DataFrame, filters: str) -> DataFrame:
     """The counts of every unordered prefix, each written when its survivors are at hand; ``rows``: part, good, toxic, one boolean a filter."""
-    seen: dict[frozenset, DataFrame] = {}
+    spark, base = rows.sparkSession, fresh(rows.sparkSession, "audit")
+    seen: dict[frozenset, str] = {}
 
     def visit(state: frozenset, survivors: DataFrame) -> None:
         rest = [f for f in filters if f not in state]
-        seen[state] = cut(_counts(survivors, "".join(sorted(state)), rest).coalesce(1))
+        seen[state] = f"{base}/state-{''.join(sorted(state))}"
+        counts = _counts(survivors, "".join(sorted(state)), rest).coalesce(1)
+        counts.write.parquet(seen[state])
         for f in rest:
             below = state | {f}
             if below in seen:
@@ -85,10 +91,12 @@ def walk(rows: DataFrame, filters: str) -> list[DataFrame]:
             visit(below, left)
             left.unpersist()
 
-    base = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    visit(frozenset(), base)
-    base.unpersist()
-    return list(seen.values())
+    top = cut(rows)
+    top.persist(StorageLevel.MEMORY_AND_DISK)
+    visit(frozenset(), top)
+    top.unpersist()
+    discard(top)
+    return spark.read.schema(COUNTS).parquet(*seen.values())
 
 
 def orders(spark: SparkSession, filters: str) -> DataFrame:
@@ -105,11 +113,8 @@ def audit(rows: DataFrame, filters: str) -> DataFrame:
     """
     if len(filters) > MOST_FILTERS or len(set(filters)) != len(filters):
         raise ValueError(f"at most {MOST_FILTERS} different filters")
-    spark, counts = rows.sparkSession, walk(rows, filters)
-    found = counts[0]
-    for c in counts[1:]:
-        found = found.union(c)
-    parts = counts[0].select("part")
+    spark, found = rows.sparkSession, walk(rows, filters)
+    parts = found.where("state = ''").select("part")
     zero = [F.lit(0).cast("long").alias(k) for k in ("removed", "good_lost", "toxic_lost")]
     steps = orders(spark, filters)
     # each part has every edge and every state, at zero where nothing was left

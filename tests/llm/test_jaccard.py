@@ -140,3 +140,27 @@ def test_a_group_that_drifts_apart(spark):
         rows.append((i, " ".join(t)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.near_duplicates(docs).collect()} == brute(rows)
+
+
+def test_what_a_crowd_moves(spark, monkeypatch):
+    """Classes of a large component go as differences from its core: counts stay exact, and what goes to pairs of cells is a small part of the sets."""
+    monkeypatch.setattr(jaccard, "CELL", 4_000)
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(120):
+        t = list(base)
+        for _ in range(rnd.randrange(1, 4)):
+            t[rnd.randrange(len(t))] = f"x{rnd.randrange(10**9)}"
+        rows.append((i, " ".join(t if i % 7 else t[: rnd.randrange(290, 390)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    moved, real = [], jaccard.differences
+
+    def differences(crowds, sets):
+        out = real(crowds, sets)
+        moved.append((sum(len(r.d) // 8 for r in out.select("d").collect()), crowds.agg({"n": "sum"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(jaccard, "differences", differences)
+    assert {r.id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.near_duplicates(docs).collect()} == brute(rows)
+    assert len(moved) == 1 and moved[0][0] * 8 < moved[0][1]

@@ -34,10 +34,12 @@ puts out no more links than it takes to join components: at most one for each cl
 and no table of pairs grows faster than the blocks do; a task's size is bounded whatever the block's.
 
 ``link_counts`` counts each class's links in the same way, cells of one component meeting two at a time; counts leave
-the tasks, not pairs. Comparing within a component of g different near copies takes g^2 comparisons by nature; they are
-bit operations inside tasks of bounded size.
+the tasks, not pairs. A class of a component too large for one cell goes as its difference from the component's core, the
+shingles that most of its classes hold, so near copies cost what they differ in. Comparing within a component of g
+different near copies takes g^2 comparisons by nature; they are array operations inside tasks of bounded size.
 
-A null text, or one without words, has no shingles and links with nothing; its component is its own id. A class or
+A null text, or one without words, has no shingles and links with nothing; its component is its own id. An empty table gives an
+empty result; a text of any length is one set, and its blocks go one by one. A class or
 component is named by the least id among its rows that isn't null, null if there is none.
 """
 
@@ -66,6 +68,10 @@ CELL = 1 << 18
 FEW = 8
 #: Texts are found by a broadcast of up to so many digests of 16 bytes, else by a join.
 BROADCAST_TEXTS = 1_000_000
+#: Bytes of all cores of large components up to which they are broadcast.
+BROADCAST_CORES = 1 << 26
+#: What a class weighs in a cell of differences beside the shingles of its own, so that equal ones don't pile up.
+ROW = 16
 CACHE_WORDS = 300_000
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -423,20 +429,65 @@ def _joining_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return found.union(_dealt(dealt, ["key", "band", "one", "two", "side"], run, "a bigint, b bigint")).distinct()
 
 
+def cores(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(comp, core): per component of ``rows`` (comp, node, members) the shingles that more than half of its classes hold, packed.
+
+    A core is at most twice as large as the component's mean set, however many classes there are.
+    """
+
+    def unpack(found):
+        for comp, members, raw in found:
+            yield comp, members, np.frombuffer(raw, np.int64).tolist()
+
+    def pack(found):
+        for comp, core in found:
+            yield comp, np.sort(np.array(core, np.int64).view(np.uint64)).tobytes()
+
+    held = rows.join(sets.select("node", "s"), "node").select("comp", "members", "s")
+    held = map_rows(held, unpack, "comp bigint, members bigint, keys array<bigint>", flush_rows=256).select("comp", "members", F.explode("keys").alias("key"))
+    often = held.groupBy("comp", "members", "key").count().where(F.col("count") * 2 > F.col("members"))
+    return map_rows(often.groupBy("comp").agg(F.collect_list("key").alias("core")), pack, "comp bigint, core binary")
+
+
+def differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(comp, node, n, size, lacks, core, d): each class of ``rows`` (comp, node, members) by its difference from its component's core.
+
+    ``d`` holds the shingles in which the two differ, ``lacks`` how many of these are the core's; ``core`` is its size and ``size`` the
+    set's. ``n`` is what the row weighs in a cell.
+    """
+    core = cut(cores(rows, sets))
+    volume = core.agg(F.sum(F.length("core"))).first()[0] or 0
+
+    def run(found):
+        for comp, node, raw, common in found:
+            s, c = np.frombuffer(raw, np.uint64), np.frombuffer(common or b"", np.uint64)
+            d = np.setxor1d(s, c, assume_unique=True)
+            yield comp, node, len(d) + ROW, len(s), (len(d) + len(c) - len(s)) // 2, len(c), d.tobytes()
+
+    whole = rows.join(sets.select("node", "s"), "node").join(F.broadcast(core) if volume <= BROADCAST_CORES else core, "comp", "left")
+    kind = "comp bigint, node bigint, n bigint, size bigint, lacks bigint, core bigint, d binary"
+    return map_rows(whole.select("comp", "node", "s", "core"), run, kind)
+
+
 def link_counts(comp: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, n_links): how many other classes each class of ``comp`` (node, comp) links with. Two alone have their one link."""
+    """(node, n_links): how many other classes each class of ``comp`` (node, comp) links with. Two alone have their one link.
+
+    Components of one cell go to a task once. Classes of larger ones go to each pair of cells as differences from their component's core,
+    which of near copies are a small part of the sets; two of them share core - lacks - lacks shingles and those that are in both differences.
+    """
 
     def run(group):
         left, right = _sides(group, 1)
         if not left or not right:
             return
-        exact, same = Overlaps(*([np.frombuffer(r[4], np.uint64) for r in side] for side in (left, right))), left is right
-        back = np.zeros(len(right), np.int64)
+        exact, same = Overlaps(*([np.frombuffer(r[7], np.uint64) for r in side] for side in (left, right))), left is right
+        n, lacks, back = np.array([r[4] for r in right], np.int64), np.array([r[5] for r in right], np.int64), np.zeros(len(right), np.int64)
         for i, r in enumerate(left):
-            found = exact.linked(i)
-            n = int(found.sum()) - same
-            if n:
-                yield r[3], n
+            both = exact.of(i) + (r[6] - r[5] - lacks)
+            found = (both > 0) & (SIM_DEN * both >= SIM_NUM * (r[4] + n - both))
+            links = int(found.sum()) - same
+            if links:
+                yield r[3], links
             if not same:
                 back += found
         for j in np.flatnonzero(back).tolist():
@@ -444,7 +495,17 @@ def link_counts(comp: DataFrame, sets: DataFrame) -> DataFrame:
 
     members = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
     rows = cut(comp.join(members, "comp").join(sets.select("node", "n"), "node").select("comp", "node", "n", "members"))
-    dealt = _cells(rows.where("members > 2"), sets.select("node", "s"), ["comp"], ["node"]).select("comp", "one", "two", "side", "node", "s")
+    several = rows.where("members > 2")
+    large = several.groupBy("comp").agg(F.sum("n").alias("all")).where(F.col("all") > CELL).select("comp")
+    here = [F.lit(0).alias(c) for c in ("one", "two", "side")]
+    zero = F.lit(0).cast("long")
+    shape = ["comp", "one", "two", "side", "node", "size", "lacks", "core", "d"]
+    dealt = several.join(large, "comp", "left_anti").join(sets.select("node", F.col("n").alias("size"), F.col("s").alias("d")), "node")
+    dealt = dealt.select("comp", *here, "node", "size", zero.alias("lacks"), zero.alias("core"), "d")
+    crowds = cut(several.join(large, "comp", "left_semi"))
+    if not crowds.isEmpty():
+        small = cut(differences(crowds, sets))
+        dealt = dealt.union(_cells(small.select("comp", "node", "n"), small.select("node", "size", "lacks", "core", "d"), ["comp"], ["node"]).select(*shape))
     counts = _dealt(dealt, ["comp", "one", "two", "side"], run, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n_links"))
     return counts.union(rows.where("members = 2").select("node", F.lit(1).cast("long")))
 

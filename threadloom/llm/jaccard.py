@@ -72,7 +72,10 @@ BROADCAST_TEXTS = 1_000_000
 BROADCAST_CORES = 1 << 26
 #: What a class weighs in a cell of differences beside the shingles of its own, so that equal ones don't pile up.
 ROW = 16
-CACHE_WORDS = 300_000
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: Bytes of words that are hashed together.
+HASH_BYTES = 1 << 20
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -86,32 +89,64 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+_BLANK = np.isin(np.arange(256), [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20])
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _C[4])
+_POWERS = np.cumprod(np.full(LONG_WORD, _C[0]))
 
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The different values in order."""
+    x = np.sort(x)
+    if len(x) < 2:
+        return x
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x if new.all() else x[new]
 
 
-_hashes = _Hashes()
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word: a polynomial in its bytes, each first turned into a 64-bit number; of long words xxhash.
+
+    Words go as arrays of about ``HASH_BYTES`` at a time.
+    """
+    import xxhash
+
+    blank = _BLANK[np.frombuffer(raw, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if raw and not blank[0]:
+        edges = np.r_[0, edges]
+    if raw and not blank[-1]:
+        edges = np.r_[edges, len(raw)]
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + HASH_BYTES, "right")))
+        low, high = int(starts[at]), int(ends[to - 1])
+        own = np.frombuffer(raw, np.uint8, high - low, low)[~blank[low:high]]
+        sizes = ends[at:to] - starts[at:to]
+        first = np.cumsum(sizes) - sizes
+        place = np.minimum(np.arange(len(own)) - np.repeat(first, sizes), LONG_WORD - 1)
+        out[at:to] = np.add.reduceat(_BYTES[own] * _POWERS[place], first)
+        for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+            out[at + k] = xxhash.xxh64_intdigest(raw[starts[at + k] : ends[at + k]])
+        at = to
+    return _mix(out)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The distinct shingle hashes of a text in order; A-Z lower-cased, words split at ASCII white space."""
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    if len(words) < SHINGLE:
-        return _mix(np.array([sum((int(x) * int(c) for x, c in zip(h, _C)), len(words)) & (2**64 - 1)], np.uint64))
+    h = word_hashes((text or "").encode("utf-8").lower())
+    if not len(h):
+        return h
+    if len(h) < SHINGLE:
+        return _mix(np.array([sum((int(x) * int(c) for x, c in zip(h, _C)), len(h)) & (2**64 - 1)], np.uint64))
     n = len(h) - SHINGLE + 1
     total = h[:n] * _C[0]
     for k in range(1, SHINGLE):
         total += h[k : k + n] * _C[k]
-    return np.unique(_mix(total))
+    return _distinct(_mix(total))
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
@@ -262,25 +297,37 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame, broadcast_texts: int) -
     return once
 
 
+def _band(n):
+    """``band_of`` as a column."""
+    return F.when(n <= SMALL, F.lit(0)).otherwise(F.length(F.bin(F.floor((n - 1) / SMALL).cast("long"))))
+
+
 def _leading_blocks(sets: DataFrame) -> DataFrame:
-    """(key, band, node, n): per set and band the blocks that a partner must agree with in one."""
+    """(key, band, node, n): per set and band the blocks that a partner must agree with in one.
+
+    What is known of a set and band goes in one number with each block: size, number of blocks filled, whether the band is the lower one.
+    """
 
     def run(rows):
         for node, n, raw in rows:
             bits = wide_sketch(np.frombuffer(raw, np.uint64))
             for band in bands_of(n):
                 keys = block_keys(bits, band)
-                yield node, n, band, len(keys), keys.view(np.int64).tolist()
+                yield node, n << 32 | len(keys) << 1 | (band != band_of(n)), keys.view(np.int64).tolist()
 
-    sketch = cut(map_rows(sets.select("node", "n", "s"), run, "node bigint, n bigint, band int, filled int, keys array<bigint>"))
-    rows = sketch.select("node", "n", "band", "filled", F.explode("keys").alias("key"))
+    sketch = cut(map_rows(sets.select("node", "n", "s"), run, "node bigint, own bigint, keys array<bigint>"))
+    rows = sketch.select("node", "own", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").count().where("count > 1").withColumnRenamed("count", "size")
     shared = rows.join(sizes, "key")
-    own = Window.partitionBy("node", "n", "band")
-    larger = F.floor(F.col("n") * SIM_DEN / SIM_NUM)
-    distance = F.floor((F.col("n") + larger) * (SIM_DEN - SIM_NUM) / (SIM_DEN + SIM_NUM))
+    own = Window.partitionBy("node", "own")
+    n, filled = F.shiftright("own", 32), F.shiftright(F.col("own").bitwiseAND(0xFFFFFFFF), 1)
+    larger = F.floor(n * SIM_DEN / SIM_NUM)
+    distance = F.floor((n + larger) * (SIM_DEN - SIM_NUM) / (SIM_DEN + SIM_NUM))
     ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("size", "key"))).withColumn("some", F.count(F.lit(1)).over(own))
-    lead = cut(ranked.where(F.col("rank") <= distance + 1 - (F.col("filled") - F.col("some"))).select("key", "band", "node", "n").distinct())
+    lead = ranked.where(F.col("rank") <= distance + 1 - (filled - F.col("some")))
+    lower = F.ceil(n * SIM_NUM / SIM_DEN)
+    band = _band(F.when(F.col("own").bitwiseAND(1) == 1, lower).otherwise(n))
+    lead = cut(lead.select("key", band.cast("int").alias("band"), "node", n.alias("n")).distinct())
     discard(sketch)
     return lead
 

@@ -1,6 +1,7 @@
 """Small literal tables for what the oracles over the driver's tables can't reach."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,17 +136,71 @@ def test_pi_tokens_and_cursor_texts(spark):
     assert [r.content for r in P.parse_cursor(cursor).orderBy("line_index").collect()] == ["t", "u", "w"]
 
 
-def test_marks_miss_no_finding():
-    import random
-    import re
+SPACES = [chr(c) for c in (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
-    rnd = random.Random(6)
-    seeds = ["a@b.co", "sk-" + "a" * 20, "ghp_" + "b" * 20, "github_pat_" + "c" * 22, "AKIA" + "A" * 16, "xoxb-" + "1" * 20, "AIza" + "d" * 30, "-----BEGIN PRIVATE KEY-----x-----END PRIVATE KEY-----", "A1b2C3d4" * 4, "212-555-0123", "(212) 555 0123", "12 Oak St", "9 Elm Drive", "API_KEY: x", "pwd=y", "my.credential = z"]
-    marks = re.compile(D.MARKS)
-    for _ in range(3000):
-        s = rnd.choice(seeds)
-        t = "".join(c.upper() if rnd.random() < 0.1 else c.lower() if rnd.random() < 0.1 else c for c in s) + rnd.choice(["", ".", " x", "\n"])
-        assert not D.pattern_detector(t) or marks.search(t), t
+
+def _odd_texts():
+    """Secrets and numbers with every white space of Unicode, every character that folds to a letter of a key word, and noise around."""
+    rng = random.Random(12)
+    out = [f"call 212{x}555{x}1234 now" for x in SPACES] + [f"at 12{x}Main{x}Hill{x}St. x" for x in SPACES] + [f"token{x}={x}abc{x}d" for x in SPACES]
+    out += ["api_\u212aey = hunter2", "to\u212aen: abc", "\u017fecret: abc", "pa\u017f\u017fword: x", "\u017e to\u212aen", "cred\u0130ntial: x", "pr\u0131vate-key: abc", "a\u2003pwd:\u3000q"]
+    pieces = ["212", "555", "1234", "-", ".", "@", "a@b.co", "key", "To\u212aen", "\u017fecret", ":", "=", '"', "sk-" + "a" * 22, "AKIA" + "A1" * 8, "xoxb-" + "1" * 20, "AIza" + "b" * 30]
+    pieces += ["ghp_" + "c" * 20, "12", "Main", "Street", "Dr", "Ave.", "aB3" * 12, "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "\u0665\u0666", "\u00e9", "\U0001f600", "pwd", "private_key", *SPACES]
+    return out + ["".join(rng.choice(pieces) for _ in range(rng.randint(2, 14))) for _ in range(4000)]
+
+
+def test_gates_miss_no_finding(spark):
+    texts = _odd_texts()
+    whole = [D.every_detector(t) for t in texts]
+    assert sum(map(bool, whole)) > 600 and {f[0] for found in whole for f in found} == set(D.SECRETS | D.PII)
+    assert [sorted(D.pattern_detector(t)) for t in texts] == [sorted(f) for f in whole]
+    rows = {r.k: r for r in D.redact(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "t").collect()}
+    for k, found in enumerate(whole):
+        assert len(rows[k].findings) == len(D.merge(found)) and (rows[k].redacted == texts[k]) == (not found)
+    assert "hunter2" not in rows[texts.index("api_\u212aey = hunter2")].redacted
+
+
+def test_values_find_what_spans_show(spark):
+    texts = _odd_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = df.select("k", *[D.values(F.col("t"), kind).alias(kind) for kind in ("private_phone", "private_email", "key_value_secret", "private_address")]).collect()
+    for r in got:
+        for kind in r.asDict().keys() - {"k"}:
+            assert [v for v in r[kind] if v] == [texts[r.k][a:b] for name, a, b, _ in D._findings(texts[r.k], [kind])], (kind, texts[r.k])
+
+
+def test_quotes_blanks_and_references(spark):
+    words = spark.createDataFrame([("abc\n",), ("a,b",), ("",), ("it's",), ("a b",), ("\u00e9",)], "w string")
+    assert [r.q for r in words.select(T.shell_quote(F.col("w")).alias("q")).collect()] == ["'abc\n'", "a,b", "", "'it'\\''s'", "'a b'", "'\u00e9'"]
+    assert U.continuation("p", "read", [("x", "a,b"), ("y", "abc\n"), ("z", "")], 5) == "p read --x a,b --y 'abc\n' --z  --offset 5"
+    kind = "memory_id string, kind string, claim string, confidence double, evidence_refs array<string>, counterevidence_refs array<string>"
+    rows = [
+        ("a", "\t", "c", 0.5, ["s://1"], None), ("b", "k", "\u2003\n", 0.5, ["s://1"], None), ("c", "k", "c", 0.5, ["s://1"], ["s://9"]), ("d", "k", "c", 0.5, ["s://1"], ["t://1"]),
+        ("e", "k", "c", 0.5, ["s://8", "t://1"], ["s://9"]), ("f", "k", "c", 0.5, ["s://1"], ["s://2"]), ("g", "k", "c", 0.5, [], ["s://2"]),
+    ]
+    found = X.observation_problems(spark.createDataFrame(rows, kind), spark.createDataFrame([("s://1",), ("s://2",), ("s://2",)], "ref string"), "s://").collect()
+    assert {r.memory_id: r.problem for r in found} == {
+        "a": "kind is empty", "b": "claim is empty", "c": "missing evidence: s://9", "d": "invalid evidence ref scheme: t://1", "e": "missing evidence: s://8", "f": None, "g": "no evidence",
+    }
+    lines = spark.createDataFrame([("p", '{"a":1}\n\t\u2003\n{bad\n\n{"unfinished')], "path string, value string")
+    assert [(r.path, r.line_index) for r in C.warnings(lines).collect()] == [("p", 2)]
+    safe = spark.createDataFrame([("\tpreference\n",), ("a\n",), ("a b",), ("my_secret",), ("",)], "k string").select(W.kind_is_safe(F.col("k")).alias("s"))
+    assert [r.s for r in safe.collect()] == [True, True, False, False, False]
+
+
+def test_anchor_of_every_kind(spark):
+    """Same time with the needle, same time, with the needle, first from its time on, last; linear in times and messages."""
+    kind = "source string, project_name string, session_id string, timestamp string, content string, source_file string, line_index long, project_path string"
+    said = lambda s, *rows: [("x", "p", s, t, c, "f", k, "p") for k, (t, c) in enumerate(rows)]
+    provider = spark.createDataFrame(said("a", ("1", "m"), ("2", "m"), ("2", "Needle"), ("4", "m")) + said("b", ("1", "m"), ("3", "m")), kind)
+    best = spark.createDataFrame([("x", "p", "a", 1), ("x", "p", "b", 2)], "source string, project_name string, session_id string, rank int")
+
+    def anchors(session, *times):
+        matches = spark.createDataFrame([("x", "p", session, t) for t in times], "source string, project_name string, session_id string, timestamp string")
+        return sorted(r.anchor for r in S.anchors(matches, provider, best, "needle")[0].collect())
+
+    assert anchors("a", "2") == [2] and anchors("a", "1", "4") == [0, 3] and anchors("a", "3") == [2] and anchors("a", "2", "9") == [2]
+    assert anchors("b", "2") == [1] and anchors("b", "0") == [0] and anchors("b", "9") == [1]
 
 
 def test_errors_of_resolution_and_ages(spark, messages):

@@ -13,8 +13,8 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where the session names one. Unset: a temporary folder in plain local mode (tests), and the
-    warehouse on anything else."""
+    """``spark.checkpoint.dir`` where the session names one. Unset, it is a temporary folder in plain local mode (tests) and an error
+    on anything else: executors would write to disks of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
             _local["dir"] = tempfile.mkdtemp(prefix="threadloom-")
             atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
         return "file://" + _local["dir"]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
 def fresh(spark: SparkSession, name: str) -> str:

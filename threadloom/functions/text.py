@@ -21,13 +21,18 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | text.rlike(r"(?U)\A\s*\z")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def contains_literal(text: Column, needle: str, ignore_case: bool = False) -> Column:
     """Literal substring, never a pattern; folding lower-cases both sides."""
     return F.contains(F.lower(text), F.lit(needle.lower())) if ignore_case else F.contains(text, F.lit(needle))
 
 
 def basename(path: Column) -> Column:
-    return F.element_at(F.filter(F.split(F.trim(path), "/"), lambda s: s != ""), -1)
+    return F.element_at(F.filter(F.split(strip(path), "/"), lambda s: s != ""), -1)
 
 
 def hyphen_name(path: Column) -> Column:
@@ -50,12 +55,16 @@ def path_component(text: Column) -> Column:
     return F.regexp_replace(text, "[^A-Za-z0-9._-]", "_")
 
 
+#: A word of these characters, or of none, needs no quotes.
+SHELL_PLAIN = "A-Za-z0-9_@%+=:,./-"
+
+
 def shell_quote(text: Column) -> Column:
-    return F.when(text.rlike("^[A-Za-z0-9_./:=@%+-]+$"), text).otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\\''")), F.lit("'")))
+    return F.when(text.rlike(f"\\A[{SHELL_PLAIN}]*\\z"), text).otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\\''")), F.lit("'")))
 
 
 def git_remote(url: Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(url), r"(\.git)+$", ""))
+    return F.lower(F.regexp_replace(strip(url), r"(\.git)+\z", ""))
 
 
 def first_non_empty(*columns: Column) -> Column:

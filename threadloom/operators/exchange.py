@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import ids
-from threadloom.functions.text import basename, git_remote
+from threadloom.functions.text import basename, git_remote, is_blank
 from threadloom.operators.store import ACTIVE_FROM, kind_is_safe
 
 # What a written store's documents say about themselves.
@@ -159,17 +159,21 @@ def evidence_hash(events: DataFrame, scheme: str, *group: str) -> DataFrame:
 
 
 def observation_problems(observations: DataFrame, valid: DataFrame, scheme: str, key: str = "memory_id") -> DataFrame:
-    """(key, problem) of each observation (kind, claim, confidence, evidence_refs): the first thing against it, null if nothing.
+    """(key, problem) of each observation (kind, claim, confidence, evidence_refs, counterevidence_refs): the first thing against
+    it, null if nothing. References count in order, those of the counterevidence last.
 
     ``valid``: (ref) of the evidence there is.
     """
-    refs = observations.select(key, F.posexplode("evidence_refs").alias("at", "ref")).where(F.startswith("ref", F.lit(scheme)))
-    lost = refs.join(valid.select("ref").distinct(), "ref", "left_anti").groupBy(key).agg(F.min_by("ref", "at").alias("lost"))
-    bad = F.filter("evidence_refs", lambda r: ~F.startswith(r, F.lit(scheme)))
+    none = F.array().cast("array<string>")
+    every = F.concat(*[F.coalesce(c, none) for c in ("evidence_refs", "counterevidence_refs") if c in observations.columns])
+    refs = observations.select(key, F.posexplode(every).alias("at", "ref"))
+    known = refs.join(valid.select("ref", F.lit(True).alias("known")).distinct(), "ref", "left")
+    wrong = F.when(~F.startswith("ref", F.lit(scheme)), F.concat(F.lit("invalid evidence ref scheme: "), "ref")).when(F.col("known").isNull(), F.concat(F.lit("missing evidence: "), "ref"))
+    lost = known.withColumn("wrong", wrong).where("wrong is not null").groupBy(key).agg(F.min_by("wrong", "at").alias("wrong"))
     problem = (
-        F.when(F.trim("kind") == "", "kind is empty").when(F.trim("claim") == "", "claim is empty").when(~F.col("confidence").between(0, 1), "confidence out of range")
-        .when(F.coalesce(F.size("evidence_refs"), F.lit(0)) <= 0, "no evidence").when(F.size(bad) > 0, F.concat(F.lit("invalid evidence ref scheme: "), F.get(bad, F.lit(0))))
-        .when(F.col("lost").isNotNull(), F.concat(F.lit("missing evidence: "), "lost"))
+        F.when(is_blank(F.col("kind")), "kind is empty").when(is_blank(F.col("claim")), "claim is empty").when(~F.col("confidence").between(0, 1), "confidence out of range")
+        .when(F.coalesce(F.size("evidence_refs"), F.lit(0)) <= 0, "no evidence")
+        .otherwise(F.col("wrong"))
     )
     return observations.join(lost, key, "left").select(key, problem.alias("problem"))
 

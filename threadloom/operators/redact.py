@@ -37,11 +37,25 @@ PII: dict[str, tuple[str, float]] = {
     "private_address": (r"\b\d{1,6}\s+[A-Z][A-Za-z0-9.-]*(?:\s+[A-Z][A-Za-z0-9.-]*){0,4}\s+(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Lane|Ln\.?|Drive|Dr\.?)\b", 0.75),
 }
 MIN_ENTROPY, MIN_DISTINCT = 3.5, 8
-#: Every finding holds one of these; the word boundaries and case rules of the detectors are left to them.
-MARKS = (
-    r"(?i)@|sk-|gh[pousr]_|github_pat_|akia|xox[baprs]-|aiza|-----BEGIN|[A-Za-z0-9_+/=-]{32}|[0-9]{3}[-.\s][0-9]{4}|"
-    r"(?:street|st|avenue|ave|road|rd|lane|ln|drive|dr)\b|(?:key|secret|token|password|passwd|pwd|credential)"
-)
+#: White space as Unicode has it: what \s stands for in the patterns, in Python and in Java alike.
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Characters that fold to k, s and i where case is ignored.
+FOLDS = {"\u212a": "k", "\u017f": "s", "\u0131": "i", "\u0130": "i"}
+#: What a finding of each kind always holds. Every gate lets through more than its detector finds, never less: it knows neither word
+#: borders nor white space, and where the detector ignores case it is tried on the folded text.
+GATES: dict[str, str] = {
+    "key_value_secret": "key|secret|token|passw|pwd|credential",
+    "openai_api_key": "sk-",
+    "github_token": "gh[pousr]_|github_pat_",
+    "aws_access_key": "AKIA",
+    "slack_token": "xox[baprs]-",
+    "google_api_key": "AIza",
+    "private_key": "-----BEGIN ",
+    "high_entropy_secret": "[A-Za-z0-9_+/=-]{32}",
+    "private_email": "@",
+    "private_phone": "[0-9]{3}[^0-9A-Za-z][0-9]{4}",
+    "private_address": "[^0-9A-Za-z](?:St|Ave|Road|Rd|Lane|Ln|Dr)",
+}
 FINDINGS = "array<struct<kind string, start_byte long, end_byte long, replacement string, confidence double, blocks_sync boolean>>"
 
 Detector = Callable[[str], list[tuple[str, int, int, float]]]
@@ -54,13 +68,35 @@ def looks_random(value: str) -> bool:
     return bool(re.search("[A-Za-z]", value)) and bool(re.search("[0-9]", value)) and len(counts) >= MIN_DISTINCT and entropy >= MIN_ENTROPY
 
 
-_COMPILED = {kind: (re.compile(p), sure) for kind, (p, sure) in (SECRETS | PII).items()}
+def unicode_pattern(pattern: str) -> str:
+    """``pattern`` with white space spelled out."""
+    return pattern.replace(r"[^\s", "[^" + SPACE).replace(r"[-.\s]", f"[-.{SPACE}]").replace(r"\s", f"[{SPACE}]")
+
+
+_COMPILED = {kind: (re.compile(unicode_pattern(p)), sure) for kind, (p, sure) in (SECRETS | PII).items()}
+_GATES = {kind: re.compile(p) for kind, p in GATES.items()}
+_FOLD = str.maketrans(FOLDS)
+
+
+def folded(text: str) -> str:
+    return (text if text.isascii() else text.translate(_FOLD)).lower()
+
+
+def every_detector(text: str) -> list[tuple[str, int, int, float]]:
+    """As ``pattern_detector``, without gates."""
+    return _findings(text, _COMPILED)
 
 
 def pattern_detector(text: str) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, confidence) in code points."""
+    """(kind, start, end, confidence) in code points. Detectors whose gate is shut aren't run."""
+    small = folded(text)
+    return _findings(text, [k for k, gate in _GATES.items() if gate.search(small if k == "key_value_secret" else text)])
+
+
+def _findings(text: str, kinds) -> list[tuple[str, int, int, float]]:
     found = []
-    for kind, (pattern, sure) in _COMPILED.items():
+    for kind in kinds:
+        pattern, sure = _COMPILED[kind]
         hits = (m.span(pattern.groups and 1) for m in pattern.finditer(text))
         found += [(kind, a, b, sure) for a, b in hits if a < b and (kind != "high_entropy_secret" or looks_random(text[a:b]))]
     return found
@@ -111,11 +147,18 @@ def scan(detector: Detector = pattern_detector):
     return run
 
 
+def may_hold(text: Column) -> Column:
+    """Whether any gate lets the text through; what is false here holds no finding."""
+    plain = "|".join(p for k, p in GATES.items() if k != "key_value_secret")
+    small = F.lower(F.translate(text, "".join(FOLDS), "".join(FOLDS.values())))
+    return text.rlike(plain) | small.rlike(GATES["key_value_secret"])
+
+
 def redact(rows: DataFrame, column: str, detector: Detector = pattern_detector) -> DataFrame:
     """``rows`` with ``findings``, ``redacted`` text, ``blocks_sync`` and ``coverage``; the text is rebuilt natively from byte spans."""
     ship(rows.sparkSession)
-    # texts without any of the marks that every finding holds don't go to Python
-    worth = F.col(column).rlike(MARKS) if detector is pattern_detector else F.lit(True)
+    # texts without anything that every finding of some kind holds don't go to Python
+    worth = may_hold(F.col(column)) if detector is pattern_detector else F.lit(True)
     found = rows.withColumn("findings", scan(detector)(F.when(worth, F.col(column)).when(F.col(column).isNotNull(), F.lit(""))))
     raw = F.encode(F.col(column), "UTF-8")
     piece = lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8")
@@ -140,6 +183,8 @@ def sync_status(status: Column) -> Column:
 
 
 def values(text: Column, kind: str) -> Column:
-    """All matches of a detector, natively."""
-    pattern = (SECRETS | PII)[kind][0]
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(re.compile(pattern).groups and 1))
+    """All matches of a detector, natively, with the detector's white space, word borders, digits and folds of all of Unicode."""
+    pattern = unicode_pattern((SECRETS | PII)[kind][0])
+    if pattern.startswith("(?i"):  # Java folds into both ranges, not from one to the other
+        pattern = pattern.replace("A-Z", "A-Za-z")
+    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(re.compile(pattern).groups and 1))

@@ -97,7 +97,7 @@ def cwd_metadata(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
 
 def continuation(program: str, command: str, options: list[tuple[str, str | int | None]], next_offset: int) -> str:
     """The command line that asks for the next page; options without a value are left out."""
-    quote = lambda s: s if re.fullmatch("[A-Za-z0-9_./:=@%+-]+", s) else "'" + s.replace("'", "'\\''") + "'"
+    quote = lambda s: s if re.fullmatch(f"[{T.SHELL_PLAIN}]*", s) else "'" + s.replace("'", "'\\''") + "'"
     parts = [program, command, *[f"--{k} {quote(str(v))}" for k, v in options if v is not None], f"--offset {next_offset}"]
     return " ".join(parts)
 

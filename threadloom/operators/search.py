@@ -76,12 +76,16 @@ def anchors(matches: DataFrame, provider: DataFrame, best: DataFrame, needle: st
     own = Window.partitionBy(*key).orderBy(*CHRONOLOGICAL)
     indexed = provider.join(chosen, key).withColumn("message_index", (F.row_number().over(own) - 1).cast("long"))
     holds = T.contains_literal(F.col("content"), needle, True)
-    times = matches.join(chosen, key, "left_semi").select(*key, F.col("timestamp").alias("at")).distinct()
-    both = times.join(indexed, key)
-    first = lambda condition: F.min(F.when(condition, F.col("message_index")))
-    same = F.col("timestamp") == F.col("at")
-    found = both.groupBy(*key, "rank", "at").agg(F.coalesce(first(same & holds), first(same), first(holds), first(F.col("timestamp") >= F.col("at")), F.max("message_index")).alias("anchor"))
-    return found.select("rank", "anchor").distinct(), indexed
+    none = F.lit(None).cast("long")
+    # one row a session and time: its first message, the first with the needle, the last, and whether a match asks for it
+    said = indexed.select("rank", F.col("timestamp").alias("at"), F.col("message_index").alias("i"), F.when(holds, F.col("message_index")).alias("held"), F.lit(False).alias("asked"))
+    asked = matches.join(chosen, key).select("rank", F.col("timestamp").alias("at"), none.alias("i"), none.alias("held"), F.lit(True).alias("asked"))
+    times = said.union(asked).groupBy("rank", "at").agg(F.min("i").alias("first"), F.min("held").alias("held"), F.max("i").alias("last"), F.max("asked").alias("asked"))
+    whole = Window.partitionBy("rank")
+    later = whole.orderBy("at").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    anchor = F.coalesce("held", "first", F.min("held").over(whole), F.min("first").over(later), F.max("last").over(whole))
+    found = times.withColumn("anchor", anchor).where("asked")
+    return found.where("anchor is not null").select("rank", "anchor").distinct(), indexed
 
 
 def windows(found: DataFrame, indexed: DataFrame, before: int = BEFORE, after: int = AFTER, cap: int = CAP) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import ids
+from threadloom.functions.text import strip
 
 PARSER_VERSION = "v1"
 #: Event types that are never synced.
@@ -72,8 +73,8 @@ BANNED_KINDS = ("identity", "personal", "secret", "credential", "sensitive")
 
 
 def kind_is_safe(kind: Column) -> Column:
-    clean = F.lower(F.trim(kind))
-    return clean.rlike("^[a-z0-9_-]{1,64}$") & ~clean.rlike("|".join(BANNED_KINDS))
+    clean = F.lower(strip(kind))
+    return clean.rlike(r"\A[a-z0-9_-]{1,64}\z") & ~clean.rlike("|".join(BANNED_KINDS))
 
 
 def memory_status(confidence: Column, status: Column) -> Column:

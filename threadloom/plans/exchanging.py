@@ -90,13 +90,26 @@ _add(
     lambda s, d: _known(s, d).select("source", "project_name", F.array_join(X.git_key(F.col("git_remotes")), " ").alias("remotes")),
     MP + " SELECT source, project_name, 'git@host:' || source || ' https://host/' || replace(project_name, '/', '') AS remotes FROM projects",
 )
-_add("quoted", lambda s, d: _m(s, d).select("session_id", "line_index", T.shell_quote(F.when(F.col("line_index") % 2 == 0, F.col("session_id")).otherwise(F.col("content"))).alias("word")), M + " SELECT session_id, line_index, CASE WHEN line_index % 2 = 0 THEN session_id WHEN regexp_matches(content, '^[A-Za-z0-9_./:=@%+-]+$') THEN content ELSE chr(39) || replace(content, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39) END AS word FROM messages")
+def _words(s, d):
+    """Words of all sorts: ids, texts, ids with a line feed after them, with a comma, and none."""
+    kind, own = F.col("line_index") % 5, F.col("session_id")
+    word = F.when(kind == 0, own).when(kind == 1, F.col("content")).when(kind == 2, F.concat(own, F.lit("\n"))).when(kind == 3, F.concat(own, F.lit(",b"))).otherwise("")
+    return _m(s, d).select("session_id", "line_index", T.shell_quote(word).alias("word"))
+
+
+# the SQL asks what is left of a word without the characters that need no quotes
+_add(
+    "quoted", _words,
+    M + """, words AS (SELECT session_id, line_index, CASE line_index % 5 WHEN 0 THEN session_id WHEN 1 THEN content WHEN 2 THEN session_id || chr(10) WHEN 3 THEN session_id || ',b' ELSE '' END AS w FROM messages)
+    SELECT session_id, line_index, CASE WHEN translate(w, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_@%+=:,./-', '') = '' THEN w
+      ELSE chr(39) || replace(w, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39) END AS word FROM words""",
+)
 
 
 # observations
 def _claims(s, d):
     refs = F.transform("evidence_refs", lambda r: F.when(F.col("memory_id").endswith("7"), r).otherwise(F.concat(F.lit(SCHEME), r)))
-    return V.claims(s, d).withColumns({"evidence_refs": F.when(F.col("memory_id").endswith("3"), F.array().cast("array<string>")).otherwise(refs), "kind": F.when(F.col("memory_id").endswith("5"), F.lit(" ")).otherwise(F.col("kind"))})
+    return V.claims(s, d).withColumns({"evidence_refs": F.when(F.col("memory_id").endswith("3"), F.array().cast("array<string>")).otherwise(refs), "kind": F.when(F.col("memory_id").endswith("5"), F.lit(" \t\u2003")).otherwise(F.col("kind"))})
 
 
 def _valid(s, d):
@@ -105,10 +118,11 @@ def _valid(s, d):
 
 _add(
     "observation_problems",
-    lambda s, d: X.observation_problems(_claims(s, d), _valid(s, d), SCHEME),
+    lambda s, d: X.observation_problems(_claims(s, d).withColumn("counterevidence_refs", F.when(F.col("memory_id").endswith("9"), F.array(F.lit(SCHEME + "nowhere")))), _valid(s, d), SCHEME),
     C + ", " + V.EVENTS_SQL + """, known AS (SELECT DISTINCT source_event_id AS r FROM store WHERE source_event_id IS NOT NULL)
     SELECT memory_id, CASE WHEN memory_id LIKE '%5' THEN 'kind is empty' WHEN trim(claim) = '' THEN 'claim is empty' WHEN memory_id LIKE '%3' THEN 'no evidence' WHEN memory_id LIKE '%7' THEN 'invalid evidence ref scheme: ' || evidence_refs[1]
-      WHEN evidence_refs[1] NOT IN (SELECT r FROM known) THEN 'missing evidence: store://event/' || evidence_refs[1] WHEN evidence_refs[2] NOT IN (SELECT r FROM known) THEN 'missing evidence: store://event/' || evidence_refs[2] END AS problem FROM claims""",
+      WHEN evidence_refs[1] NOT IN (SELECT r FROM known) THEN 'missing evidence: store://event/' || evidence_refs[1] WHEN evidence_refs[2] NOT IN (SELECT r FROM known) THEN 'missing evidence: store://event/' || evidence_refs[2]
+      WHEN memory_id LIKE '%9' THEN 'missing evidence: store://event/nowhere' END AS problem FROM claims""",
 )
 _add("observation_counts", lambda s, d: X.status_counts(V.claims(s, d)), C + " SELECT CASE WHEN status = 'rejected' THEN status WHEN confidence >= 0.8 THEN 'active' ELSE 'pending' END AS status, count(*) AS observations FROM claims GROUP BY 1")
 _add("unknown_fields", lambda s, d: V.claims(s, d).select("memory_id", F.array_join(X.unknown_fields(F.to_json(F.struct(F.col("claim").alias("claims"), F.col("kind"), F.lit(1).alias("usage"), F.when(F.col("confidence") > 0.5, "x").alias("extra")))), ",").alias("fields")), C + " SELECT memory_id, CASE WHEN confidence > 0.5 THEN 'kind,extra' ELSE 'kind' END AS fields FROM claims")

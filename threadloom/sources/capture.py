@@ -263,7 +263,7 @@ def _tail(value: Column) -> tuple[Column, Column]:
 def warnings(texts: DataFrame) -> DataFrame:
     """(path, line_index) of malformed rows of whole files (path, value); an unfinished last line isn't one."""
     rows = texts.select("path", F.posexplode(F.split("value", "\n")).alias("line_index", "raw"), F.size(F.split("value", "\n")).alias("n"))
-    return rows.where((F.col("line_index") < F.col("n") - 1) & (F.trim("raw") != "") & F.try_parse_json("raw").isNull()).select("path", "line_index")
+    return rows.where((F.col("line_index") < F.col("n") - 1) & ~is_blank(F.col("raw")) & F.try_parse_json("raw").isNull()).select("path", "line_index")
 
 
 def cursors(texts: DataFrame) -> DataFrame:

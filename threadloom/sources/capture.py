@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import ids
+from threadloom.functions.ordered import carried, previous, segmented
 from threadloom.functions.shipping import ship
 from threadloom.functions.text import is_blank, mask_paths, shorten_output
 from threadloom.functions.variants import compact, field, flat_text, items, nested_text, string
+from threadloom.sources.transcripts import WHOLE_BYTES, scan_ranges, scan_whole
 
 EPOCH = "1970-01-01T00:00:00Z"
 # The versions that are part of an event's identity, and the roles of event types.
@@ -189,11 +191,10 @@ def normalised(rows: DataFrame, source: str) -> DataFrame:
     """Events of (path, line_index, raw) without chain and ids; malformed rows give none (see ``warnings``), blank texts neither."""
     ship(rows.sparkSession)
     v = F.col("v")
-    file = Window.partitionBy("path").orderBy("line_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parsed = rows.select("path", "line_index", "raw", F.try_parse_json("raw").alias("v")).where("v is not null")
-    parsed = parsed.withColumn("source_session_id", F.coalesce(F.last_value(_session(source), True).over(file), stem(F.col("path"))))
-    if source == "codex":
-        parsed = parsed.withColumn("provider", F.last_value(string(v, "$.payload.model_provider"), True).over(file))
+    ranged = ["segment"] if segmented(rows) else []
+    parsed = rows.select("path", "line_index", "raw", *ranged, F.try_parse_json("raw").alias("v")).where("v is not null")
+    parsed = carried(parsed, {"source_session_id": _session(source)} | ({"provider": string(v, "$.payload.model_provider")} if source == "codex" else {}))
+    parsed = parsed.withColumn("source_session_id", F.coalesce("source_session_id", stem(F.col("path"))))
     own = {"claude": ("uuid", "id"), "codex": ("id", "payload.id"), "cursor": ("uuid", "id"), "fixture": ("uuid", "id")}[source]
     line = F.concat(F.lit("row:"), ids.content_hash(F.col("raw"))) if source == "fixture" else F.concat(F.lit("line:"), (F.col("line_index") + 1).cast("string"), F.lit(":"), ids.content_hash(F.col("raw")))
     parsed = parsed.withColumns({"base": F.coalesce(*[string(v, f"$.{n}") for n in own], line), "timestamp": F.coalesce(string(v, "$.timestamp"), F.lit(EPOCH))})
@@ -203,7 +204,7 @@ def normalised(rows: DataFrame, source: str) -> DataFrame:
     part = F.coalesce("i", F.lit(0)) if "i" in out.columns else F.lit(0)
     return out.select(
         F.lit(source).alias("source"), "source_session_id", F.concat_ws(":", "base", "suffix").alias("source_event_id"), "event_type", "role", "timestamp", "content_text",
-        F.concat("path", F.lit(":"), (F.col("line_index") + 1).cast("string")).alias("raw_local_ref"), "path", "line_index", part.alias("part"),
+        F.concat("path", F.lit(":"), (F.col("line_index") + 1).cast("string")).alias("raw_local_ref"), "path", "line_index", part.alias("part"), *ranged,
     )
 
 
@@ -212,13 +213,11 @@ def chained(events: DataFrame, parser_version: str, before: DataFrame | None = N
 
     ``before``: (path, last_hash) of files whose earlier events were taken before; their first event follows on.
     """
-    order = Window.partitionBy("path").orderBy("line_index", "part")
     out = events.withColumn("content_hash", ids.content_hash(F.col("content_text")))
-    parent = F.lag("content_hash").over(order)
+    out = previous(out, "parent_hash", "content_hash", ("line_index", "part"))
     if before is not None:
-        out = out.join(before.select("path", "last_hash"), "path", "left")
-        parent = F.when(F.row_number().over(order) == 1, F.col("last_hash")).otherwise(parent)
-    out = out.withColumns({"parent_hash": parent, "parser_version": F.lit(parser_version)}).drop("last_hash")
+        out = out.join(before.select("path", "last_hash"), "path", "left").withColumn("parent_hash", F.coalesce("parent_hash", "last_hash"))
+    out = out.withColumn("parser_version", F.lit(parser_version)).drop("last_hash", "segment")
     return out.withColumn("id", ids.event_id({f: F.col(f) for f in ids.EVENT_FIELDS}))
 
 
@@ -227,6 +226,13 @@ def capture(rows: DataFrame, source: str, project_id: str) -> DataFrame:
     return chained(normalised(rows, source), PARSER_VERSIONS[source]).withColumns({"project_id": F.lit(project_id), "sync_status": F.lit("pending")})
 
 
+def capture_files(spark: SparkSession, source: str, project_id: str, *folders: str, pattern: str = "*.jsonl", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """The store events of the transcripts below the folders; files of more than ``whole_bytes`` are read and chained range by range."""
+    reads = [read(spark, *folders, pattern=pattern, whole_bytes=whole_bytes) for read in (scan_whole, scan_ranges)]
+    whole, ranged = (capture(rows, source, project_id) for rows in reads)
+    return whole.unionByName(ranged)
+
+
 def discover(rows: DataFrame, source: str, project_path: str) -> DataFrame:
     """(source, session_id, path) of the files of (path, line_index, raw) that belong to a project, by path.
 

@@ -1,7 +1,10 @@
 """Readers of the five transcript layouts: lines of files in, canonical messages out.
 
 A file is the unit of order. ``scan`` keeps line numbers; each parser takes (path, line_index, raw) and is made of
-variant accessors and windows over one file, so files parse in parallel and malformed rows are just skipped.
+variant accessors and values carried along a file, so files parse in parallel and malformed rows are just skipped.
+
+Files of up to ``WHOLE_BYTES`` are read whole and are one window each. Larger ones are read in ranges, by many tasks: lines are counted per
+range, a prefix sum over the ranges numbers them, and ``segment`` (the range's start) lets values be carried from range to range.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.ordered import carried, counted, first_of_file
 from threadloom.functions.shipping import ship
 from threadloom.functions.text import first_non_empty, is_blank, lines, percent_decode
 from threadloom.functions.variants import field, items, itself, joined, nested_text, string
@@ -24,13 +28,45 @@ LAYOUTS: dict[str, tuple[str, ...]] = {
 }
 
 
-def scan(spark: SparkSession, *folders: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(path, line_index, raw) of every ``pattern`` below the folders. Line numbers need the file whole in a row."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(list(folders), wholetext=True)
+#: Larger files are read in ranges.
+WHOLE_BYTES = 1 << 26
+
+
+def _reader(spark: SparkSession, pattern: str):
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+
+
+def scan_whole(spark: SparkSession, *folders: str, pattern: str = "*.jsonl", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """(path, line_index, raw) of the files of up to ``whole_bytes``; others are left out of the listing."""
+    text = _reader(spark, pattern).text(list(folders), wholetext=True).where(F.col("_metadata.file_size") <= whole_bytes)
     rows = text.select(F.col("_metadata.file_path").alias("path"), F.posexplode(lines(F.col("value"))).alias("line_index", "raw"))
     return rows.withColumn("line_index", F.col("line_index").cast("long"))
 
 
+def scan_ranges(spark: SparkSession, *folders: str, pattern: str = "*.jsonl", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """(path, line_index, raw, segment) of the files of more than ``whole_bytes``, of any size, read in ranges of ``spark.sql.files.maxPartitionBytes``.
+
+    Within a range lines are numbered as they are read; a first pass counts each range's lines. A file without a line
+    feed for longer than a row may be can't be read.
+    """
+    at = F.col("_metadata")
+    text = _reader(spark, pattern).option("lineSep", "\n").text(list(folders)).where(at["file_size"] > whole_bytes)
+    rows = text.select(at["file_path"].alias("path"), at["file_block_start"].alias("segment"), at["file_size"].alias("size"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"))
+    ranges = rows.groupBy("path", "segment").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("raw") + 1).alias("bytes"))
+    file = Window.partitionBy("path")
+    before = F.coalesce(F.sum("n").over(file.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("path", "segment", (before - F.col("first")).alias("shift"), (F.sum("n").over(file) - 1).alias("last"), F.sum("bytes").over(file).alias("bytes"))
+    found = rows.join(ranges, ["path", "segment"]).withColumn("line_index", F.col("place") + F.col("shift"))
+    # a carriage return belongs to the line feed after it; the last line may have none
+    open_end = (F.col("line_index") == F.col("last")) & (F.col("bytes") > F.col("size"))
+    return found.select("path", "line_index", F.when(open_end, F.col("raw")).otherwise(F.regexp_replace("raw", r"\r\z", "")).alias("raw"), "segment")
+
+
+def scan(spark: SparkSession, *folders: str, pattern: str = "*.jsonl", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """(path, line_index, raw) of every ``pattern`` below the folders."""
+    return scan_whole(spark, *folders, pattern=pattern, whole_bytes=whole_bytes).unionByName(scan_ranges(spark, *folders, pattern=pattern, whole_bytes=whole_bytes).drop("segment"))
+
+
 def _text_items(v: Column, drop_blank: bool) -> Column:
     """Text of the items of an array that are objects of type ``text``."""
     return joined(F.filter(items(v), lambda x: string(x, "$.type") == "text"), lambda x: string(x, "$.text"), drop_blank)
@@ -46,14 +82,6 @@ def _parsed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("v", F.try_parse_json("raw")).where("v is not null")
 
 
-def _file() -> Window:
-    return Window.partitionBy("path").orderBy("line_index")
-
-
-def _running(value: Column) -> Column:
-    return F.last_value(value, True).over(_file().rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-
 def _finish(rows: DataFrame, source: str) -> DataFrame:
     defaults = {
         "model": F.lit(""), "timestamp": F.lit(""), "is_subagent": F.lit(False), "msg_type": F.col("role"),
@@ -76,11 +104,10 @@ def parse_claude(rows: DataFrame) -> DataFrame:
         }
     )
     out = out.where(F.col("type").isin("user", "assistant") & (F.col("session_id") != "") & ~is_blank(F.col("content")))
-    whole = _file().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return _finish(
-        out.withColumns(
+        first_of_file(out, "first_cwd", F.col("cwd")).withColumns(
             {
-                "project_path": F.coalesce("cwd", F.first_value("cwd", True).over(whole)),
+                "project_path": F.coalesce("cwd", "first_cwd"),
                 "project_name": F.regexp_extract("path", r"/projects/([^/]+)/", 1),
                 "is_subagent": F.contains("path", F.lit("/subagents/")),
                 "msg_type": F.col("type"),
@@ -95,7 +122,7 @@ def parse_codex(rows: DataFrame) -> DataFrame:
     v = F.col("v")
     rows = _parsed(rows).withColumn("type", string(v, "$.type"))
     meta = F.col("type") == "session_meta"
-    rows = rows.withColumns({name: _running(F.when(meta, string(v, path))) for name, path in (("session_id", "$.payload.id"), ("project_path", "$.payload.cwd"), ("model", "$.payload.model_provider"))})
+    rows = carried(rows, {name: F.when(meta, string(v, path)) for name, path in (("session_id", "$.payload.id"), ("project_path", "$.payload.cwd"), ("model", "$.payload.model_provider"))})
     user = (F.col("type") == "event_msg") & (string(v, "$.payload.type") == "user_message")
     said = (F.col("type") == "response_item") & (string(v, "$.payload.role") == "assistant")
     parts = F.filter(F.try_variant_get(v, "$.payload.content", "array<variant>"), lambda x: string(x, "$.type") == "output_text")
@@ -139,16 +166,15 @@ def parse_grok(rows: DataFrame, summaries: DataFrame | None = None) -> DataFrame
     v = F.col("v")
     update = "$.params.update"
     ms = F.coalesce(F.try_variant_get(v, "$.params._meta.agentTimestampMs", "long"), F.try_variant_get(v, f"{update}._meta.agentTimestampMs", "long"), F.try_variant_get(v, "$.timestamp", "long") * 1000)
-    chunks = _parsed(rows).withColumns(
+    chunks = carried(_parsed(rows), {"model": string(v, f"{update}._meta.modelId")}).withColumns(
         {
             "kind": string(v, f"{update}.sessionUpdate"), "text": nested_text(field(v, f"{update}.content"), ("content",), True),
             "stamp": F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(v, "$.timestamp", "variant")) == "STRING", string(v, "$.timestamp")), epoch_stamp(ms)),
-            "model": _running(string(v, f"{update}._meta.modelId")),
             "session_id": F.element_at(F.split("path", "/"), -2), "folder": percent_decode(F.element_at(F.split("path", "/"), -3)),
         }
     ).where(F.col("kind").isin("user_message_chunk", "agent_message_chunk"))
     user = F.col("kind") == "user_message_chunk"
-    chunks = chunks.withColumn("island", F.sum(user.cast("int")).over(_file())).where(~is_blank(F.col("text")))
+    chunks = counted(chunks, "island", user).where(~is_blank(F.col("text")))
     place = F.struct("line_index", "text", "stamp", "model")
     runs = chunks.groupBy("path", "session_id", "folder", "island", user.alias("user")).agg(F.array_sort(F.collect_list(place)).alias("c"))
     out = runs.select(
@@ -178,13 +204,9 @@ def parse_pi(rows: DataFrame) -> DataFrame:
     rows = _parsed(rows).withColumn("type", string(v, "$.type"))
     head, change = F.col("type") == "session", F.col("type") == "model_change"
     stem = F.regexp_extract("path", r"([^/]*?)(\.jsonl)?$", 1)
-    rows = rows.withColumns(
-        {
-            "session_id": F.coalesce(_running(F.when(head, string(v, "$.id"))), F.element_at(F.split(stem, "_"), -1)),
-            "project_path": _running(F.when(head, string(v, "$.cwd"))),
-            "running_model": _running(F.when(change, F.concat_ws("/", *[F.nullif(string(v, p), F.lit("")) for p in ("$.provider", "$.modelId")]))),
-        }
-    )
+    changed = F.concat_ws("/", *[F.nullif(string(v, p), F.lit("")) for p in ("$.provider", "$.modelId")])
+    rows = carried(rows, {"session_id": F.when(head, string(v, "$.id")), "project_path": F.when(head, string(v, "$.cwd")), "running_model": F.when(change, changed)})
+    rows = rows.withColumn("session_id", F.coalesce("session_id", F.element_at(F.split(stem, "_"), -1)))
     content = field(v, "$.message.content")
     usage = lambda *names: sum((_tokens(v, f"$.message.usage.{n}") for n in names), F.lit(0)).cast("long")
     out = rows.where((F.col("type") == "message") & string(v, "$.message.role").isin("user", "assistant")).withColumns(
@@ -201,8 +223,8 @@ def parse_pi(rows: DataFrame) -> DataFrame:
 PARSERS = {"codex": parse_codex, "claude": parse_claude, "cursor": parse_cursor, "grok": parse_grok, "pi": parse_pi}
 
 
-def load_messages(spark: SparkSession, home: str, sources: tuple[str, ...] | None = None, pattern: str = "*.jsonl") -> DataFrame:
-    """All messages below a home folder; sources not asked for aren't read."""
+def load_messages(spark: SparkSession, home: str, sources: tuple[str, ...] | None = None, pattern: str = "*.jsonl", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """All messages below a home folder; sources not asked for aren't read. Files of more than ``whole_bytes`` are read and parsed in ranges."""
     out = None
     for source, folders in LAYOUTS.items():
         if sources is not None and source not in sources:
@@ -210,9 +232,10 @@ def load_messages(spark: SparkSession, home: str, sources: tuple[str, ...] | Non
         present = [f"{home.rstrip('/')}/{f}" for f in folders if _exists(spark, f"{home.rstrip('/')}/{f}")]
         if not present:
             continue
-        rows = scan(spark, *present, pattern=pattern)
-        found = parse_grok(rows, read_summaries(spark, *present)) if source == "grok" else PARSERS[source](rows)
-        out = found if out is None else out.unionByName(found)
+        for read in (scan_whole, scan_ranges):
+            rows = read(spark, *present, pattern=pattern, whole_bytes=whole_bytes)
+            found = parse_grok(rows, read_summaries(spark, *present)) if source == "grok" else PARSERS[source](rows)
+            out = found if out is None else out.unionByName(found)
     if out is None:
         raise FileNotFoundError(f"no transcripts below {home}")
     return out

@@ -188,6 +188,15 @@ def test_quotes_blanks_and_references(spark):
     assert [r.s for r in safe.collect()] == [True, True, False, False, False]
 
 
+def test_strict_remap(spark):
+    memory = spark.createDataFrame([("a", ["1", "2", "1"]), ("b", ["1", "8", "9"]), ("c", []), ("d", None), ("e", ["9"])], "memory_id string, evidence_refs array<string>")
+    mapping = spark.createDataFrame([("1", "z"), ("2", "y"), ("1", "z"), ("7", "x")], "old string, new string")
+    said = "remote learned memory references missing evidence: "
+    assert {r.memory_id: (r.refs, r.problem) for r in W.remap_refs_strictly(memory, mapping).collect()} == {
+        "a": (["y", "z"], None), "b": (None, said + "8"), "c": ([], None), "d": ([], None), "e": (None, said + "9"),
+    }
+
+
 def test_anchor_of_every_kind(spark):
     """Same time with the needle, same time, with the needle, first from its time on, last; linear in times and messages."""
     kind = "source string, project_name string, session_id string, timestamp string, content string, source_file string, line_index long, project_path string"

@@ -105,6 +105,19 @@ def remap_refs(memory: DataFrame, mapping: DataFrame, refs: str = "evidence_refs
     return mapped.where("n = m").select("memory_id", "refs")
 
 
+def remap_refs_strictly(memory: DataFrame, mapping: DataFrame, refs: str = "evidence_refs") -> DataFrame:
+    """(memory_id, refs, problem), one row per row of ``memory``: as ``remap_refs``, but a row that doesn't map says so and has no refs.
+
+    The problem names the first reference, by its place, that ``mapping`` (old, new) doesn't know; without references there is none.
+    """
+    each = memory.select("memory_id", F.posexplode_outer(refs).alias("at", "old"))
+    known = mapping.select("old", "new").distinct()
+    lost = F.col("at").isNotNull() & F.col("new").isNull()
+    found = each.join(known, "old", "left").groupBy("memory_id").agg(F.array_sort(F.collect_set("new")).alias("refs"), F.min_by("old", F.when(lost, F.col("at"))).alias("lost"))
+    problem = F.when(F.col("lost").isNotNull(), F.concat(F.lit("remote learned memory references missing evidence: "), "lost"))
+    return found.select("memory_id", F.when(F.col("lost").isNull(), F.col("refs")).alias("refs"), problem.alias("problem"))
+
+
 def peer_union(local: DataFrame, *peers: tuple[str, DataFrame]) -> DataFrame:
     """Local and peer messages; equal ones once, the local or first peer's. ``origin`` names a peer, null for local."""
     rows = local.withColumn("origin", F.lit(None).cast("string")).withColumn("_rank", F.lit(0))

@@ -190,6 +190,14 @@ _add(
     C + " SELECT memory_id, CASE WHEN status = 'rejected' THEN status WHEN confidence >= 0.8 THEN 'active' ELSE 'pending' END AS status, regexp_matches(lower(trim(kind)), '^[a-z0-9_-]{1,64}$') AND NOT regexp_matches(lower(kind), 'identity|personal|secret|credential|sensitive') AS shareable, NULL::VARCHAR AS problem FROM claims",
 )
 _add("memory_ref_check", lambda s, d: W.missing_refs(V.claims(s, d), V.events(s, d)), C + ", " + V.EVENTS_SQL + ", refs AS (SELECT memory_id, project_id, unnest(evidence_refs) AS ref FROM claims) SELECT memory_id, ref FROM refs r WHERE NOT EXISTS (SELECT 1 FROM store s WHERE s.project_id = r.project_id AND s.source_event_id = r.ref)")
+_add(
+    "memory_ref_remap_strict",
+    lambda s, d: W.remap_refs_strictly(V.claims(s, d), V.events(s, d).where("source_event_id is not null").select(F.col("source_event_id").alias("old"), F.concat(F.lit("remote-"), "source_event_id").alias("new"))).select("memory_id", F.array_join("refs", ",").alias("refs"), "problem"),
+    C + ", " + V.EVENTS_SQL + """, known AS (SELECT DISTINCT source_event_id AS r FROM store WHERE source_event_id IS NOT NULL),
+    first AS (SELECT memory_id, evidence_refs, CASE WHEN evidence_refs[1] NOT IN (SELECT r FROM known) THEN evidence_refs[1] WHEN evidence_refs[2] NOT IN (SELECT r FROM known) THEN evidence_refs[2] END AS lost FROM claims)
+    SELECT memory_id, CASE WHEN lost IS NULL THEN 'remote-' || least(evidence_refs[1], evidence_refs[2]) || CASE WHEN evidence_refs[1] <> evidence_refs[2] THEN ',remote-' || greatest(evidence_refs[1], evidence_refs[2]) ELSE '' END END AS refs,
+      'remote learned memory references missing evidence: ' || lost AS problem FROM first""",
+)
 _add(
     "memory_ref_remap",
     lambda s, d: W.remap_refs(V.claims(s, d), V.events(s, d).where("source_event_id is not null").select(F.col("source_event_id").alias("old"), F.concat(F.lit("remote-"), "source_event_id").alias("new"))).select("memory_id", F.array_join("refs", ",").alias("refs")),

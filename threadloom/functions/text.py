@@ -32,7 +32,7 @@ def contains_literal(text: Column, needle: str, ignore_case: bool = False) -> Co
 
 
 def basename(path: Column) -> Column:
-    return F.element_at(F.filter(F.split(strip(path), "/"), lambda s: s != ""), -1)
+    return F.try_element_at(F.filter(F.split(strip(path), "/"), lambda s: s != ""), F.lit(-1))
 
 
 def hyphen_name(path: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as T
 from threadloom.functions.scratch import fresh
 from threadloom.operators import exchange as X
+from threadloom.operators import resolve as N
 from threadloom.operators import rollups as U
 from threadloom.operators import store as W
 from threadloom.plans.parsing import _claude_rows, _codex_rows, _json, _obj, _rows, _talk
@@ -71,8 +72,8 @@ def _known(s, d):
 
 def _peer(remotes, path, name):
     def run(s, d):
-        projects = _known(s, d).where("source = 'codex'")
-        return s.createDataFrame([(X.resolve_peer(projects, remotes, path, name),)], "path string")
+        asked = s.createDataFrame([(remotes, path, name)], "git_remotes array<string>, local_path string, display_name string")
+        return N.resolve_peers(_known(s, d).where("source = 'codex'"), asked).select("path")
 
     return run
 
@@ -81,13 +82,94 @@ _add("resolve_peer_by_remotes", _peer(["git@host:codex", "https://host/projp4.gi
 _add("resolve_peer_by_path", _peer([], "/proj/p2", "p5"), MP + " SELECT CASE WHEN project_path = '' THEN project_name ELSE project_path END AS path FROM projects WHERE source = 'codex' AND project_name = '/proj/p2'")
 _add("resolve_peer_by_name", _peer(["git@other"], "/else/where", "p5"), MP + " SELECT CASE WHEN project_path = '' THEN project_name ELSE project_path END AS path FROM projects WHERE source = 'codex' AND project_name = '/proj/p5'")
 _add("resolve_peer_unknown", _peer([], "/else/where", "nothing"), "SELECT '/else/where' AS path")
-_names = lambda who: lambda s, d: X.resolve_names(U.project_rollup(_m(s, d)).where("source = 'codex'"), who, T.project_aliases(F.col("project_name"), F.col("project_path")))
+
+
+def _names(who):
+    def run(s, d):
+        asked = s.createDataFrame([(who,)], "identifier string")
+        return N.resolve_names(U.project_rollup(_m(s, d)).where("source = 'codex'"), asked).select(F.explode("names").alias("project_name"))
+
+    return run
+
+
 _add("resolve_names_exact", _names(" proj/p3 "), "SELECT '/proj/p3' AS project_name")
 _add("resolve_names_alias", _names("p4"), "SELECT '/proj/p4' AS project_name")
 _add("resolve_names_unknown", _names("nowhere"), "SELECT 'nowhere' AS project_name")
+
+
+def _split(s, d):
+    """Projects of which some moved: every third session's is elsewhere under the same last name, so that names are ambiguous."""
+    m = _m(s, d)
+    moved = F.col("session_id").rlike("[147]$")
+    away = F.concat(F.lit("/old"), "project_name")
+    p = U.project_rollup(m.withColumns({c: F.when(moved, away).otherwise(F.col(c)) for c in ("project_name", "project_path")}).where(~(moved & F.col("project_name").rlike("[05]$"))))
+    remotes = F.array(F.concat(F.lit(" git@Host:"), F.regexp_extract("project_path", "([^/]*)$", 1), F.lit(".git")))
+    return p.withColumns({"git_remotes": remotes, "aliases": T.project_aliases(F.col("project_name"), F.col("project_path"))})
+
+
+def resolve_names_all(s, d):
+    """What every session's folder means, spelled in six ways, among the projects of all sources."""
+    seen = _m(s, d).select("project_name", "session_id").distinct()
+    base = F.regexp_extract("project_name", "([^/]*)$", 1)
+    ways = F.array("project_name", F.concat(F.lit(" "), F.expr("substr(project_name, 2)"), F.lit("\t")), base, F.concat(F.lit("/else/"), base), F.replace("project_name", F.lit("/"), F.lit("-")), F.concat(F.lit("none/"), "session_id"))
+    found = N.resolve_names(_split(s, d), seen.select(F.explode(ways).alias("identifier")))
+    return found.select("identifier", "tier", F.array_join("names", "|").alias("names"), "problem")
+
+
+def resolve_peers_all(s, d):
+    """Under which path a peer knows each session's project: asked by remotes, by path, by name and by nothing it knows."""
+    seen = _m(s, d).select("project_name", "session_id").distinct()
+    base = F.regexp_extract("project_name", "([^/]*)$", 1)
+    none = F.array().cast("array<string>")
+    ways = F.array(*[
+        F.struct(r.alias("git_remotes"), p.alias("local_path"), n.alias("display_name"))
+        for r, p, n in (
+            (F.array(F.concat(F.lit("GIT@host:"), base)), F.lit("/x"), F.col("session_id")), (none, F.col("project_name"), base), (none, F.concat(F.lit("/old"), "project_name"), base),
+            (none, F.lit("/x"), base), (F.array(F.lit("git@other")), F.concat(F.lit("/y/"), "session_id"), F.lit("nothing")),
+        )
+    ])
+    found = N.resolve_peers(_split(s, d), seen.select(F.explode(ways).alias("w")).select("w.*"))
+    return found.withColumn("git_remotes", F.array_join("git_remotes", " "))
+
+
+_SPLIT = """, moved AS (SELECT regexp_matches(session_id, '[147]$') AS mv, * FROM messages),
+placed AS (SELECT source, CASE WHEN mv THEN '/old' ELSE '' END || project_name AS n, CASE WHEN mv THEN '/old' || project_name ELSE project_path END AS p, timestamp, source_file, line_index
+  FROM moved WHERE NOT (mv AND regexp_matches(project_name, '[05]$'))),
+pr AS (SELECT source, n, coalesce(first(p ORDER BY source_file, line_index) FILTER (p <> ''), '') AS p, max(timestamp) AS lt, count(*) AS mc FROM placed GROUP BY ALL),
+pl AS (SELECT *, CASE WHEN p = '' THEN n ELSE p END AS place, regexp_extract(n, '([^/]*)$', 1) AS bn, regexp_extract(p, '([^/]*)$', 1) AS bp FROM pr),
+al AS (SELECT DISTINCT n, place, a FROM (SELECT n, place, unnest([bn, bp, replace(n, '/', '-'), replace(p, '/', '-')]) AS a FROM pl) WHERE a <> '' AND a <> n),
+seen AS (SELECT DISTINCT project_name AS f, session_id AS s, regexp_extract(project_name, '([^/]*)$', 1) AS b FROM messages)"""
+_add(
+    "resolve_names_all",
+    resolve_names_all,
+    M + _SPLIT + """, ask AS (SELECT DISTINCT unnest([f, ' ' || substr(f, 2) || chr(9), b, '/else/' || b, replace(f, '/', '-'), 'none/' || s]) AS identifier FROM seen),
+t AS (SELECT identifier, trim(identifier, ' ' || chr(9)) AS nm FROM ask),
+e AS (SELECT identifier, array_to_string(list_sort(list_distinct(list(n))), '|') AS names FROM (
+  SELECT identifier, source, sp, min(n) AS n FROM (SELECT identifier, unnest([nm, CASE WHEN nm LIKE '/%' THEN ltrim(nm, '/') ELSE '/' || nm END]) AS sp FROM t) x JOIN pr ON sp = pr.n OR sp = pr.p GROUP BY ALL) GROUP BY identifier),
+g AS (SELECT identifier, count(DISTINCT place) AS places, array_to_string(list_sort(list_distinct(list(n))), '|') AS names FROM t JOIN al ON a = nm OR a = regexp_extract(nm, '([^/]*)$', 1) GROUP BY identifier)
+SELECT t.identifier, CASE WHEN e.names IS NOT NULL THEN 'exact' WHEN g.places > 0 THEN 'alias' ELSE 'itself' END AS tier,
+  CASE WHEN e.names IS NOT NULL THEN e.names WHEN g.places > 1 THEN NULL WHEN g.places = 1 THEN g.names ELSE t.identifier END AS names,
+  CASE WHEN e.names IS NULL AND g.places > 1 THEN 'multiple projects matched alias "' || regexp_extract(nm, '([^/]*)$', 1) || '"; pass an exact project path' END AS problem
+FROM t LEFT JOIN e USING (identifier) LEFT JOIN g USING (identifier)""",
+)
+_add(
+    "resolve_peers_all",
+    resolve_peers_all,
+    M + _SPLIT + """, ask AS (SELECT DISTINCT w.r AS r, w.p AS lp, w.n AS dn FROM (SELECT unnest([{'r': 'GIT@host:' || b, 'p': '/x', 'n': s}, {'r': '', 'p': f, 'n': b}, {'r': '', 'p': '/old' || f, 'n': b},
+  {'r': '', 'p': '/x', 'n': b}, {'r': 'git@other', 'p': '/y/' || s, 'n': 'nothing'}]) AS w FROM seen)),
+gr AS (SELECT 'git@host:' || bp AS r, min(place) AS lo, count(DISTINCT place) AS k FROM pl WHERE p <> '' GROUP BY ALL),
+gp AS (SELECT x AS lp, first(place ORDER BY lt DESC, mc DESC, n, p, source) AS place FROM (SELECT unnest([n, p]) AS x, * FROM pl) GROUP BY x),
+gn AS (SELECT x AS dn, min(place) AS lo, count(DISTINCT place) AS k FROM (SELECT unnest([n, bn, bp]) AS x, place FROM pl UNION ALL SELECT a, place FROM al) GROUP BY ALL)
+SELECT ask.r AS git_remotes, ask.lp AS local_path, ask.dn AS display_name,
+  CASE WHEN gr.k > 0 THEN 'remotes' WHEN gp.place IS NOT NULL THEN 'path' WHEN gn.k > 0 THEN 'name' ELSE 'itself' END AS tier,
+  CASE WHEN gr.k > 0 THEN CASE WHEN gr.k = 1 THEN gr.lo END WHEN gp.place IS NOT NULL THEN gp.place WHEN gn.k > 0 THEN CASE WHEN gn.k = 1 THEN gn.lo END ELSE ask.lp END AS path,
+  CASE WHEN gr.k > 1 THEN 'multiple remote projects matched git remotes for ' || ask.dn || '; pass an explicit project'
+    WHEN gr.k IS NULL AND gp.place IS NULL AND gn.k > 1 THEN 'multiple remote projects matched display name for ' || ask.dn || '; pass an explicit project' END AS problem
+FROM ask LEFT JOIN gr ON gr.r = lower(ask.r) LEFT JOIN gp USING (lp) LEFT JOIN gn USING (dn)""",
+)
 _add(
     "git_remote_sets",
-    lambda s, d: _known(s, d).select("source", "project_name", F.array_join(X.git_key(F.col("git_remotes")), " ").alias("remotes")),
+    lambda s, d: _known(s, d).select("source", "project_name", F.array_join(N.git_key(F.col("git_remotes")), " ").alias("remotes")),
     MP + " SELECT source, project_name, 'git@host:' || source || ' https://host/' || replace(project_name, '/', '') AS remotes FROM projects",
 )
 def _words(s, d):

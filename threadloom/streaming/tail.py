@@ -8,6 +8,9 @@ batch can be read again from its two offsets. Files are seen by the driver and a
 Ingest is exactly once whatever the batches' borders: an event's parent is the one before it in its file, also if that
 came with an earlier batch (its hash is kept per file), so its id doesn't depend on the borders; and a batch that is
 replayed writes the same partition of the table again.
+
+Two ways lead there. ``ingest`` keeps a file's last hash in a table of cursors, ``ingest_keyed`` in Spark's state store, one row a
+file; with the option ``manifest`` offsets are small numbers and batches are bounded, see ``EpochReader``.
 """
 
 from __future__ import annotations
@@ -18,15 +21,18 @@ import sys
 from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 FINGERPRINT_BYTES = 4096
 CHUNK = 1 << 20
-SCHEMA = StructType([StructField("path", StringType()), StructField("offset", LongType()), StructField("raw", StringType())])
+#: ``life``: which life of the file a line is of, with the option ``manifest``: a file that begins again gets another one.
+SCHEMA = StructType([StructField("path", StringType()), StructField("offset", LongType()), StructField("raw", StringType()), StructField("life", LongType())])
 
 
 def fingerprint(raw: bytes) -> str:
@@ -65,12 +71,35 @@ def begin_of(path: Path, before: dict | None, to: dict) -> int:
     return before["offset"]
 
 
-def lines_between(path: Path, start: int, end: int) -> Iterator[tuple[str, int, str]]:
-    """(path, offset, line) of the whole lines from ``start`` to ``end``."""
+def line_end_within(path: Path, start: int, end: int, size: int) -> int:
+    """The last line end at most ``size`` bytes behind ``start``; of a longer line its own end. ``end`` is a line end."""
+    if end - start <= size:
+        return end
+    with path.open("rb") as f:
+        at = start + size
+        while at > start:
+            low = max(start, at - CHUNK)
+            f.seek(low)
+            found = f.read(at - low).rfind(b"\n")
+            if found >= 0:
+                return low + found + 1
+            at = low
+        at = start + size
+        f.seek(at)
+        while at < end and (some := f.read(CHUNK)):
+            found = some.find(b"\n")
+            if found >= 0:
+                return at + found + 1
+            at += len(some)
+    return end
+
+
+def lines_between(path: Path, start: int, end: int, life: int | None = None) -> Iterator[tuple[str, int, str, int | None]]:
+    """(path, offset, line, life) of the whole lines from ``start`` to ``end``."""
     with path.open("rb") as f:
         f.seek(start)
         while start < end and (line := f.readline()):
-            yield str(path), start, line.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
+            yield str(path), start, line.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace"), life
             start += len(line)
 
 
@@ -107,7 +136,9 @@ class TailReader(DataSourceStreamReader):
         return {"files": json.dumps({str(p): position(p) for p in sorted(self.root.rglob(self.pattern))}, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[Delta]:
-        before, after = json.loads(start["files"]), json.loads(end["files"])
+        return self.between(json.loads(start["files"]), json.loads(end["files"]))
+
+    def between(self, before: dict, after: dict) -> list[Delta]:
         changed = [(name, to) for name, to in sorted(after.items()) if before.get(name) != to]
         found = [(name, begin_of(Path(name), before.get(name), to), to["offset"]) for name, to in changed]
         return packed([p for p in found if p[1] < p[2]], self.size)
@@ -117,8 +148,82 @@ class TailReader(DataSourceStreamReader):
             yield from lines_between(Path(path), start, end)
 
 
+class EpochReader(TailReader):
+    """As ``TailReader``, but offsets are numbers of epochs and batches are bounded.
+
+    What an epoch means lies in a file of the folder ``manifest``: how far each file is taken. An epoch takes at most ``fileBytes`` of a file
+    and about ``batchBytes`` in all (a line that is longer comes whole), those files first that waited longest; a file whose size and time
+    didn't change isn't opened. After a restart a batch can hold two epochs: the one that was written before and the next.
+    """
+
+    KEPT = 200
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.log = Path(options["manifest"].removeprefix("file://"))
+        self.file_bytes, self.batch_bytes = int(options.get("filebytes", options.get("fileBytes", 64 << 20))), int(options.get("batchbytes", options.get("batchBytes", 1 << 30)))
+
+    def initialOffset(self) -> dict:
+        return {"epoch": 0}
+
+    def _epochs(self) -> list[int]:
+        return sorted(int(p.stem) for p in self.log.glob("*.json")) if self.log.is_dir() else []
+
+    def files(self, epoch: int) -> dict:
+        return json.loads((self.log / f"{epoch}.json").read_text()) if epoch else {}
+
+    def _advanced(self, before: dict, epoch: int) -> dict:
+        after, left = {}, self.batch_bytes
+        names = {str(p): p for p in self.root.rglob(self.pattern)}
+        for name in sorted(names, key=lambda n: (before[n]["epoch"] if n in before else 0, n)):
+            old, stat = before.get(name), names[name].stat()
+            seen = [stat.st_size, stat.st_mtime_ns]
+            if left <= 0 or (old is not None and old["seen"] == seen):
+                if old is not None:
+                    after[name] = old
+                continue
+            to = position(names[name])
+            start = begin_of(names[name], old, to)
+            end = line_end_within(names[name], start, to["offset"], min(self.file_bytes, left))
+            left -= end - start
+            life = old["life"] if old is not None and start else epoch
+            mark = {"offset": end, "life": life, "print": fingerprint(_first_bytes(names[name], end))}
+            if old is not None and start == 0 == end == old["offset"]:
+                mark["life"] = old["life"]  # no line yet
+            moved = old is None or any(old[k] != v for k, v in mark.items())
+            after[name] = {**mark, "epoch": epoch if moved else old["epoch"], "seen": seen if end == to["offset"] else None}
+        return after
+
+    def latestOffset(self) -> dict:
+        known = self._epochs()
+        last = known[-1] if known else 0
+        before = self.files(last)
+        after = self._advanced(before, last + 1)
+        if not any(name not in before or before[name]["epoch"] != to["epoch"] for name, to in after.items()) and before.keys() == after.keys():
+            return {"epoch": last}
+        self.log.mkdir(parents=True, exist_ok=True)
+        draft = self.log / f".{last + 1}.draft"
+        draft.write_text(json.dumps(after, sort_keys=True))
+        draft.rename(self.log / f"{last + 1}.json")
+        return {"epoch": last + 1}
+
+    def partitions(self, start: dict, end: dict) -> list[Delta]:
+        of = lambda at: {name: {k: to[k] for k in ("offset", "print")} for name, to in self.files(at["epoch"]).items()}
+        after, deltas = self.files(end["epoch"]), self.between(of(start), of(end))
+        return [Delta([(*part, after[part[0]]["life"]) for part in delta.parts]) for delta in deltas]
+
+    def read(self, partition: Delta) -> Iterator[tuple]:
+        for path, start, end, life in partition.parts:
+            yield from lines_between(Path(path), start, end, life)
+
+    def commit(self, end: dict) -> None:
+        for epoch in self._epochs():
+            if epoch < end["epoch"] - self.KEPT:
+                (self.log / f"{epoch}.json").unlink(missing_ok=True)
+
+
 class TailSource(DataSource):
-    """``spark.readStream.format("jsonl_tail").option("path", folder)``."""
+    """``spark.readStream.format("jsonl_tail").option("path", folder)``; with ``manifest``, see ``EpochReader``."""
 
     @classmethod
     def name(cls) -> str:
@@ -128,7 +233,7 @@ class TailSource(DataSource):
         return SCHEMA
 
     def streamReader(self, schema: StructType) -> TailReader:
-        return TailReader(self.options)
+        return EpochReader(self.options) if "manifest" in self.options else TailReader(self.options)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -174,6 +279,89 @@ def ingest(stream: DataFrame, normalise, chain, table: str, cursors: str, checkp
     return stream.writeStream.foreachBatch(lambda batch, number: store_batch(batch, number, normalise, chain, table, cursors, name)).option("checkpointLocation", checkpoint)
 
 
+class FileChain(StatefulProcessor):
+    """Gives each event the hash of the event before it in its file (``parent_hash``) and says whether the file began ``again``.
+
+    The state is one row a file: the hash of its last event, its life, and whether it began again. A file in another life starts a new
+    chain; all its later events are marked, as a batch may hold only a part of what is repeated.
+    The new events of one file and batch meet in one task: at most the source's ``fileBytes``, twice that after a restart.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "content_hash string, life long, again boolean")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N803 (names of the interface)
+        self.last.update((None, 0, True))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        new = pd.concat(list(rows)).sort_values(["line_index", "part"], kind="stable")
+        known = self.last.exists()
+        before, lived, marked = self.last.get() if known else (None, 0, False)
+        if new["life"].isna().any():
+            raise ValueError("the source needs the option manifest")
+        life = int(new["life"].iloc[0])
+        anew = known and life != lived
+        again = bool(marked) or anew
+        parents = new["content_hash"].shift(1).astype(object)
+        parents.iloc[0] = None if anew else before
+        self.last.update((new["content_hash"].iloc[-1], life, again))
+        yield new.drop(columns=["life"]).assign(parent_hash=parents.where(parents.notna(), None), again=again)
+
+    def close(self) -> None:
+        pass
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def chained(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """A stream of events (path, line_index, part, life, content_hash and more) with parent_hash and again, by keyed state.
+
+    ``known``: (path) of files that a table holds already when the stream starts.
+    """
+    out = StructType([f for f in events.schema.fields if f.name != "life"] + [StructField("parent_hash", StringType()), StructField("again", BooleanType())])
+    first = None if known is None else known.select("path").distinct().groupBy("path")
+    return events.groupBy("path").transformWithStateInPandas(FileChain(), out, "Append", "None", initialState=first)
+
+
+def publish(batch: DataFrame, number: int, finish, table: str, name: str, work: str) -> None:
+    """Writes one batch of chained events as one partition of the table, replacing what an earlier try left there.
+
+    The stateful plan runs once: its rows go to ``work`` first. Where a file began again, events that the table holds are left out.
+    """
+    spark, part = batch.sparkSession, f"stream={name}/batch={number}"
+    draft = f"{work}/batch={number}"
+    finish(batch).dropDuplicates(["id"]).write.mode("overwrite").parquet(draft)
+    rows = spark.read.parquet(draft)
+    repeated = rows.where("again").select("path").distinct()
+    new = rows.drop("again")
+    if _exists(spark, table) and not repeated.isEmpty():
+        others = ~((F.col("stream") == name) & (F.col("batch") >= number))
+        old = spark.read.parquet(table).where(others).join(repeated, "path", "left_semi").select("id").distinct()
+        new = new.join(old, "id", "left_anti")
+    new.write.mode("overwrite").parquet(f"{table}/{part}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(draft)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def ingest_keyed(stream: DataFrame, normalise, finish, table: str, checkpoint: str, name: str = "tail", trigger: dict | None = None):
+    """Starts the query that stores the events of new lines once each, with the chain's state in Spark's state store.
+
+    ``normalise``: lines to events with path, line_index, part, life and content_hash, row by row. ``finish``: gives chained events their id.
+    State and progress lie in ``checkpoint``, so a restart goes on with the same ids; batches that are replayed replace their own partition.
+    """
+    spark = stream.sparkSession
+    known = spark.read.parquet(table).select("path") if _exists(spark, table) else None
+    writer = chained(normalise(stream), known).writeStream.foreachBatch(lambda batch, number: publish(batch, number, finish, table, name, f"{checkpoint}/draft"))
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, STATE_STORE)  # the query keeps the settings it starts with
+    try:
+        return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
 def reconcile(before: DataFrame, batch: DataFrame, warnings: DataFrame) -> DataFrame:
     """One row: rows discovered, distinct ids, imported (not stored before) and warnings."""
     found = batch.agg(F.count(F.lit(1)).alias("discovered"), F.countDistinct("id").alias("distinct_ids"))

@@ -155,7 +155,7 @@ def test_whole_licences_at_every_wrap_width(spark, width):
 
 
 def test_copyright_lines(spark):
-    gone = ["Copyright (c) 2020 X", "Copyright 1999, 2001 X", "# Copyright \u00a9 X", "(c) 2020 X", "\u00a9 X", "Copyright [yyyy] [name of copyright owner]", "Copyright <YEAR> <HOLDER>", "Portions Copyright 2003 X", "Copyright The Authors 2021", "(C) Copyright 2010 X"]
+    gone = ["Copyright (c) 2020 X", "Copyright 1999, 2001 X", "# Copyright \u00a9 X", "(c) 2020 X", "\u00a9 X", "Copyright [yyyy] [name of copyright owner]", "Copyright <YEAR> <HOLDER>", "Portions Copyright 2003 X", "Copyright The Authors 2021", "(C) Copyright 2010 X", "Copyright Foo Bar, 2019-2021", "Copyright Foo Inc.", "Copyright Foo, Ltd. and others", "Copyright J. R. Doe, Some Place, 2020"]
     stay = ["copyright holders be liable for any claim", "(c) You must retain, in the source form,", "copyright notice, this list of conditions", "copyright license to reproduce, prepare"]
     rows = [(line, True) for line in gone] + [(line, False) for line in stay]
     found = spark.createDataFrame(rows, "line string, gone boolean").select("line", "gone", licenses._whole(licenses._canonical_lines(F.concat(F.lit("a\n"), "line", F.lit("\nb")))).alias("c")).collect()

@@ -169,10 +169,11 @@ SPELLINGS = (
     ("noninfringement", "non-infringement"), ("noncommercial", "non-commercial"), ("merchantability", "merchantibility"),
     ("favor", "favour"), ("copyright holder", "copyright owner"), ("http:", "https:"), ("percent", "per cent"),
 )
-#: Copyright lines, with whatever comment marks open them: the word with a sign, year or placeholder behind it, or a sign with
-#: the word or a year; lines of a licence's own text that happen to begin with the word stay.
+#: Copyright lines, with whatever comment marks open them: the word with a sign, year, placeholder or company behind it, or a sign
+#: with the word or a year; lines of a licence's own text that happen to begin with the word stay.
 COPYRIGHT = (
-    r"(^|\n)[ \t*#/;-]*(portions )?(copyright[ \t:,]*(\(c\)|\x{a9}|&copy;|[\[<{]*(year|yyyy|[12][0-9]{3}))|copyright[^\n,;.]{0,60}[ \t,-]((19|20)[0-9]{2})|"
+    r"(^|\n)[ \t*#/;-]*(portions )?(copyright[ \t:,]*(\(c\)|\x{a9}|&copy;|[\[<{]*(year|yyyy|[12][0-9]{3}))|copyright[ \t,:][^\n;]{0,60}[ \t,-]((19|20)[0-9]{2})|"
+    r"copyright[ \t][^\n,;.]{1,60}[ \t,]+(inc|ltd|llc|corp|co|gmbh)\.|"
     r"\(c\)[ \t]*(copyright|[12][0-9]{3})|(\x{a9}|&copy;))[^\n]*"
 )
 PUNCTUATION = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f\x{2013}\x{2014}\x{2018}\x{2019}\x{201c}\x{201d}\x{2026}]+"

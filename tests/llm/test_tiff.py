@@ -141,6 +141,25 @@ def test_hostile_files():
         list(tiff.read_pages(bytes(broken)))
 
 
+def test_unknown_predictors_fill_orders_and_large_pages():
+    turned = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+    samples = bytes(range(64))
+
+    def one(*more, coding=8, fill=False):
+        packed = zlib.compress(samples) if coding == 8 else samples
+        packed = packed.translate(turned) if fill else packed
+        fields = [(256, 3, [8]), (257, 3, [8]), (258, 3, [8]), (259, 3, [coding]), (273, 4, None), (277, 3, [1]), (278, 3, [8]), (279, 4, [len(packed)]), *more]
+        return build("<", False, fields, [packed])
+
+    for bad in ((317, 3, [7]), (317, 3, [0]), (266, 3, [3])):
+        (found,) = tiff.read_pages(one(bad))
+        assert found[0] == 0 and found[6] is None and "not supported" in found[7]
+    for coding in (1, 8):
+        (found,) = tiff.read_pages(one((266, 3, [2]), coding=coding, fill=True))
+        assert found[6] == samples
+    assert [[f[6] for f in tiff.read_pages(one(), size)] for size in (63, 64)] == [[None], [samples]]
+
+
 def test_every_form_holds_every_size(spark):
     forms = set()
     for n in (0, 10, 63, 64, 65, 700, 5000, 70_000):

@@ -7,9 +7,10 @@ files of 8-bit samples with any of these codings.
 
 A null, empty or unreadable file gives one row with page -1, null samples and the reason in ``error``; a
 page that can't be decoded gives its row with null samples and the reason. Directory chains that loop end
-with a reason. A page of more than ``MAX_PAGE_BYTES``, which is what a binary value of Spark can hold, is such a page; no block is
-decoded beyond the bytes that its page needs, so a small file can't fill a worker. Pages leave one at a time, so a
-worker holds one file and one page of it. No shuffle. Repeated rows give their pages again. Columns of the input
+with a reason. A page of more than ``max_page_bytes`` (by default what a binary value of Spark can hold) is such a page; no block is
+decoded beyond the bytes that its page needs. A small file can hold a large page: unpacking takes about three times the page's
+bytes, so ``max_page_bytes`` is to be set by the worker's memory where files aren't trusted. Pages leave one at a time, so a
+worker holds one file and one page of it. Predictors and fill orders that the format doesn't know are a reason too. No shuffle. Repeated rows give their pages again. Columns of the input
 that are called like a page's come back as ``in_`` and their name.
 """
 
@@ -30,7 +31,11 @@ STORED, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Fixed values of the format: bytes of each field type.
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
 INTEGERS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
+#: The largest page that is unpacked; a worker needs about three times a page's bytes. Larger pages give an error row.
 MAX_PAGE_BYTES = 1 << 31
+PREDICTORS = (1, 2, 3)
+#: Each byte with its bits in opposite order, for files of fill order 2.
+_TURNED = bytes(int(f"{byte:08b}"[::-1], 2) for byte in range(256))
 
 
 _RUN = re.compile(rb"(.)\1{2,127}", re.S)
@@ -192,7 +197,7 @@ def _unpredict(block: np.ndarray, predictor: int, depth: int, order: str, planes
     return block
 
 
-def _page(data: bytes, order: str, tags: dict[int, tuple]) -> tuple[int, int, int, int, int, bytes]:
+def _page(data: bytes, order: str, tags: dict[int, tuple], max_page_bytes: int) -> tuple[int, int, int, int, int, bytes]:
     one = lambda tag, default: tags.get(tag, (default,))[0]
     width, height = one(256, 0), one(257, 0)
     planes, coding, predictor, separate = one(277, 1), one(259, 1), one(317, 1), one(284, 1) == 2
@@ -201,7 +206,11 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> tuple[int, int, in
         raise ValueError("bits per sample not supported")
     if coding not in _DECODERS:
         raise ValueError(f"compression {coding} not supported")
-    if not width or not height or width * height * planes * depth // 8 > MAX_PAGE_BYTES:
+    if predictor not in PREDICTORS:
+        raise ValueError(f"predictor {predictor} not supported")
+    if (fill := one(266, 1)) not in (1, 2):
+        raise ValueError(f"fill order {fill} not supported")
+    if not width or not height or width * height * planes * depth // 8 > max_page_bytes:
         raise ValueError("page size")
     size, inner, outer = depth // 8, 1 if separate else planes, planes if separate else 1
     if 322 in tags:
@@ -221,9 +230,10 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> tuple[int, int, in
         y, x = rest // per_row * down, rest % per_row * across
         rows = down if tiles else min(down, height - y)
         need = rows * across * pixel
-        if need > MAX_PAGE_BYTES:
+        if need > max_page_bytes:
             raise ValueError("block size")
-        raw = _DECODERS[coding](data[offsets[k] : offsets[k] + counts[k]], need)
+        packed = data[offsets[k] : offsets[k] + counts[k]]
+        raw = _DECODERS[coding](packed.translate(_TURNED) if fill == 2 else packed, need)
         if len(raw) < need:
             raise ValueError("block too short")
         block = np.frombuffer(raw, np.uint8, need).reshape(rows, across * pixel)
@@ -233,15 +243,18 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> tuple[int, int, in
     return width, height, planes, depth, coding, image.tobytes()
 
 
-def read_pages(data: bytes | None) -> Iterator[tuple]:
-    """(page, width, height, planes, bits, compression, samples, error) of each directory in file order."""
+def read_pages(data: bytes | None, max_page_bytes: int = MAX_PAGE_BYTES) -> Iterator[tuple]:
+    """(page, width, height, planes, bits, compression, samples, error) of each directory in file order.
+
+    A page of more than ``max_page_bytes``, or of another predictor or fill order than the format knows, is an error row.
+    """
     page = -1
     try:
         if not data:
             raise ValueError("no data")
         for page, (order, tags) in enumerate(_directories(bytes(data))):
             try:
-                yield (page, *_page(data, order, tags), None)
+                yield (page, *_page(data, order, tags, max_page_bytes), None)
             except _BAD as e:
                 yield page, None, None, None, None, None, None, str(e) or type(e).__name__
     except _BAD as e:
@@ -298,14 +311,14 @@ def feature_of(width: int, height: int, samples: bytes) -> str:
     return f"{width}x{height} mean={mean} values={int((counts > 0).sum())} mode={int(counts.argmax())}"
 
 
-def pages(media: DataFrame, column: str = "media") -> DataFrame:
-    """One row per page: every other column of ``media``, then those of ``PAGE_SCHEMA``."""
+def pages(media: DataFrame, column: str = "media", max_page_bytes: int = MAX_PAGE_BYTES) -> DataFrame:
+    """One row per page: every other column of ``media``, then those of ``PAGE_SCHEMA``. Pages above ``max_page_bytes`` are error rows."""
     own = {part.split()[0] for part in PAGE_SCHEMA.split(", ")}
     others = [f for f in media.schema.fields if f.name != column]
 
     def run(rows):
         for *keys, data in rows:
-            for page, width, height, planes, bits, coding, samples, error in read_pages(data):
+            for page, width, height, planes, bits, coding, samples, error in read_pages(data, max_page_bytes):
                 yield (*keys, page, width, height, planes, bits, coding, samples, error, feature_of(width, height, samples) if samples is not None else None)
 
     kept = "".join(f"`{'in_' if f.name in own else ''}{f.name}` {f.dataType.simpleString()}, " for f in others)

@@ -10,7 +10,7 @@ from threadloom.functions import ids as I
 from threadloom.functions import text as T
 from threadloom.functions import variants as N
 from threadloom.operators import exchange as X
-from threadloom.operators import resolve as N
+from threadloom.operators import resolve as Z
 from threadloom.operators import reading as R
 from threadloom.operators import redact as D
 from threadloom.operators import rollups as U
@@ -217,19 +217,19 @@ def test_errors_of_resolution_and_ages(spark, messages):
     projects = spark.createDataFrame([("codex", "/a/x", "/a/x", ["r"]), ("claude", "/b/x", "/b/x", ["r"])], "source string, project_name string, project_path string, git_remotes array<string>")
     aliases = T.project_aliases(F.col("project_name"), F.col("project_path"))
     ask = spark.createDataFrame([("x",), (" a/x ",), ("/a/x",), ("/b/x",), ("gone ",), ("",), (None,), ("x",)], "identifier string")
-    found = {r.identifier: (r.tier, r.names) for r in N.resolve_names(projects, ask).collect()}
+    found = {r.identifier: (r.tier, r.names) for r in Z.resolve_names(projects, ask).collect()}
     assert found == {"x": ("alias", None), " a/x ": ("exact", ["/a/x"]), "/a/x": ("exact", ["/a/x"]), "/b/x": ("exact", ["/b/x"]), "gone ": ("itself", ["gone "]), "": ("itself", [""])}
     none = projects.where("false")
-    assert [tuple(r) for r in N.resolve_names(none, ask.limit(1)).collect()] == [("x", "itself", ["x"], None)] and N.resolve_names(projects, ask.where("false")).count() == 0
+    assert [tuple(r) for r in Z.resolve_names(none, ask.limit(1)).collect()] == [("x", "itself", ["x"], None)] and Z.resolve_names(projects, ask.where("false")).count() == 0
     peers = spark.createDataFrame([(["R.git "], "/else", "q"), ([], "/b/x", "x"), ([], "/else", "x"), (None, "/else", "q"), ([], "/else", "-b-x")], "git_remotes array<string>, local_path string, display_name string")
     first = [F.col("source"), F.col("project_name")]
     known = projects.withColumns({"aliases": aliases, "tier": F.lit("odd"), "path": F.lit("odd")})
-    answers = {(r.local_path, r.display_name, bool(r.git_remotes)): (r.tier, r.path, r.problem is None) for r in N.resolve_peers(known, peers, first).collect()}
+    answers = {(r.local_path, r.display_name, bool(r.git_remotes)): (r.tier, r.path, r.problem is None) for r in Z.resolve_peers(known, peers, first).collect()}
     assert answers == {
         ("/else", "q", True): ("remotes", None, False), ("/b/x", "x", False): ("path", "/b/x", True), ("/else", "x", False): ("name", None, False),
         ("/else", "q", False): ("itself", "/else", True), ("/else", "-b-x", False): ("name", "/b/x", True),
     }
-    assert {r.tier for r in N.resolve_peers(known.where("false"), peers, first).collect()} == {"itself"}
+    assert {r.tier for r in Z.resolve_peers(known.where("false"), peers, first).collect()} == {"itself"}
     sessions = U.session_rollup(messages)
     n = sessions.count()
     U.check_ages(sessions, 1, n - 1)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.plans import exchanging, parsing, reading, searching, storing, streaming
+from threadloom.plans import exchanging, merging, parsing, reading, searching, storing, streaming
 
-MODULES = (reading, searching, storing, parsing, exchanging, streaming)
+MODULES = (reading, searching, storing, parsing, exchanging, merging, streaming)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 

@@ -63,6 +63,18 @@ def test_templates_of_a_section_of_a_large_host_go(spark):
     assert got == {i: f"story {i} more" for i in range(400)}
 
 
+def test_prose_of_articles_stays_however_often_it_recurs(spark):
+    proverb, links = "<p>Many hands make light work.</p>", "<ul><li><a href=/1>More</a></li><li><a href=/2><b>Most read</b></a></li></ul>"
+    mixed = "<ul><li>see <a href=/1>this</a></li></ul>"
+    rows = [
+        (i, "https://a.example/p", f"<article><h1>Summary</h1><p>story {i}</p>{proverb if i < 6 else ''}<div>{proverb}</div>{links}{mixed}<div id=promo><p>Join us.</p></div><p class=lead>Said often.</p></article>")
+        for i in range(400)
+    ]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    told = "Many hands make light work."
+    assert got == {i: "\n".join(["Summary", f"story {i}", *([told] if i < 6 else []), told, "see this", "Said often."]) for i in range(400)}
+
+
 @pytest.mark.parametrize(
     "source, want",
     [
@@ -115,14 +127,17 @@ def test_against_a_plain_count(spark):
     pages, said = [], {}
     for i in range(120):
         host = f"h{i % 3}.example"
-        parts = [(f"story {i} part {k}", False) for k in range(3)] + [(b, True) for b in boxes if rnd.random() < 0.06]
+        parts = [(f"story {i} part {k}", False) for k in range(3)] + [(b, True) for b in boxes if rnd.random() < 0.1] + [(f"Proverb {k}", False) for k in range(4) if rnd.random() < 0.3]
         rnd.shuffle(parts)
-        said[i] = (host, [p for p, _ in parts])
-        pages.append((i, f"https://{host}/{i}", "<html><body><article>" + "".join(f"<div><p>{p}</p></div>" for p, _ in parts) + "</article></body></html>"))
+        said[i] = (host, parts)
+        # boxes are named containers; prose stands in bare ones
+        pages.append((i, f"https://{host}/{i}", "<html><body><article>" + "".join(f"<div{' class=x' if box else ''}><p>{p}</p></div>" for p, box in parts) + "</article></body></html>"))
     on = defaultdict(set)
     for i, (host, parts) in said.items():
-        for p in parts:
+        for p, _ in parts:
             on[host, p].add(i)
-    want = {i: "\n".join(p for p in parts if len(on[host, p]) <= html.MIN_PAGES) for i, (host, parts) in said.items()}
+    said = {i: (host, [p for p, _ in parts], {p for p, box in parts if box}) for i, (host, parts) in said.items()}
+    want = {i: "\n".join(p for p in parts if p not in named or len(on[host, p]) <= html.MIN_PAGES) for i, (host, parts, named) in said.items()}
+    assert max(len(on[h, "Proverb 0"]) for h, _, _ in said.values()) > html.MIN_PAGES
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()}
     assert got == want and any(len(p.split("\n")) < len(said[i][1]) for i, p in want.items()) and any("Box" in t for t in want.values())

@@ -5,6 +5,9 @@ the page, sidebars, forms, and boxes whose class, id or role names an advert, no
 name; inside the article only blocks whose class marks adverts, share lists or reader comments do. Templates go by
 count, inside the article too: every block that holds text is hashed (tags, attributes' names and text), and those on
 more than ``MIN_PAGES`` different pages of a host are deleted, however large the host; copies of a page are one page.
+Inside the article a count alone decides nothing, since authors repeat themselves: only boxes go, that is containers
+with a class, id or role of their own and containers of links alone. Headings, paragraphs, list items and bare containers of prose
+stay, on however many pages they stand.
 If a page has an ``article`` or ``main`` element, its text is the main text; else the body's.
 
 Pages and subtrees are made distinct by both and counts combine before their shuffle, so neither a host with a third
@@ -53,6 +56,8 @@ BESIDE = re.compile(
 )
 #: Elements of ``DROPPED`` whose text stays inside an article.
 KEPT_INSIDE = frozenset("label button textarea fieldset dialog".split())
+#: Inside an article these containers can be templates, if they have a name or hold links alone.
+CONTAINERS = frozenset("div section ul ol dl figure table center".split())
 #: Inside an article boxes go only if they are one of these elements with such a class, whole.
 BOXES = frozenset("div section ul ol dl p figure table center".split())
 BOX_CLASS = re.compile(
@@ -196,8 +201,9 @@ def _key(host: str, digest: int) -> int:
 def subtrees(root: Node, host: str) -> dict[int, int]:
     """Key by ``id`` of each text-holding element that can go as a template and isn't gone by name.
 
-    These are blocks, and outside the article inline elements whose parent is a block without text of its own: an inline
-    element within a sentence is part of it however often it recurs. An article and what holds one never go.
+    Outside the article these are blocks, and inline elements whose parent is a block without text of its own: an inline
+    element within a sentence is part of it however often it recurs. Inside it they are ``CONTAINERS`` that are boxes: with a
+    class, id or role, or with all their text in links. An article and what holds one never go.
     """
     import xxhash
 
@@ -212,11 +218,12 @@ def subtrees(root: Node, host: str) -> dict[int, int]:
             continue
         inside = inside or node.tag in ("article", "main")
         in_article = in_article or node.tag in own
-        order.append((node, node.tag not in INLINE or (alone and not inside)))
+        order.append((node, node.tag not in INLINE or (alone and not inside), in_article))
         bare = node.tag not in INLINE and not any(isinstance(k, str) and k.strip() for k in node.kids)
         stack.extend((k, inside, in_article, bare) for k in node.kids if isinstance(k, Node))
     holds: set[int] = set()  # articles and their ancestors
-    for node, apart in reversed(order):
+    prose: set[int] = set()  # elements with text that isn't in a link
+    for node, apart, in_article in reversed(order):
         if node.tag in ("article", "main") or any(id(k) in holds for k in node.kids):
             holds.add(id(node))
             continue
@@ -227,12 +234,15 @@ def subtrees(root: Node, host: str) -> dict[int, int]:
                 if plain:
                     parts.append(plain)
                     text = True
+                    prose.add(id(node))
             elif id(k) in digests:
                 parts.append(str(digests[id(k)]))
                 text = True
+                if id(k) in prose and k.tag != "a":
+                    prose.add(id(node))
         if text and node.tag not in ("#root", "html", "body"):
             digests[id(node)] = digest = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass"))
-            if apart:
+            if apart and (not in_article or (node.tag in CONTAINERS and (node.names or id(node) not in prose))):
                 found[id(node)] = _key(host, digest)
     return found
 

@@ -167,18 +167,19 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def run(rows):
         for half, y, body in rows:
-            yield half, int(y), [place[g] for g in grams(word_list(body)) if g in place]
+            at, times = np.unique(np.array([place[g] for g in grams(word_list(body)) if g in place], np.int64), return_counts=True)
+            yield half, int(y), at.tolist(), times.tolist()
 
-    found = map_rows(labelled.select("_half", "_y", "_t"), run, "half int, y int, at array<int>").collect()
+    # a bounded number of rows, each at most a count a feature however long its text
+    found = map_rows(labelled.select("_half", "_y", "_t"), run, "half int, y int, at array<int>, times array<bigint>").collect()
     labels_ = np.array([r["y"] for r in found], np.int64)
     half = np.array([r["half"] for r in found], np.int64)
     toxic = (labels_ > 0).astype(np.int64)
     if not len(place) or not toxic.any() or toxic.all():
         return Model({}, Ordinal(np.zeros(0), np.full(GRADES, np.inf)), 1.0)
-    counts = [np.unique(np.array(r["at"] or [], np.int64), return_counts=True) for r in found]
-    rows = np.repeat(np.arange(len(found)), [len(c[0]) for c in counts])
-    columns = np.concatenate([c[0] for c in counts]).astype(np.int64)
-    times = np.concatenate([c[1] for c in counts])
+    rows = np.repeat(np.arange(len(found)), [len(r["at"] or ()) for r in found])
+    columns = np.concatenate([np.array(r["at"] or (), np.int64) for r in found])
+    times = np.concatenate([np.array(r["times"] or (), np.int64) for r in found])
     if labels_.max() > 1:
         grades = labels_
     else:

@@ -25,7 +25,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import KEPT, map_rows
 
 LONG = 200
 #: Words whose ids a worker keeps; the store starts afresh when it is full.
@@ -205,7 +205,7 @@ def read_vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
-_made: dict[int, WordBpe] = {}
+_made: dict[int, WordBpe] = KEPT.setdefault("bpe", {})
 
 
 def tokenizer(text: str) -> WordBpe:
@@ -230,7 +230,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
             yield key, bpe.encode(body or "")
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return map_rows(docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), run, f"`{doc_id}` {kind}, ids array<int>")
+    return map_rows(docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), run, f"`{doc_id}` {kind}, ids array<int>", keeps="bpe")
 
 
 def decode(tokens: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -243,7 +243,7 @@ def decode(tokens: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: st
             yield key, bpe.decode(found or [])
 
     kind = tokens.schema[doc_id].dataType.simpleString()
-    return map_rows(tokens.select(doc_id, ids), run, f"`{doc_id}` {kind}, text string")
+    return map_rows(tokens.select(doc_id, ids), run, f"`{doc_id}` {kind}, text string", keeps="bpe")
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -257,7 +257,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
             yield key, len(ids), sha256(bpe.ids_text(ids).encode()).hexdigest(), sha256(bpe.decode(ids).encode()).hexdigest()
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return map_rows(docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), run, f"`{doc_id}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_rows(docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), run, f"`{doc_id}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", keeps="bpe")
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:

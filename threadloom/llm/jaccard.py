@@ -255,7 +255,7 @@ def profiles(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(rows):
         for key, t1, t2, body in rows:
             s = shingles(body)
-            yield (key, t1, t2, len(s), *set_key(s), s[:SCREEN].view(np.int64).tolist())
+            yield (key, t1, t2, len(s), *set_key(s), s[:SCREEN].view(np.int64).copy())
 
     kind = docs.schema[doc_id].dataType.simpleString()
     ready = docs.select(F.col(f"`{doc_id}`"), *text_digest(F.col(f"`{text}`")), F.col(f"`{text}`"))
@@ -313,7 +313,7 @@ def _leading_blocks(sets: DataFrame) -> DataFrame:
             bits = wide_sketch(np.frombuffer(raw, np.uint64))
             for band in bands_of(n):
                 keys = block_keys(bits, band)
-                yield node, n << 32 | len(keys) << 1 | (band != band_of(n)), keys.view(np.int64).tolist()
+                yield node, n << 32 | len(keys) << 1 | (band != band_of(n)), keys.view(np.int64)
 
     sketch = cut(map_rows(sets.select("node", "n", "s"), run, "node bigint, own bigint, keys array<bigint>"))
     rows = sketch.select("node", "own", F.explode("keys").alias("key"))
@@ -484,14 +484,14 @@ def cores(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
     def unpack(found):
         for comp, members, raw in found:
-            yield comp, members, np.frombuffer(raw, np.int64).tolist()
+            yield comp, members, np.frombuffer(raw, np.int64)
 
     def pack(found):
         for comp, core in found:
             yield comp, np.sort(np.array(core, np.int64).view(np.uint64)).tobytes()
 
     held = rows.join(sets.select("node", "s"), "node").select("comp", "members", "s")
-    held = map_rows(held, unpack, "comp bigint, members bigint, keys array<bigint>", flush_rows=256).select("comp", "members", F.explode("keys").alias("key"))
+    held = map_rows(held, unpack, "comp bigint, members bigint, keys array<bigint>").select("comp", "members", F.explode("keys").alias("key"))
     often = held.groupBy("comp", "members", "key").count().where(F.col("count") * 2 > F.col("members"))
     return map_rows(often.groupBy("comp").agg(F.collect_list("key").alias("core")), pack, "comp bigint, core binary")
 

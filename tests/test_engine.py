@@ -41,6 +41,21 @@ def test_pages_concatenate(messages):
     assert pages == whole and R.newest_window(messages, 5, len(whole)).count() == 0
 
 
+def test_all_messages_stand_by_session_count(spark, messages):
+    import duckdb
+
+    from threadloom.plans import reading
+
+    got = [tuple(r) for r in reading.QUERIES["messages_by_session_count"](spark, "/root/testdata/sf0.001").collect()]
+    con = duckdb.connect()
+    con.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    assert got == con.execute(reading.ORACLES["messages_by_session_count"]).fetchall() and len(got) == messages.count()
+    assert [r[2] for r in got] == sorted((r[2] for r in got), reverse=True)
+    # unlike what stands in the files
+    mixed = R.by_session_count(messages.orderBy(F.desc("line_index"))).select("session_messages", *R.CHRONOLOGICAL).collect()
+    assert mixed == sorted(mixed, key=lambda r: (-r[0], *r[1:]))
+
+
 def test_recall_and_ages_agree(messages):
     sessions = U.session_rollup(messages)
     ages = {r.session_id: r.age for r in U.ages(sessions).collect()}

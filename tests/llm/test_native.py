@@ -183,6 +183,18 @@ def test_licence_edges(spark):
     assert licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(docs).where("license_id is not null").count() == 0
 
 
+def test_op5_reads_the_training_order(spark, tmp_path, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i, " ".join("w" * rnd.randrange(0, 30)) if i % 9 else None, rnd.choice(["a", "a", "b", "c", None])) for i in range(200)] + [(None, "x y", "b"), (7, "q q q", "a"), (7, "q q q", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plain = [(r.doc_id, r.size, r.source_size, r.target, r.taken, r.positions[0] if r.positions else None) for r in mixing.mix(docs).collect()]
+    assert sorted(map(str, plain)) == sorted(str(tuple(r)) for r in mixing.op5_mixing(spark, str(tmp_path)).collect())
+    order = mixing.training_order
+    monkeypatch.setattr(mixing, "training_order", lambda mixed: order(mixed).where("epoch = 0"))
+    assert all(r.taken <= r.size for r in mixing.op5_mixing(spark, str(tmp_path)).collect()) and any(r[4] > r[1] for r in plain)
+
+
 def test_mixing_of_very_long_and_null_rows(spark):
     rows = [(None, "w " * 200_000, "a"), (None, None, None), (None, None, None), (None, "x y", "a"), (3, "", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)

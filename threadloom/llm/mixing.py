@@ -120,12 +120,22 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return copies.withColumn("copy_words", share).orderBy("position", "doc_id", "epoch")
 
 
+def in_order(mixed: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, position), one row per row of ``mixed``, read back from the copies in training order.
+
+    ``taken`` is the sum of what a row's copies contribute, ``position`` that of its first one (null without copies).
+    """
+    rows = cut(mixed.withColumn("row", F.monotonically_increasing_id()))
+    copies = cut(training_order(rows).select("row", "position", "copy_words"))
+    found = copies.groupBy("row").agg(F.sum("copy_words").alias("words"), F.min("position").alias("position"))
+    return rows.join(found, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0).cast("long")).alias("taken"), "position")
+
+
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     """One row per document: the words the mix takes of it and when its first copy is due."""
     from .common import tables
 
-    docs = tables(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
+    return in_order(mix(tables(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
 OP5_SQL = r"""

@@ -473,7 +473,9 @@ def _joining_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     found = _verify(could.where("b is not null").select("band", "a", "b").distinct(), sets)
     crowds = cut(rows.join(could.where("b is null").select("key", "band", F.col("a").alias("node")).distinct(), ["key", "band", "node"], "left_semi"))
     dealt = _cells(crowds, sets.select("node", "s"), ["key", "band"], ["node"]).select("key", "band", "one", "two", "side", "node", "comp", "s")
-    return found.union(_dealt(dealt, ["key", "band", "one", "two", "side"], run, "a bigint, b bigint")).distinct()
+    joining = cut(found.union(_dealt(dealt, ["key", "band", "one", "two", "side"], run, "a bigint, b bigint")).distinct())
+    discard(could, crowds)
+    return joining
 
 
 def cores(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -573,6 +575,13 @@ def _merged(comp: DataFrame, found: DataFrame) -> DataFrame:
     return connected(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found.select("a", "b")))
 
 
+def _joined(comp: DataFrame, found: DataFrame) -> DataFrame:
+    """``_merged``, written; what it was made of is deleted."""
+    after = cut(_merged(comp, found))
+    discard(found, *[comp] * hasattr(comp, "_cut_path"))
+    return after
+
+
 def components(sets: DataFrame) -> DataFrame:
     """(node, comp) for the classes that link with another: ``comp`` is the least node reachable."""
     spark = sets.sparkSession
@@ -589,11 +598,11 @@ def components(sets: DataFrame) -> DataFrame:
         discard(rows, best)
         if found.isEmpty():
             break
-        comp = cut(_merged(comp, found))
+        comp = _joined(comp, found)
     rows = cut(_open_blocks(lead, comp))
-    found = cut(_joining_links(rows, sets))
+    found = _joining_links(rows, sets)
     if not found.isEmpty():
-        comp = cut(_merged(comp, found))
+        comp = _joined(comp, found)
     discard(lead, rows)
     return comp
 
@@ -615,7 +624,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts:
     comp = components(sets)
     links = link_counts(comp, sets) if counts else docs.sparkSession.createDataFrame([], "node bigint, n_links bigint")
     named = classes.select("node", "n", "h1", "h2", "id").join(comp, "node", "left").join(links, "node", "left")
-    named = cut(named.withColumn("component", F.coalesce("comp", "node")))
+    written = named = cut(named.withColumn("component", F.coalesce("comp", "node")))
     discard(classes, wanted, sets)
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = named.join(least, "component").select(
@@ -624,11 +633,13 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts:
     same = (F.col("n") == F.col("n_")) & (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_"))
     out = seen.select("id", "t1", "t2", "n", "h1", "h2").join(named, same, "left")
     alone = F.col("n") == 0
-    return out.select(
+    out = out.select(
         "id", "t1", "t2", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
         (F.when(alone, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))) if counts else F.lit(None)).cast("long").alias("n_links"), "component",
     )
+    out._cuts = (seen, written)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
@@ -641,11 +652,13 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Rows are told apart by id and text, not by id alone; of rows equal in both, one stays. Rows without shingles all stay.
     """
-    found = grouped(docs, doc_id, text, counts=False).where("component is not null")
+    rows = grouped(docs, doc_id, text, counts=False)
+    found = rows.where("component is not null")
     row = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
     first = found.groupBy("component").agg(F.min(row).alias("f"))
     keys = ["_nd_k", "_nd_1", "_nd_2"]
     stay = cut(first.select(F.xxhash64("f.none", "f.id").alias(keys[0]), F.col("f.t1").alias(keys[1]), F.col("f.t2").alias(keys[2])))
+    discard(*rows._cuts)
     t1, t2 = text_digest(F.col(f"`{text}`"))
     has_words = F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike("[^ \\t-\\r]")
     keyed = docs.where(has_words).withColumns({keys[0]: F.xxhash64(F.col(f"`{doc_id}`").isNull(), F.col(f"`{doc_id}`")), keys[1]: t1, keys[2]: t2})

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.plans.streaming import chain, message_events
@@ -86,6 +87,57 @@ def test_stream_ingests_each_event_once(spark):
     assert out.count() == want and out.where("parent_hash is null").count() <= 2 * V.messages(spark, "/root/testdata/sf0.001").select("session_id").distinct().count()
 
 
+def test_offsets_of_tail_ingest_name_no_files(spark, tmp_path, monkeypatch):
+    from threadloom.plans import streaming
+
+    monkeypatch.setattr(streaming, "fresh", lambda spark, name: f"file://{tmp_path}")
+    streaming.tail_ingest(spark, "/root/testdata/sf0.001")
+    said = [p.read_text() for name in ("first", "second") for p in (tmp_path / f"check-{name}" / "offsets").iterdir() if p.name.isdigit()]
+    assert len(said) == 3 and all(len(s) < 2000 and ".txt" not in s for s in said)
+
+
+def test_shards_settle_an_epoch_once(tmp_path):
+    home, options = tmp_path / "in", {"path": str(tmp_path / "in"), "manifest": str(tmp_path / "epochs"), "shards": "4"}
+    reader = tail.ShardReader(options)
+    assert reader.latestOffset() == reader.initialOffset() == {"epoch": 0}
+    (home / "s").mkdir(parents=True)
+    for i in range(9):
+        (home / f"{i}.jsonl").write_bytes(b"one %d\nhalf" % i)
+    (home / "s" / "x.jsonl").write_bytes(b"x\n")
+    (home / "other").write_bytes(b"no\n")
+
+    def rows(reader, start, end):
+        return sorted((r[0].removeprefix(f"{home}/"), *r[1:3]) for part in reader.partitions(start, end) for r in reader.read(part))
+
+    start, at = reader.initialOffset(), reader.latestOffset()
+    first = rows(reader, start, at)
+    assert first == sorted([*((f"{i}.jsonl", 0, f"one {i}") for i in range(9)), ("s/x.jsonl", 0, "x")])
+    assert len(list((tmp_path / "epochs" / "1").iterdir())) == 4 and reader.latestOffset() == at
+    # what comes later belongs to the next epoch, also if the first is read again by a reader that knows nothing
+    with (home / "3.jsonl").open("ab") as f:
+        f.write(b" way\n")
+    (home / "new.jsonl").write_bytes(b"n\n")
+    again = tail.ShardReader(options)
+    assert rows(again, start, at) == first
+    after = again.latestOffset()
+    more = [("3.jsonl", 6, "half way"), ("new.jsonl", 0, "n")]
+    assert rows(again, at, after) == rows(reader, at, after) == more
+    # two epochs at once, as without a checkpoint: each file from its begin to where the second takes it
+    assert rows(again, start, after) == sorted(first + more)
+    # files that began again or vanished, one that only got another time
+    (home / "s" / "x.jsonl").write_bytes(b"X\ny\n")
+    (home / "5.jsonl").unlink()
+    (home / "6.jsonl").touch()
+    last = again.latestOffset()
+    assert rows(again, after, last) == [("s/x.jsonl", 0, "X"), ("s/x.jsonl", 2, "y")]
+    again.KEPT = 1
+    again.commit(last)
+    assert sorted(p.name for p in (tmp_path / "epochs").iterdir()) == ["2", "2.json", "3", "3.json"]
+    assert rows(tail.ShardReader(options), after, last) == [("s/x.jsonl", 0, "X"), ("s/x.jsonl", 2, "y")]
+    with pytest.raises(ValueError):
+        tail.ShardReader({**options, "shards": "5"}).latestOffset()
+
+
 def test_reconcile(spark):
     old = spark.createDataFrame([("a",)], "id string")
     new = spark.createDataFrame([("a",), ("b",), ("b",)], "id string")

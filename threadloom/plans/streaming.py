@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,7 @@ from threadloom.streaming import tail
 
 QUERIES, ORACLES = {}, {}
 VERSION = "v1"
+SHARDS = 32
 
 
 def _events(spark, d):
@@ -40,6 +45,26 @@ def chain(events: DataFrame, before: DataFrame | None) -> DataFrame:
     return C.chained(events, VERSION, before)
 
 
+def write_folders(rows: DataFrame, folder: str, name: str) -> None:
+    """Writes (key, value), a key's rows one behind the other, as the file ``name`` in a folder a key. Tasks write them; the driver
+    neither commits nor lists files."""
+    place = folder.removeprefix("file://")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, pairs = 0, (pair for batch in batches for pair in zip(*(c.to_pylist() for c in batch.columns)))
+        for key, lines in groupby(pairs, itemgetter(0)):
+            home = Path(place) / str(key)
+            home.mkdir(parents=True, exist_ok=True)
+            draft = home / f".{name}.{uuid.uuid4().hex}"
+            with draft.open("wb") as f:
+                f.writelines(f"{value}\n".encode() for _, value in lines)
+            draft.rename(home / f"{name}.txt")
+            n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows.mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+
+
 def tail_ingest(spark, d):
     """Writes every session as a file, in two goes, tails them after each into one table, and a third time with a new stream,
     which adds nothing."""
@@ -50,7 +75,8 @@ def tail_ingest(spark, d):
     rows = m.select("source_file", "go", "line_index", F.to_json(F.struct("source", "session_id", "role", "content", "timestamp")).alias("value"))
 
     def run(name: str) -> None:
-        stream = spark.readStream.format("jsonl_tail").option("path", f"{home}/in").option("pattern", "*.txt").load()
+        source = spark.readStream.format("jsonl_tail").option("path", f"{home}/in").option("pattern", "*.txt")
+        stream = source.option("manifest", f"{home}/epochs-{name}").option("shards", SHARDS).load()
         query = tail.ingest(stream, message_events, chain, f"{home}/table", f"{home}/cursors", f"{home}/check-{name}", name).start()
         try:
             query.processAllAvailable()
@@ -59,7 +85,7 @@ def tail_ingest(spark, d):
 
     for go in range(2):
         part = rows.where(F.col("go") == go).repartition("source_file").sortWithinPartitions("source_file", "line_index")
-        part.select("source_file", "value").write.mode("append").partitionBy("source_file").text(f"{home}/in")
+        write_folders(part.select("source_file", "value"), f"{home}/in", str(go))
         run("first")
     run("second")
     return spark.read.parquet(f"{home}/table").select("source_session_id", "event_type", "role", "timestamp", "content_hash", "parent_hash")
